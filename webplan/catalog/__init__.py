@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["links", "elements"]
+MODULES = ["links", "elements", "naming", "fields"]
 
 
 def load():

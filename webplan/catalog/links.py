@@ -11,7 +11,7 @@ from webplan.operators import links as L
 from webplan.sources import sitemaps as S
 from webplan.sources.pages import scan_pages, with_site
 
-URL = F.col("url")
+
 
 
 def pages(spark, d):
@@ -42,34 +42,34 @@ def _(spark, d):
     return pages(spark, d).select("page_id", "url", "title", "og_title", F.length("html").cast("long").alias("n_chars"))
 
 
-scalar("normalize_page_url", lambda: [U.normalize_page_url(URL).alias("page_key")], "page_key")
+scalar("normalize_page_url", lambda: [U.normalize_page_url(F.col("url")).alias("page_key")], "page_key")
 scalar("canonical_link", lambda: [U.canonical_link(F.concat(F.when(F.col("page_id") % 10 == 3, F.lit("mailto:"))
-       .otherwise(F.lit("")), URL)).alias("link")],
+       .otherwise(F.lit("")), F.col("url"))).alias("link")],
        "CASE WHEN page_id % 10 <> 3 THEN canonical END AS link")
-scalar("normalize_seed", lambda: [U.normalize_seed(F.concat(F.lit(" "), U.url_host(URL), F.lit(").//")))["seed_url"].alias("bare_seed"),
-                                  U.normalize_seed(URL)["seed_url"].alias("seed_url"),
+scalar("normalize_seed", lambda: [U.normalize_seed(F.concat(F.lit(" "), U.url_host(F.col("url")), F.lit(").//")))["seed_url"].alias("bare_seed"),
+                                  U.normalize_seed(F.col("url"))["seed_url"].alias("seed_url"),
                                   U.normalize_seed(F.lit("nohost"))["seed_error"].alias("seed_error")],
        "'https://' || host || '/' AS bare_seed, CASE WHEN path1 = '/' THEN origin || '/' ELSE origin || path1 END AS seed_url, "
        "'invalid host' AS seed_error")
-scalar("root_domain", lambda: [U.root_domain(U.url_host(URL)).alias("root"),
-                               U.root_domain(F.concat(U.url_host(URL), F.lit(".co.kr"))).alias("kr_root")],
+scalar("root_domain", lambda: [U.root_domain(U.url_host(F.col("url"))).alias("root"),
+                               U.root_domain(F.concat(U.url_host(F.col("url")), F.lit(".co.kr"))).alias("kr_root")],
        "root, list_extract(string_split(bare, '.'), -1) || '.co.kr' AS kr_root")
-scalar("page_context", lambda: [U.page_context(URL, F.lit("  t "))[x].alias(x) for x in
+scalar("page_context", lambda: [U.page_context(F.col("url"), F.lit("  t "))[x].alias(x) for x in
                                 ("page_location", "page_path", "page_title", "page_referrer")],
        "origin || path || query || frag AS page_location, path || query || frag AS page_path, 't' AS page_title, "
        "'' AS page_referrer")
-scalar("path_depth", lambda: [U.path_depth(URL).alias("depth"), U.path_depth(F.concat(F.lit("x"), F.col("page_id"))).alias("bad")],
+scalar("path_depth", lambda: [U.path_depth(F.col("url")).alias("depth"), U.path_depth(F.concat(F.lit("x"), F.col("page_id"))).alias("bad")],
        "len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth, 99 AS bad")
-scalar("rewrite_onto_seed_host", lambda: [U.rewrite_onto_seed_host(URL, F.lit("dev.example.com")).alias("rewritten")],
+scalar("rewrite_onto_seed_host", lambda: [U.rewrite_onto_seed_host(F.col("url"), F.lit("dev.example.com")).alias("rewritten")],
        "CASE WHEN host = 'dev.example.com' THEN canonical WHEN root = 'example.com' AND bare = root "
        "THEN scheme || '://dev.example.com' || port || path1 || query END AS rewritten")
-scalar("host_key", lambda: [U.host_key(URL).alias("host_key")],
+scalar("host_key", lambda: [U.host_key(F.col("url")).alias("host_key")],
        "regexp_replace(host || port, '^www\\.', '') AS host_key")
-scalar("locale_hint", lambda: [U.locale_hint(F.regexp_replace(URL, r"example\.net", "example.co.kr"))["country"].alias("country"),
-                               F.array_join(U.locale_hint(F.regexp_replace(URL, r"example\.net", "example.co.kr"))["languages"], ",").alias("languages")],
+scalar("locale_hint", lambda: [U.locale_hint(F.regexp_replace(F.col("url"), r"example\.net", "example.co.kr"))["country"].alias("country"),
+                               F.array_join(U.locale_hint(F.regexp_replace(F.col("url"), r"example\.net", "example.co.kr"))["languages"], ",").alias("languages")],
        "CASE WHEN host LIKE '%.net' THEN 'KR' END AS country, CASE WHEN host LIKE '%.net' THEN 'ko-KR,ko,en' END AS languages")
-scalar("capture_job_id", lambda: [U.capture_job_id(F.concat(URL, F.lit("/captures/"), F.col("page_id"), F.lit("/a.png"))).alias("job_id"),
-                                  U.capture_job_id(URL).alias("none")],
+scalar("capture_job_id", lambda: [U.capture_job_id(F.concat(F.col("url"), F.lit("/captures/"), F.col("page_id"), F.lit("/a.png"))).alias("job_id"),
+                                  U.capture_job_id(F.col("url")).alias("none")],
        "page_id::VARCHAR AS job_id, NULL::VARCHAR AS none")
 
 
@@ -89,8 +89,8 @@ SQ_NAMED = PAGES_U + f""", n AS (SELECT *, {sq_decode(sq_title())} AS title,
   FROM n""")
 def _(spark, d):
     return pages(spark, d).select(
-        "page_id", U.page_name(F.col("og_title"), F.col("title"), URL).alias("name"),
-        U.page_name(F.lit(None).cast("string"), F.lit(""), URL).alias("untitled"),
+        "page_id", U.page_name(F.col("og_title"), F.col("title"), F.col("url")).alias("name"),
+        U.page_name(F.lit(None).cast("string"), F.lit(""), F.col("url")).alias("untitled"),
     )
 
 
@@ -103,18 +103,18 @@ SQ_HINTED = SQ_NAMED + f""", h AS (SELECT *, trim(regexp_replace(regexp_replace(
 
 @query("page_category_hint", SQ_HINTED + " SELECT page_id, page_category FROM hinted")
 def _(spark, d):
-    return pages(spark, d).select("page_id", U.page_category_hint(F.col("title"), URL).alias("page_category"))
+    return pages(spark, d).select("page_id", U.page_category_hint(F.col("title"), F.col("url")).alias("page_category"))
 
 
 @query("site_families", PAGES_U + """, h AS (SELECT root AS site, host, count(*) AS n, min(page_id) AS f FROM u GROUP BY 1, 2)
   SELECT site, arg_max(host, n * 1000000000 - f) AS best_host, sum(n)::BIGINT AS entries, count(*) AS hosts FROM h GROUP BY 1""")
 def _(spark, d):
-    return L.best_family_match(urls(spark, d).select(U.url_host(URL).alias("host"), F.col("page_id").alias("seq")))
+    return L.best_family_match(urls(spark, d).select(U.url_host(F.col("url")).alias("host"), F.col("page_id").alias("seq")))
 
 
 @query("hosts", PAGES_U + " SELECT regexp_replace(host || port, '^www\\.', '') AS host_key, count(*) AS items FROM u GROUP BY 1")
 def _(spark, d):
-    return urls(spark, d).groupBy(U.host_key(URL).alias("host_key")).agg(F.count(F.lit(1)).alias("items"))
+    return urls(spark, d).groupBy(U.host_key(F.col("url")).alias("host_key")).agg(F.count(F.lit(1)).alias("items"))
 
 
 # ---------------------------------------------------------------- anchors: hrefs as the pages carry them
@@ -148,7 +148,7 @@ SQ_HQUERY = ("CASE WHEN contains(split_part(href, '#', 1), '?') THEN regexp_extr
   ELSE '' END AS bare_path FROM p""")
 def _(spark, d):
     h = F.col("href")
-    return anchors(spark, d).select("page_id", "pos", "href", U.nav_path(h, URL).alias("nav_path"), U.nav_path(h).alias("bare_path"))
+    return anchors(spark, d).select("page_id", "pos", "href", U.nav_path(h, F.col("url")).alias("nav_path"), U.nav_path(h).alias("bare_path"))
 
 
 @query("is_valid_nav_link", SQ_ANCHORS[:-1] + """ SELECT page_id, pos::INT AS pos, href <> '' AS valid, false AS hash_valid,
@@ -169,10 +169,10 @@ def _(spark, d):
 def _(spark, d):
     h = F.col("href")
     return anchors(spark, d).filter(h.startswith("/")).select(
-        "page_id", "pos", U.resolve_link(h, URL).alias("same_origin"),
-        U.resolve_link(F.concat(F.lit("https://other.example.org"), h), URL).alias("cross_origin"),
-        U.resolve_link(F.lit("#frag"), URL).alias("hash_only"),
-        U.resolve_link(F.when(F.col("pos") % 2 == 0, F.lit("#")).otherwise(F.lit("javascript:void(0)")), URL).alias("none"),
+        "page_id", "pos", U.resolve_link(h, F.col("url")).alias("same_origin"),
+        U.resolve_link(F.concat(F.lit("https://other.example.org"), h), F.col("url")).alias("cross_origin"),
+        U.resolve_link(F.lit("#frag"), F.col("url")).alias("hash_only"),
+        U.resolve_link(F.when(F.col("pos") % 2 == 0, F.lit("#")).otherwise(F.lit("javascript:void(0)")), F.col("url")).alias("none"),
     )
 
 
@@ -185,7 +185,7 @@ def links(spark, d):
     Anchor rows get a sequence after all page rows of the same page, so ``seq`` is unique."""
     own = with_site(urls(spark, d)).select("site", "url", (F.col("page_id") * 1000).alias("seq"))
     out = anchors(spark, d).select(
-        U.site_of(URL).alias("site"), U.resolve_url(F.col("href"), URL).alias("url"),
+        U.site_of(F.col("url")).alias("site"), U.resolve_url(F.col("href"), F.col("url")).alias("url"),
         (F.col("page_id") * 1000 + F.col("pos") + 1).alias("seq"),
     )
     return own.unionByName(out).select(
@@ -245,8 +245,8 @@ links1 AS (SELECT site, seq, regexp_replace(link, '[?#].*$', '') ||
 def _(spark, d):
     site = F.col("site")
     return varied(links(spark, d)).select(
-        "site", "url", "seq", U.keep_url(URL, site).alias("keep"),
-        U.keep_url(URL, site, site, subdomains=False).alias("keep_same_host"),
+        "site", "url", "seq", U.keep_url(F.col("url"), site).alias("keep"),
+        U.keep_url(F.col("url"), site, site, subdomains=False).alias("keep_same_host"),
     )
 
 
@@ -286,7 +286,7 @@ def _(spark, d):
   FROM v) SELECT site, url, source, rank FROM r WHERE rank <= 45""")
 def _(spark, d):
     rows = L.dedupe_links(links(spark, d)).select("site", "url", "source", (F.lit(2)).alias("seq"))
-    sitemap = with_site(urls(spark, d)).filter(U.url_path(URL).startswith("/en")).select(
+    sitemap = with_site(urls(spark, d)).filter(U.url_path(F.col("url")).startswith("/en")).select(
         "site", "url", F.lit("sitemap").alias("source"), F.lit(1).alias("seq")
     )
     seeds = L.seeds_of(links(spark, d))
@@ -317,7 +317,7 @@ def _(spark, d):
 def robots_docs(spark, d):
     p = with_site(urls(spark, d))
     body = F.concat_ws("\n", F.lit("User-agent: *\r"), F.lit("Disallow: /private"),
-                       F.concat(F.lit("  SiteMap : "), URL), F.concat(F.lit("sitemap:/s-"), F.col("page_id"), F.lit(".xml next")))
+                       F.concat(F.lit("  SiteMap : "), F.col("url")), F.concat(F.lit("sitemap:/s-"), F.col("page_id"), F.lit(".xml next")))
     return p.select("page_id", "site", body.alias("body"))
 
 
@@ -331,7 +331,7 @@ def sitemap_docs(spark, d):
     """One sitemap per page; every fifth is an index that names the two following documents."""
     p = with_site(urls(spark, d))
     doc = lambda k: F.concat(F.lit("https://"), F.col("site"), F.lit("/s-"), (F.col("page_id") + k).cast("string"), F.lit(".xml"))
-    esc = F.replace(URL, F.lit("&"), F.lit("&amp;"))
+    esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     index = F.concat(F.lit('<sitemapindex xmlns="x"><sitemap><loc>'), doc(3), F.lit("</loc></sitemap><sitemap><LOC>\n "), doc(6),
                      F.lit(" </LOC></sitemap></sitemapindex>"))
     urlset = F.concat(F.lit("<urlset><url><loc> "), esc, F.lit(" </loc></url><url><loc></loc></url><url><loc><![CDATA["),
@@ -367,7 +367,7 @@ def _(spark, d):
   UNION ALL SELECT page_id, 1, page_key, root, NULL FROM u""")
 def _(spark, d):
     p = with_site(urls(spark, d))
-    items = F.concat(F.lit('[" '), URL, F.lit(' ",{"url":" '), F.col("page_key"), F.lit('","title":"'), F.col("site"),
+    items = F.concat(F.lit('[" '), F.col("url"), F.lit(' ",{"url":" '), F.col("page_key"), F.lit('","title":"'), F.col("site"),
                      F.lit('","description":"  "},{"title":"no address"},{"url":5}, 7, ""]'))
     body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"links":'), items, F.lit("}"))).otherwise(
         F.concat(F.lit('{"links":null,"data":{"links":'), items, F.lit("}}")))

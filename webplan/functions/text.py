@@ -331,7 +331,7 @@ def platform_label(viewport: Column) -> Column:
 
 
 def default_viewports(raw: Column) -> Column:
-    kept = F.array_distinct(F.filter(F.transform(raw, parse_viewport), lambda v: v.isNotNull()))
+    kept = F.array_distinct(F.filter(raw, lambda v: v.isin("pc", "mo")))
     return F.when(raw.isNull() | (F.size(kept) == 0), F.array(F.lit("pc"))).otherwise(kept)
 
 
@@ -357,3 +357,34 @@ def dom_path_prompt(path: Column, landmark: Column, labels: Column, section: Col
                     quoted("section", nz(section))),
     )
     return F.when(nz(path) == "", F.lit("")).otherwise(line)
+
+
+def hint_line(tag_id: Column, source: Column, event_name: Column, confidence: Column, note: Column) -> Column:
+    """One line of the hints block."""
+    return F.concat_ws(
+        " ", F.concat(F.lit("- tag:"), tag_id), F.concat(F.lit("source="), source),
+        F.when(nz(event_name) != "", F.concat(F.lit('suggested_name="'), event_name, F.lit('"'))),
+        F.concat(F.lit("confidence="), F.format_string("%.2f", confidence)),
+        F.when(nz(note) != "", F.concat(F.lit('note="'), note, F.lit('"'))),
+    )
+
+
+def candidate_line(tag_id: Column, name: Column, tag: Column, reason: Column) -> Column:
+    """One line of the list of ambiguous candidates."""
+    why = F.coalesce(F.concat(F.lit(", "), F.when(reason != "", reason)), F.lit(""))
+    return F.concat(F.lit("- tag:"), tag_id, F.lit(" — **"), name, F.lit("** ("), tag, why, F.lit(")"))
+
+
+def merge_line(kept: Column, merged: Column, reason: Column, url: Column, label: Column) -> Column:
+    """Log line of one merge; ``merged`` is an array of tag ids."""
+    head = F.concat(F.lit("[merge] kept="), kept, F.lit(" merged=["), F.array_join(merged, ", "), F.lit("] reason="))
+    return F.when(reason == "same_href", F.concat(head, F.lit('same_href url="'), nz(url), F.lit('"'))).otherwise(
+        F.concat(head, F.lit('same_merge_label merge_label="'), nz(label), F.lit('"'))
+    )
+
+
+def skip_line(kept: Column, reason: Column, label: Column, detail: Column) -> Column:
+    """Log line of a pair that was not merged."""
+    why = F.when(reason.isin("diff_page_category", "diff_area"), reason).otherwise(F.lit("diff_merge_label"))
+    return F.concat(F.lit("[merge] kept="), kept, F.lit(" skipped_"), why, F.lit(' button="'), label, F.lit('" ('),
+                    nz(detail), F.lit(")"))
