@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["links", "elements", "naming", "fields"]
+MODULES = ["links", "elements", "naming", "fields", "candidates", "grouping", "taxonomy"]
 
 
 def load():

@@ -102,11 +102,11 @@ def raw_candidates(spark, d):
         F.posexplode(F.arrays_zip(grab(1).alias("href"), grab(2).alias("text"))).alias("pos", "a"),
     )
     t = F.col("pos") + 1
-    area = F.element_at(F.array(*[F.lit(x) for x in AREAS]), (t % 4 + 1).cast("int"))
+    area = F.element_at(F.array(*[F.lit(x) for x in AREAS]), (F.col("page_id") % 2 * 2 + t % 2 + 1).cast("int"))
     rows = p.select(
         "page_id", "url", "title", U.site_of(F.col("url")).alias("site"), U.viewport_of(F.col("url")).alias("viewport"),
         U.normalize_page_url(F.col("url")).alias("page_key"), t.cast("int").alias("tag_id"), area.alias("area_raw"),
-        T.decode_entities(F.col("a.text")).alias("text"), F.lower(F.substring(T.decode_entities(F.col("a.text")), 1, 1)).alias("short"),
+        T.decode_entities(F.col("a.text")).alias("text"), F.when((F.col("page_id") + F.floor(t / 2)) % 2 == 0, F.lit("Buy")).otherwise(F.lit("More")).alias("short"),
     )
     k = F.col("page_id") + F.col("tag_id")
     link = F.when(k % 3 != 0, F.concat(F.lit("/"), (k % 2).cast("string")))
@@ -146,9 +146,9 @@ la0 AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_
    '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), {s(LINK)}, 2) AS ts FROM pages),
 la AS (SELECT page_id, unnest(ts) AS text0, generate_subscripts(ts, 1)::INT AS tag_id FROM la0),
 raw AS (SELECT h.page_id, h.root AS site, h.viewport, h.page_key, h.page_category AS hint, h.title, origin, path, query, frag, tag_id,
-  replace(replace(text0, '&amp;', '&'), '&#39;', '''') AS text, lower(left(replace(text0, '&amp;', '&'), 1)) AS label,
-  list_extract([{', '.join(s(a) for a in AREAS)}], tag_id % 4 + 1) AS area_raw, (h.page_id + tag_id) AS k,
-  CASE WHEN tag_id % 9 = 0 THEN '' ELSE lower(left(replace(text0, '&amp;', '&'), 1)) END AS merge_label,
+  replace(replace(text0, '&amp;', '&'), '&#39;', '''') AS text, CASE WHEN (h.page_id + tag_id // 2) % 2 = 0 THEN 'Buy' ELSE 'More' END AS label,
+  list_extract([{', '.join(s(a) for a in AREAS)}], (h.page_id % 2 * 2 + tag_id % 2 + 1)::INT) AS area_raw, (h.page_id + tag_id) AS k,
+  CASE WHEN tag_id % 9 = 0 THEN '' WHEN (h.page_id + tag_id // 2) % 2 = 0 THEN 'Buy' ELSE 'More' END AS merge_label,
   CASE WHEN (h.page_id + tag_id) % 3 <> 0 THEN '/' || (h.page_id + tag_id) % 2 END AS link_url,
   list_extract(['PC','MO','All','All'], ((h.page_id + tag_id) % 4 + 1)::INT) AS platform,
   tag_id % 11 <> 10 AS boxed, (tag_id * 37 % 500)::INT AS x, (tag_id // 3 * 50)::INT AS y, (h.page_id % 4 * 20)::INT AS w, 30 AS h,

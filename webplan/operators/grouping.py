@@ -87,7 +87,7 @@ def label_groups(candidates: DataFrame) -> DataFrame:
     return groups.unionByName(views)
 
 
-def label_key(groups: DataFrame) -> Column:
+def label_key() -> Column:
     return F.concat(F.lower("label"), F.lit("::"), "area", F.lit("::"), "sort_y", F.lit(":"), "sort_x")
 
 
@@ -200,6 +200,16 @@ def tree_for_viewport(candidates: DataFrame) -> DataFrame:
     return groups.select(*BUCKET, "cluster_key", "label", "member_total", *_sort_of("_first"))
 
 
+def cap_by_priority(rows: DataFrame, cap: int = 800) -> DataFrame:
+    """First ``cap`` elements of a page by ``score``, with the number left out."""
+    w = W.partitionBy("page_id")
+    return (
+        rows.withColumn("rank", F.row_number().over(w.orderBy("score", "tag_id")))
+        .withColumn("dropped_cap", F.greatest(F.count(F.lit(1)).over(w) - cap, F.lit(0)).cast("int"))
+        .filter(F.col("rank") <= cap)
+    )
+
+
 def member_preview(groups: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` members of a group and how many are not shown."""
     return groups.withColumn("visible", F.slice("member_tag_ids", 1, n)).withColumn(
