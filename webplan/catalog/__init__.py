@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["links", "elements", "naming", "fields", "candidates", "grouping", "taxonomy"]
+MODULES = [
+    "links", "elements", "naming", "fields", "candidates", "grouping", "taxonomy", "quality", "tables", "streams",
+]
 
 
 def load():

@@ -12,14 +12,15 @@ from webplan.functions import params as P
 from webplan.functions import text as T
 from webplan.operators import quality as Q
 from webplan.plans import taxonomy as X
+from webplan.session import settle
 
 
 def own_pages(spark, d):
     """Candidates with the selection applied; a page left out of the labels is fully selected."""
-    rows = candidates(spark, d).withColumn("page_key", F.concat("page_key", F.lit("#"), "page_id"))
+    rows = settle(candidates(spark, d).withColumn("page_key", F.concat("page_key", F.lit("#"), "page_id")))
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("q"))
     sel = rows.join(lab, "page_id").filter("tag_id % 2 = 1").select("page_key", "tag_id", F.col("q").alias("selected"))
-    return X.with_selection(rows, sel)
+    return settle(X.with_selection(rows, sel))
 
 
 def docs(spark, d):
@@ -38,17 +39,8 @@ lr AS (SELECT site, page_key, viewport, trim(page_category) AS page_category, ar
    min(gy)::INT AS sort_y, min(gx)::INT AS sort_x, count(*) AS member_count FROM mem GROUP BY site, page_key, viewport, page_category, area
   UNION ALL SELECT root, page_key || '#' || page_id, viewport, trim(page_category), '페이지뷰', '페이지명 : ' || trim(page_category), '', '', -1, -1, 1 FROM hinted),
 pgs AS (SELECT site, viewport, count(DISTINCT page_key) AS n FROM lr WHERE event_name <> '페이지뷰' GROUP BY ALL),
-cm AS (SELECT site, viewport, lower(action) AS action_key, count(DISTINCT page_key) AS pages FROM lr WHERE event_name <> '페이지뷰' GROUP BY ALL
-  HAVING count(DISTINCT page_key) >= 2 AND count(DISTINCT page_key) = (SELECT n FROM pgs WHERE pgs.site = lr.site AND pgs.viewport = lr.viewport))"""
-# hold the action column to one value so that an action common to all pages exists
-COMMON_TAX = TAX.replace("area AS action, '{{버튼명}}' AS label", "'GNB' AS action, '{{버튼명}}' AS label").replace(
-    "GROUP BY site, page_key, viewport, page_category, area\n", "GROUP BY site, page_key, viewport, page_category\n")
-
-
-def gnb_rows(spark, d):
-    """Selected candidates moved into one area, so that it is common to every page."""
-    return own_pages(spark, d)
-
+ck AS (SELECT site, viewport, lower(action) AS action_key, count(DISTINCT page_key) AS pages FROM lr WHERE event_name <> '페이지뷰' GROUP BY ALL),
+cm AS (SELECT ck.* FROM ck JOIN pgs ON pgs.site = ck.site AND pgs.viewport = ck.viewport AND pgs.n = ck.pages WHERE pages >= 2)"""
 
 @query("is_selected", TAX + " SELECT page_key, tag_id, selected FROM sel UNION ALL SELECT page_key || '#' || page_id, 0, true FROM hinted")
 def _(spark, d):
@@ -65,25 +57,25 @@ def shared_rows(spark, d):
     rows = X.label_rows(own_pages(spark, d))
     view = F.col("event_name") == T.PAGE_VIEW_EVENT
     low = F.col("action").isin("GNB", "추천 상품")
-    return rows.withColumn("action", F.when(~view & low, F.lit("GNB")).otherwise(F.col("action")))
+    return settle(rows).withColumn("action", F.when(~view & low, F.lit("GNB")).otherwise(F.col("action")))
 
 
 SHARED = TAX.replace("pgs AS (", "lx AS (SELECT site, page_key, viewport, page_category, event_name, category, CASE WHEN event_name <> '페이지뷰' AND action IN ('GNB', '추천 상품') THEN 'GNB' ELSE action END AS action, label, "
                      "sort_y, sort_x, member_count FROM lr),\npgs AS (")
 _head, _tail = SHARED.split("pgs AS (", 1)
-SHARED = _head + "pgs AS (" + _tail.replace("FROM lr WHERE", "FROM lx WHERE").replace("lr.site", "lx.site").replace("lr.viewport", "lx.viewport")
+SHARED = _head + "pgs AS (" + _tail.replace("FROM lr WHERE", "FROM lx WHERE")
 
 
 def covered(spark, d):
     """Rows of pages that have the shared area, so that the division has a result."""
-    rows = shared_rows(spark, d)
+    rows = settle(shared_rows(spark, d))
     has = rows.filter("action = 'GNB'").select("page_key").distinct()
     return rows.join(has, "page_key", "left_semi")
 
 
 COVERED = SHARED.replace("pgs AS (", "ly AS (SELECT * FROM lx WHERE page_key IN (SELECT page_key FROM lx WHERE action = 'GNB')),\npgs AS (", 1)
 _head, _tail = COVERED.split("pgs AS (", 1)
-COVERED = _head + "pgs AS (" + _tail.replace("FROM lx WHERE", "FROM ly WHERE").replace("lx.site", "ly.site").replace("lx.viewport", "ly.viewport")
+COVERED = _head + "pgs AS (" + _tail.replace("FROM lx WHERE", "FROM ly WHERE")
 
 
 @query("common_actions", COVERED + " SELECT * FROM cm")

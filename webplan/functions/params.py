@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webplan.functions import geometry as G
 from webplan.functions import text as T
+from webplan.functions.base import let
 
 PARAMS = "array<struct<name:string,value_hint:string>>"
 # The only extra parameter a naming step may add.
@@ -36,6 +37,14 @@ def click_params(page_category: Column, action: Column, label: Column, platform:
                  link_url: Column, extras: Column | None = None) -> Column:
     """Ordered parameters of a click; ``context`` is urls.page_context(...)."""
     page = F.coalesce(T.blank_null(page_category), F.lit(T.DEFAULT_PAGE))
+    return let(
+        F.struct(page.alias("page"), action.alias("action"), label.alias("label")),
+        lambda v: _click_params(v["page"], v["action"], v["label"], platform, context, link_url, extras),
+    )
+
+
+def _click_params(page: Column, action: Column, label: Column, platform: Column, context: Column, link_url: Column,
+                  extras: Column | None) -> Column:
     fixed = F.array(
         param("platform", platform),
         param("page_location", context["page_location"]),
@@ -52,9 +61,8 @@ def click_params(page_category: Column, action: Column, label: Column, platform:
 
 
 def page_view_params(page_category: Column, platform: Column, context: Column) -> Column:
-    page = F.coalesce(T.blank_null(page_category), F.lit(T.DEFAULT_PAGE))
     blank = lambda c: F.when(c != "", c)
-    return F.array(
+    fields = lambda page: F.array(
         param("platform", platform),
         param("page_location", context["page_location"]),
         param("page_path", context["page_path"]),
@@ -63,6 +71,7 @@ def page_view_params(page_category: Column, platform: Column, context: Column) -
         param("page_category", page),
         param("page_name", page),
     )
+    return let(F.coalesce(T.blank_null(page_category), F.lit(T.DEFAULT_PAGE)), fields)
 
 
 # ------------------------------------------------------------------ reading a candidate row
@@ -81,13 +90,10 @@ def tagging_page_category(page_category: Column, params: Column, category: Colum
 
 def tagging_area(tag_id: Column, action_key: Column, action: Column, params: Column, page: Column) -> Column:
     """Screen area of a candidate; ``page`` is its tagging_page_category."""
-    own = T.blank_null(action)
-    old = T.blank_null(param_value(params, "category"))
+    shown = let(T.blank_null(action), lambda own: F.when(~own.isin(T.INTERNAL_ACTIONS), own))
+    old = let(T.blank_null(param_value(params, "category")), lambda c: F.when(c != page, c))
     return F.when(is_page_view(tag_id, action_key), F.lit("")).otherwise(
-        F.coalesce(
-            F.when(~own.isin(T.INTERNAL_ACTIONS), own), T.blank_null(param_value(params, "action")),
-            F.when(old != page, old), F.lit(T.OTHER_AREA),
-        )
+        F.coalesce(shown, T.blank_null(param_value(params, "action")), old, F.lit(T.OTHER_AREA))
     )
 
 
@@ -106,28 +112,32 @@ def transmission_payload(c) -> Column:
 
     Page views carry page_name and no category, action or label."""
     params = c("parameters")
-    page = tagging_page_category(c("page_category"), params, c("category"))
-    view = is_page_view(c("tag_id"), c("action_key"))
     of = lambda name: param_value(params, name)
-    click = lambda value: F.when(~view, value)
-    area = tagging_area(c("tag_id"), c("action_key"), c("action"), params, page)
     label = F.coalesce(F.when(T.nz(c("label")) != "", c("label")), c("text"), F.lit(""))
-    return F.struct(
-        F.coalesce(T.blank_null(c("event_name")), F.when(view, F.lit(T.PAGE_VIEW_EVENT)).otherwise(F.lit(T.CLICK_EVENT)))
-        .alias("event_name"),
-        page.alias("page_category"),
-        F.when(view, F.coalesce(T.blank_null(of("page_name")), page)).alias("page_name"),
-        click(page).alias("category"), click(area).alias("action"), click(F.trim(label)).alias("label"),
-        F.coalesce(of("platform"), c("platform")).alias("platform"),
-        click(of("link_url")).alias("link_url"), click(of("direction")).alias("direction"),
-        *[of(k).alias(k) for k in ("page_location", "page_path", "page_title", "page_referrer")],
-    )
+
+    def build(v):
+        page, view = v["page"], v["view"]
+        click = lambda value: F.when(~view, value)
+        area = tagging_area(c("tag_id"), c("action_key"), c("action"), params, page)
+        default = F.when(view, F.lit(T.PAGE_VIEW_EVENT)).otherwise(F.lit(T.CLICK_EVENT))
+        return F.struct(
+            F.coalesce(T.blank_null(c("event_name")), default).alias("event_name"),
+            page.alias("page_category"),
+            F.when(view, F.coalesce(T.blank_null(of("page_name")), page)).alias("page_name"),
+            click(page).alias("category"), click(area).alias("action"), click(F.trim(label)).alias("label"),
+            F.coalesce(of("platform"), c("platform")).alias("platform"),
+            click(of("link_url")).alias("link_url"), click(of("direction")).alias("direction"),
+            *[of(k).alias(k) for k in ("page_location", "page_path", "page_title", "page_referrer")],
+        )
+
+    page = tagging_page_category(c("page_category"), params, c("category"))
+    return let(F.struct(page.alias("page"), is_page_view(c("tag_id"), c("action_key")).alias("view")), build)
 
 
 def params_record(payload: Column) -> Column:
     """Payload as map<string,string> without the event name and without blank values."""
-    entries = F.array(*[F.struct(F.lit(k), F.trim(payload[k])) for k in PAYLOAD_KEYS])
-    return F.map_filter(F.map_from_entries(entries), lambda k, v: F.coalesce(v, F.lit("")) != "")
+    pairs = lambda p: F.array(*[F.struct(F.lit(k), F.trim(p[k])) for k in PAYLOAD_KEYS])
+    return F.map_filter(F.map_from_entries(let(payload, pairs)), lambda k, v: F.coalesce(v, F.lit("")) != "")
 
 
 def element_location(tag_id: Column, selector: Column, fallbacks: Column, bbox: Column, platform: Column,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webplan.functions.base import let
+
 # ------------------------------------------------------------------ fixed values
 
 PAGE_VIEW_EVENT = "페이지뷰"
@@ -71,8 +73,7 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
 
 def blank_null(c: Column) -> Column:
     """Trimmed text, with blank turned into null (so coalesce can pick the next source)."""
-    t = F.trim(c)
-    return F.when(t != "", t)
+    return F.get(F.filter(F.array(F.trim(c)), lambda x: x != ""), F.lit(0))
 
 
 def nz(c: Column) -> Column:
@@ -109,20 +110,26 @@ def is_global_nav(category: Column) -> Column:
 
 
 def derive_event_name(category: Column, action: Column) -> Column:
-    cat, act = _slug(category), _slug(action)
-    clicked = act.startswith("click_")
-    name = (
-        F.when((cat == "") & (act == ""), F.lit("click_ambiguous_element"))
-        .when(cat == "", act)
-        .when(act == "", cat)
-        .when(is_global_nav(category), F.when(clicked, act).otherwise(F.concat(F.lit("click_"), act)))
-        .otherwise(F.concat_ws("_", cat, F.regexp_replace(act, r"^click_", "")))
-    )
-    return F.substring(name, 1, 80)
+    def name(v):
+        cat, act = v["cat"], v["act"]
+        clicked = act.startswith("click_")
+        return (
+            F.when((cat == "") & (act == ""), F.lit("click_ambiguous_element"))
+            .when(cat == "", act)
+            .when(act == "", cat)
+            .when(v["nav"], F.when(clicked, act).otherwise(F.concat(F.lit("click_"), act)))
+            .otherwise(F.concat_ws("_", cat, F.regexp_replace(act, r"^click_", "")))
+        )
+
+    parts = F.struct(_slug(category).alias("cat"), _slug(action).alias("act"), is_global_nav(category).alias("nav"))
+    return F.substring(let(parts, name), 1, 80)
 
 
 def is_valid_event_name(c: Column) -> Column:
-    n = canonical_event_name(nz(c))
+    return let(canonical_event_name(nz(c)), _valid_name)
+
+
+def _valid_name(n: Column) -> Column:
     return (
         F.length(n).between(1, 24)
         & ~n.rlike("[_/]")
@@ -150,33 +157,37 @@ def _title_words(c: Column) -> Column:
 
 
 def category_display(c: Column) -> Column:
-    raw = F.trim(nz(c))
-    tail = F.trim(F.element_at(F.split(raw, "/", -1), -1))
-    compact = compact_key(tail)
-    carousel = compact.contains("배너") | compact.rlike("banner|carousel|slider|swiper|hero")
-    return (
-        F.when(raw == "", F.lit(OTHER_AREA))
-        .when(lookup(AREA_NAMES, F.lower(raw)).isNotNull(), lookup(AREA_NAMES, F.lower(raw)))
-        .when(lookup(AREA_NAMES, F.lower(tail)).isNotNull(), lookup(AREA_NAMES, F.lower(tail)))
-        .when(carousel, F.when(compact.rlike("메인|main|hero|top"), F.lit("메인 배너")).otherwise(F.lit("배너")))
-        .when(tail.rlike(HANGUL_PATTERN), tail)
-        .otherwise(_title_words(F.regexp_replace(tail, "_", " ")))
-    )
+    def show(v):
+        raw, tail = v["raw"], v["tail"]
+        compact = compact_key(tail)
+        carousel = compact.rlike("배너|banner|carousel|slider|swiper|hero")
+        return F.coalesce(
+            F.when(raw == "", F.lit(OTHER_AREA)),
+            lookup(AREA_NAMES, F.lower(raw)),
+            lookup(AREA_NAMES, F.lower(tail)),
+            F.when(carousel, F.when(compact.rlike("메인|main|hero|top"), F.lit("메인 배너")).otherwise(F.lit("배너"))),
+            F.when(tail.rlike(HANGUL_PATTERN), tail),
+            _title_words(F.regexp_replace(tail, "_", " ")),
+        )
+
+    last = lambda raw: F.struct(raw.alias("raw"), F.trim(F.element_at(F.split(raw, "/", -1), -1)).alias("tail"))
+    return let(let(F.trim(nz(c)), last), show)
 
 
 def action_display(c: Column) -> Column:
-    key = F.lower(F.trim(nz(c)))
-    rest = F.regexp_replace(F.substring(key, 7, 100000), "_", " ")
-    return (
-        F.when(lookup(ACTION_NAMES, key).isNotNull(), lookup(ACTION_NAMES, key))
-        .when(key.startswith("click_"), F.when(rest != "", F.concat(rest, F.lit(" 클릭"))).otherwise(F.lit("클릭")))
-        .otherwise(F.regexp_replace(key, "_", " "))
-    )
+    def show(key):
+        rest = F.regexp_replace(F.substring(key, 7, 100000), "_", " ")
+        return F.coalesce(
+            lookup(ACTION_NAMES, key),
+            F.when(key.startswith("click_"), F.when(rest != "", F.concat(rest, F.lit(" 클릭"))).otherwise(F.lit("클릭"))),
+            F.regexp_replace(key, "_", " "),
+        )
+
+    return let(F.lower(F.trim(nz(c))), show)
 
 
 def is_generic_action(c: Column) -> Column:
-    act = F.lower(F.trim(nz(c)))
-    return (act == "") | act.isin(GENERIC_ACTIONS) | act.startswith("click_")
+    return F.lower(F.trim(nz(c))).rlike("^(" + "|".join(GENERIC_ACTIONS) + ")?$|^click_")
 
 
 def grouping_action_display(action: Column, event_name: Column) -> Column:
@@ -186,25 +197,26 @@ def grouping_action_display(action: Column, event_name: Column) -> Column:
 
 
 def action_bucket(action_key: Column, action: Column, event_name: Column) -> Column:
-    raw = F.coalesce(blank_null(action_key), blank_null(action), F.lit(""))
-    event = blank_null(event_name)
-    return (
-        F.when((raw != "") & ~is_generic_action(raw), raw)
-        .when(event.isNotNull(), F.concat(F.lit("evt::"), event))
-        .when(raw != "", raw)
-        .otherwise(F.lit("click"))
-    )
+    def choose(raw):
+        return F.coalesce(
+            F.when(~is_generic_action(raw), raw), F.concat(F.lit("evt::"), blank_null(event_name)), raw, F.lit("click")
+        )
+
+    return let(F.coalesce(blank_null(action_key), blank_null(action)), choose)
 
 
 def is_redundant_action(category: Column, action: Column) -> Column:
     act = F.lower(F.trim(nz(action)))
-    cat_name = compact_key(category_display(category))
-    act_name = F.regexp_replace(compact_key(action_display(action)), "메뉴", "")
+    names = F.struct(
+        compact_key(category_display(category)).alias("c"),
+        F.regexp_replace(compact_key(action_display(action)), "메뉴", "").alias("a"),
+    )
+    alike = let(names, lambda n: (n["c"] != "") & (n["a"] != "") & (n["a"].contains(n["c"]) | n["c"].contains(n["a"])))
     return (
         (act == "")
         | act.isin(GENERIC_ACTIONS)
         | (is_global_nav(category) & (act.startswith("click_") | act.contains("nav")))
-        | ((cat_name != "") & (act_name != "") & (act_name.contains(cat_name) | cat_name.contains(act_name)))
+        | alike
     )
 
 

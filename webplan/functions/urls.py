@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webplan.functions.base import let
+
 # Registries whose last two labels act as one public suffix.
 TWO_LABEL_SUFFIXES = [
     "co.kr", "or.kr", "go.kr", "ac.kr", "ne.kr", "re.kr", "pe.kr",
@@ -48,14 +50,6 @@ QUERY_UNSAFE = r"""[^\x21-\x7e]|["<>']"""
 _SEP = "\x01"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once however often the body mentions it.
-
-    Column expressions have no variables: nesting parsed addresses would otherwise copy the whole
-    parse into every mention and the plan would grow exponentially."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _encode(c: Column, unsafe: str) -> Column:
     """Percent-encode the characters matched by ``unsafe``; safe strings skip the split."""
     one = lambda ch: (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webplan.functions import geometry as G
 from webplan.functions import params as P
 from webplan.functions import text as T
+from webplan.session import settle
 
 KEYS = ["page_id", "tag_id"]
 NO_CAPTURE_REASONS = ["display_none", "visibility_hidden", "opacity_zero", "zero_size"]
@@ -80,12 +81,14 @@ def canonical_fields(rows: DataFrame, page_category: Column, area: Column, label
     """Sets page_category, category, action, action_key, label, merge_label, event_name, parameters
     consistently."""
     page = F.coalesce(T.blank_null(page_category), F.lit(T.DEFAULT_PAGE))
-    shown = T.category_display(area)
+    # in two steps, so that page and area are worked out once per row
+    rows = rows.withColumns({"_page": page, "_area": T.category_display(area), "_context": context})
+    page, shown = F.col("_page"), F.col("_area")
     return rows.withColumns({
+        "parameters": P.click_params(page, shown, label, platform, F.col("_context"), link_url, extras),
         "page_category": page, "category": page, "action": shown, "action_key": action_key, "label": label,
         "merge_label": F.coalesce(T.blank_null(merge_label), F.trim(label)), "event_name": event_name,
-        "parameters": P.click_params(page, shown, label, platform, context, link_url, extras),
-    })
+    }).drop("_page", "_area", "_context")
 
 
 def page_view_rows(pages: DataFrame) -> DataFrame:
@@ -94,6 +97,8 @@ def page_view_rows(pages: DataFrame) -> DataFrame:
     pages(page_key, url, viewport, page_category, context)."""
     page = F.coalesce(T.blank_null(F.col("page_category")), F.lit(T.DEFAULT_PAGE))
     platform = T.platform_label(F.col("viewport"))
+    pages = pages.withColumn("page_category", page)
+    page = F.col("page_category")
     return pages.select(
         *[c for c in pages.columns if c not in ("page_category", "context")],
         F.lit(0).alias("tag_id"), page.alias("text"), F.lit("document").alias("selector_hint"),
@@ -239,6 +244,7 @@ def resolve_targets(saved: DataFrame, elements: DataFrame) -> DataFrame:
     saved(page_id, saved_id, tag_id, selector_hint, selectors_fallback, has_bbox),
     elements(page_id, tag_id, selector_hint).  Order: tag id, hint that occurs once, first fallback
     that occurs once, box only, none."""
+    saved, elements = settle(saved), settle(elements)
     unique = elements.groupBy("page_id", F.col("selector_hint").alias("_sel")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("tag_id").alias("_tag")
     ).filter("_n = 1").drop("_n")

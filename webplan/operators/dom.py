@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from webplan.functions import text as T
 from webplan.functions import urls as U
+from webplan.session import settle
 
 PAGE_END = 2147483647
 MAX_ANCESTORS = 24
@@ -62,7 +63,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     clean = F.regexp_replace("html", RAW_TEXT, "")
     tokens = (
         pages.select("page_id", clean.alias("_html"))
-        .repartition("page_id")
+        # a fixed number: parsing costs far more than the bytes suggest, so these partitions must not
+        # be merged again by size
+        .repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
         .select("page_id", F.posexplode(F.regexp_extract_all("_html", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     )
     tag = F.lower(F.regexp_extract("token", TAG_NAME, 1))
@@ -76,7 +79,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     bare = F.col("tag").isin(FORMAT_TAGS) & ~F.col("token").contains("=")
     junk = F.col("token").rlike(r"^<[^A-Za-z/]") & (F.length("token") > 1)
     return (
-        tokens.withColumn("tag", tag).withColumn("kind", kind).withColumn("token", text)
+        tokens.withColumn("tag", tag).withColumn("kind", kind)
+        .select("page_id", "pos", "kind", "tag", text.alias("token"))
         .filter(~bare & ~junk & ~((F.col("kind") == "close") & F.col("tag").isin(VOID_TAGS + FORMAT_TAGS)))
     )
 
@@ -162,8 +166,7 @@ def _nodes(pages: DataFrame) -> DataFrame:
     cls = F.lower(F.coalesce(attribute("class"), F.lit("")))
     role = F.lower(F.trim(F.coalesce(attribute("role"), F.lit(""))))
     style = F.lower(F.coalesce(attribute("style"), F.lit("")))
-    rows = rows.withColumn("cls", cls).withColumn("role", role).withColumn("style", style)
-    rows = rows.withColumn("href", F.trim(attribute("href")))
+    rows = rows.select("*", cls.alias("cls"), role.alias("role"), style.alias("style"), F.trim(attribute("href")).alias("href"))
     acts = (
         (F.col("role") != "") | attribute("onclick").isNotNull() | attribute("data-action").isNotNull()
         | F.col("cls").rlike("cursor-pointer|swiper-button")
@@ -186,15 +189,13 @@ def _nodes(pages: DataFrame) -> DataFrame:
         "n_chrome": F.col("tag").isin("header", "nav", "footer", "main")
         | F.col("role").isin("navigation", "banner") | F.col("cls").contains("carousel"),
     }
-    for name, mark in marks.items():
-        rows = rows.withColumn(f"_m_{name}", F.when(mark & is_open, 1).otherwise(0))
-    rows = rows.withColumn("needs_text", needs_text).withColumn(
-        "_e",
+    rows = rows.select(
+        "*", needs_text.alias("needs_text"), *[F.when(mark & is_open, 1).otherwise(0).alias(f"_m_{n}") for n, mark in marks.items()],
         F.explode(
             F.when(is_open, F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("step")),
                                     F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))
             .otherwise(F.array(F.struct(F.col("pos").alias("at"), F.lit(0).alias("step"))))
-        ),
+        ).alias("_e"),
     )
     # at one position, containers that end come before the one that starts
     running = _by().orderBy("_e.at", "_e.step").rowsBetween(W.unboundedPreceding, 0)
@@ -205,8 +206,9 @@ def _nodes(pages: DataFrame) -> DataFrame:
         for n in marks
     ]
     base = ["page_id", "pos", "end", "kind", "tag", "token", "attrs", "cls", "role", "style", "href", "needs_text"]
-    out = rows.select(*base, "_e.step", *sums).filter(F.col("step") >= 0).drop("step")
-    return out.withColumn("depth", F.when(F.col("kind") == "void", F.col("depth") + 1).otherwise(F.col("depth")))
+    out = rows.select(*base, "_e.step", *sums).filter(F.col("step") >= 0)
+    depth = F.when(F.col("kind") == "void", F.col("depth") + 1).otherwise(F.col("depth"))
+    return out.select(*base, depth.alias("depth"), *[n for n in marks if n != "depth"])
 
 
 def element_spans(pages: DataFrame) -> DataFrame:
@@ -278,13 +280,18 @@ def _real_href(c: Column) -> Column:
     return F.coalesce(c != "", F.lit(False)) & (c != "#") & ~F.lower(c).startswith("javascript:")
 
 
-def page_elements(pages: DataFrame, texts: bool = True) -> DataFrame:
+def page_elements(pages: DataFrame) -> DataFrame:
     """Every element with attributes, text and what it contains.
 
     page_id, start, end, depth, tag, attrs, cls, role, style, href, text, n_* (enclosing context
     counts), leaf, interactive, has_leaf, inner_href, first_heading, img_src, img_alt, child_p
     """
-    rows = _texts(_nodes(pages)).withColumn("leaf", _leaf()).withColumn("interactive", _interactive())
+    return _elements(_nodes(pages))
+
+
+def _elements(nodes: DataFrame) -> DataFrame:
+    rows = _texts(nodes)
+    rows = rows.select("*", _leaf().alias("leaf"), _interactive().alias("interactive"))
     ahead = _by().orderBy(F.desc("start")).rowsBetween(W.unboundedPreceding, -1)
     nearest = lambda cond, *cols: F.last(
         F.when(cond, F.struct("start", *cols)), ignorenulls=True
@@ -830,9 +837,10 @@ def tagged_markdown(pages: DataFrame, cap: int = 500) -> DataFrame:
 
     Each element that prints a line of its own swallows its content; all other text prints as it
     stands; a blank line follows a block that printed something."""
-    nodes = _nodes(pages)
-    tags = assign_tag_ids(page_elements(pages), cap).select("page_id", "start", "tag_id")
-    els = page_elements(pages).select("page_id", "start", "end", "tag", "text", "attrs", "kind")
+    nodes = settle(_nodes(pages))
+    every = settle(_elements(nodes))
+    tags = assign_tag_ids(every, cap).select("page_id", "start", "tag_id")
+    els = every.select("page_id", "start", "end", "tag", "text", "attrs", "kind")
     block = ["p", "div", "section", "article", "header", "footer", "nav", "main", "li", "ul", "ol", "table", "tr", "td",
              "th", "form"]
     short = lambda c: F.when(F.length(c) <= 80, c).otherwise(F.concat(F.substring(c, 1, 79), F.lit("…")))

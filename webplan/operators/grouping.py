@@ -14,6 +14,7 @@ from webplan.functions import geometry as G
 from webplan.functions import params as P
 from webplan.functions import text as T
 from webplan.functions import urls as U
+from webplan.session import settle
 
 FAR = 999999
 PAGE = ["page_key", "viewport"]
@@ -71,6 +72,7 @@ def _sort_of(first: str) -> list[Column]:
 
 def label_groups(candidates: DataFrame) -> DataFrame:
     """One row per cluster, plus one per page view (its own action, placed first)."""
+    candidates = settle(candidates)
     rows = merge_clusters(candidates)
     groups = rows.groupBy(*BUCKET, "cluster_key").agg(
         cluster_label().alias("label"), F.count(F.lit(1)).cast("int").alias("member_total"),
@@ -169,7 +171,7 @@ def mergeable_pairs(candidates: DataFrame) -> DataFrame:
 def skipped_merges(candidates: DataFrame) -> DataFrame:
     """Pairs of one page that look alike but stay apart, counted by reason: same destination under
     another page category or area, or the same label without destination in another area."""
-    rows = merge_buckets(candidates)
+    rows = settle(merge_buckets(candidates))
     pairs = lambda n: n * (n - 1) / 2
 
     def across(df, same: list[str], differ: list[str], reason: str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webplan.functions import params as P
 from webplan.functions import text as T
+from webplan.session import settle
 
 Namer = Callable[[DataFrame], DataFrame]
 RESPONSE_KEYS = ["suggestions", "results", "items", "candidates", "data"]
@@ -51,7 +52,8 @@ def rule_namer(elements: DataFrame, reason: str = "rule") -> DataFrame:
 def apply_namer(elements: DataFrame, namer: Namer = rule_namer) -> DataFrame:
     """Run a naming step and make it lossless: unknown ids are dropped, missing ids get rule names."""
     keys = ["page_id", "tag_id"]
-    named = namer(elements).join(elements.select(*keys), keys, "left_semi").dropDuplicates(keys)
+    elements = settle(elements)
+    named = settle(namer(elements).join(elements.select(*keys), keys, "left_semi").dropDuplicates(keys))
     missing = elements.join(named.select(*keys), keys, "left_anti")
     return named.unionByName(rule_namer(missing, "missing_from_response"), allowMissingColumns=True)
 

@@ -15,6 +15,7 @@ from webplan.functions import params as P
 from webplan.functions import text as T
 from webplan.operators import candidates as C
 from webplan.operators import grouping as GR
+from webplan.session import settle
 
 BUTTON_LABEL = "{{버튼명}}"
 COMMON = "공통"
@@ -24,8 +25,7 @@ PAGE = ["site", "page_key", "viewport"]
 
 
 def shown(c: Column) -> Column:
-    t = F.trim(T.nz(c))
-    return F.when(F.upper(t) == "FNB", F.lit("Footer")).otherwise(t)
+    return F.regexp_replace(F.trim(T.nz(c)), "(?i)^fnb$", "Footer")
 
 
 def is_page_view(c=F.col) -> Column:
@@ -52,6 +52,7 @@ def action_members(candidates: DataFrame) -> DataFrame:
 
 def label_rows(candidates: DataFrame) -> DataFrame:
     """One row per (page, viewport, page category, area) and one per selected page view."""
+    candidates = settle(candidates)
     members = action_members(candidates)
     direction = T.blank_null(P.param_value(F.col("parameters"), "direction"))
     event = F.coalesce(T.blank_null(F.col("event_name")), F.lit(T.CLICK_EVENT))
@@ -85,6 +86,7 @@ def common_actions(rows: DataFrame) -> DataFrame:
     """(site, viewport, action_key) present on every page of that site and viewport (two at least).
 
     Relational division by counting: pages per action against pages in all."""
+    rows = settle(rows)
     used = rows.filter(F.col("event_name") != T.PAGE_VIEW_EVENT).select(*PAGE, action_key().alias("action_key")).distinct()
     pages = used.select(*PAGE).distinct().groupBy("site", "viewport").agg(F.count(F.lit(1)).alias("pages"))
     per_key = used.filter("action_key <> ''").groupBy("site", "viewport", "action_key").agg(F.count(F.lit(1)).alias("on_pages"))
@@ -98,6 +100,7 @@ def _reading_order() -> Column:
 
 def partition_rows(rows: DataFrame) -> DataFrame:
     """Label rows with ``is_common``."""
+    rows = settle(rows)
     common = common_actions(rows).select("site", "viewport", "action_key", F.lit(True).alias("_c"))
     return rows.withColumn("action_key", action_key()).join(common, ["site", "viewport", "action_key"], "left").withColumn(
         "is_common", F.coalesce("_c", F.lit(False)) & (F.col("event_name") != T.PAGE_VIEW_EVENT)
@@ -106,7 +109,7 @@ def partition_rows(rows: DataFrame) -> DataFrame:
 
 def common_rows(rows: DataFrame) -> DataFrame:
     """Label rows after the common ones of all pages were merged into one per (site, viewport, action)."""
-    parts = partition_rows(rows)
+    parts = settle(partition_rows(rows))
     merged = parts.filter("is_common").groupBy("site", "viewport", "action_key").agg(
         F.min_by(F.struct("page_key", "page_category", "category", "event_name", "action", "direction"), _reading_order()).alias("p"),
         F.min("sort_y").alias("sort_y"), F.min("sort_x").alias("sort_x"), F.sum("member_count").alias("member_count"),
@@ -136,7 +139,7 @@ def attach_docs(rows: DataFrame, docs: DataFrame) -> DataFrame:
     generated sentence.  rows has row_key; docs(key, trigger, description, note, seq)."""
     body = F.struct(F.coalesce("trigger", F.lit("")).alias("trigger"), F.coalesce("description", F.lit("")).alias("description"),
                     F.coalesce("note", F.lit("")).alias("note"))
-    good = _usable(docs)
+    rows, good = settle(rows), settle(_usable(docs))
     exact = good.groupBy(F.col("key").alias("row_key")).agg(F.max_by(body, F.col("seq")).alias("_e"))
     suffix = F.regexp_extract("key", r"(?s)^[^|]*\|(.*)$", 1)
     long_key = F.size(F.split("key", r"\|", -1)) >= 6
@@ -162,8 +165,9 @@ def attach_docs(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def taxonomy_members(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """(site, viewport, row_key, page_key, tag_id, params): the elements behind every taxonomy row."""
+    candidates, rows = settle(candidates), settle(rows)
     parts = partition_rows(rows).select(*PAGE, "page_category", "action", "action_key", "is_common", "event_name")
-    final = common_rows(rows).withColumn("row_key", row_key())
+    final = settle(common_rows(rows).withColumn("row_key", row_key()))
     common = final.filter("is_common").select("site", "viewport", action_key().alias("action_key"), F.col("row_key").alias("_ck"))
     own = final.filter("not is_common").select(*PAGE, "page_category", "action", "event_name", F.col("row_key").alias("_ok"))
     clicks = action_members(candidates).select(*PAGE, "page_category", F.col("area").alias("action"), "tag_id", *_payload_cols())
@@ -185,8 +189,9 @@ def _payload_cols() -> list[Column]:
 
 def taxonomy_rows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """The event table: one row per action (or page view) with tab, documentation and examples."""
-    rows = label_rows(candidates)
-    final = common_rows(rows).withColumn("row_key", row_key())
+    candidates = settle(candidates)
+    rows = settle(label_rows(candidates))
+    final = settle(common_rows(rows).withColumn("row_key", row_key()))
     members = taxonomy_members(candidates, rows)
     first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.struct("tag_id", "page_key")))
     examples = members.groupBy("site", "viewport", "row_key").agg(
@@ -229,6 +234,7 @@ def variable_dictionary(candidates: DataFrame, properties: DataFrame) -> DataFra
     """Seven shared variables per site with type, sample and the events that use them.
 
     properties(name, description, note)."""
+    candidates = settle(candidates)
     chosen = action_members(candidates).select("site", "page_key", "tag_id", "event_name", *_payload_cols()).unionByName(
         candidates.filter(is_page_view() & F.col("selected")).select(
             "site", "page_key", "tag_id", F.lit(T.PAGE_VIEW_EVENT).alias("event_name"), *_payload_cols())
@@ -254,7 +260,8 @@ def variable_dictionary(candidates: DataFrame, properties: DataFrame) -> DataFra
 
 def taxonomy_summary(candidates: DataFrame) -> DataFrame:
     """Counts per site.  Rows and candidates are counted under separate names."""
-    rows = label_rows(candidates)
+    candidates = settle(candidates)
+    rows = settle(label_rows(candidates))
     events = common_rows(rows).groupBy("site").agg(F.count(F.lit(1)).alias("event_count"))
     picked = rows.groupBy("site").agg(F.count(F.lit(1)).alias("selected_rows"))
     total = candidates.groupBy("site").agg(
@@ -288,6 +295,7 @@ def propagate_row_edits(candidates: DataFrame, members: DataFrame, patches: Data
     """An edited taxonomy row changes every element behind it, on every page.
 
     patches(site, row_key, page_category, action, label, event_name, direction); null means unchanged."""
+    candidates, members = settle(candidates), settle(members)
     fields = ["page_category", "action", "label", "event_name", "direction"]
     hit = members.join(patches, ["site", "row_key"]).groupBy("page_key", "viewport", "tag_id").agg(
         F.min_by(F.struct(*fields), "row_key").alias("_p")
@@ -366,7 +374,7 @@ def export_sheets(rows: DataFrame) -> DataFrame:
     by name).  Write with ``partitionBy("sheet")``."""
     view = F.col("event_name") == T.PAGE_VIEW_EVENT
     dash = F.lit("-")
-    keys = rows.select(
+    keys = settle(rows).select(
         "site", "viewport", "is_common", T.sheet_name(F.col("tab_label")).alias("sheet"), "sort_y", "sort_x", "row_key", "page_key",
         F.col("event_name").alias("이벤트명"), T.cell(F.col("trigger")).alias("시점"), T.cell(shown(F.col("category"))).alias("카테고리"),
         F.when(view, dash).otherwise(T.cell(shown(F.col("action")))).alias("액션"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "webplan", cores: str = "8") -> SparkSession:
@@ -29,3 +29,16 @@ def checkpoint_ready(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once that several later branches read, and cut its lineage.
+
+    Without it every branch would plan and run the whole extraction again.  The rows go to the
+    checkpoint folder, so losing an executor does not lose them."""
+    if getattr(df, "_settled", False):
+        return df
+    checkpoint_ready(df.sparkSession)
+    done = df.checkpoint()
+    done._settled = True
+    return done
