@@ -49,14 +49,14 @@ def job_latest(progress: DataFrame) -> DataFrame:
 
 
 STALL_SCHEMA = "job_id string, step string, updated_at timestamp, idle_limit int, status string"
-STALL_STATE = "step string, at double"
+STALL_STATE = "step string, at long"
 
 
 def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (job,) = key
     limit_of = lambda step: Q.CAPTURE_STALL_SECONDS if step in Q.CAPTURE_STEPS else Q.STALL_SECONDS
     row = lambda step, at: pd.DataFrame(
-        {"job_id": [job], "step": [step], "updated_at": [pd.Timestamp(at, unit="s")], "idle_limit": [limit_of(step)], "status": ["stalled"]})
+        {"job_id": [job], "step": [step], "updated_at": [pd.Timestamp(at, unit="us")], "idle_limit": [limit_of(step)], "status": ["stalled"]})
     if state.hasTimedOut:
         step, at = state.get
         state.remove()
@@ -65,11 +65,11 @@ def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     last = state.get if state.exists else None
     for frame in frames:
         newest = frame.sort_values("updated_at").iloc[-1]
-        at = newest["updated_at"].timestamp()
+        at = newest["updated_at"].value // 1000
         if last is None or at >= last[1]:
-            last = (newest["step"], at)
+            last = (str(newest["step"]), int(at))
     state.update(last)
-    deadline = int((last[1] + limit_of(last[0])) * 1000)
+    deadline = last[1] // 1000 + limit_of(last[0]) * 1000
     watermark = state.getCurrentWatermarkMs()
     if deadline <= watermark:
         state.remove()
