@@ -21,7 +21,7 @@ def test_canonical_link_needs_http(one):
 
 
 @pytest.mark.parametrize("raw, url, error", [
-    ("kanu.example.kr).", "https://kanu.example.kr/", None), ("localhost", "https://localhost/", None), ("10.0.0.1/x/?q", "https://10.0.0.1/x", None),
+    ("shop.example.kr).", "https://shop.example.kr/", None), ("localhost", "https://localhost/", None), ("10.0.0.1/x/?q", "https://10.0.0.1/x", None),
     ("nohost", None, "invalid host"), (" / ", None, "url required"), ("http://a.com/b/#c", "http://a.com/b", None),
 ])
 def test_normalize_seed(one, raw, url, error):
