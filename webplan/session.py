@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +26,27 @@ def local_session(name: str = "webplan", cores: str = "8") -> SparkSession:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the cluster's shared folder, or a scratch one in local tests."""
+    """Make ``DataFrame.checkpoint`` usable: the shared folder that the cluster names, or a scratch one in local tests.
+
+    Executors of a cluster do not see each other's disks, so without a shared folder it is an error there."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(folder)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, once per session, for the functions that run in Python there."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    if not any("webplan_package" in f for f in sc.listFiles):
+        here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="webplan-"), "webplan_package")
+        sc.addPyFile(shutil.make_archive(name, "zip", here, "webplan"))
 
 
 def settle(df: DataFrame) -> DataFrame:
