@@ -81,9 +81,9 @@ def _unsettled(links: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links (a, b) of any ordered type -> (node, root): every linked node and the smallest node it reaches.
+    """Links (a, b) of any ordered type -> (node, root): every node that reaches a smaller one, and the smallest.
 
-    Nodes without a link to another node have no row; an empty table gives none.  Links to null are left out."""
+    Roots and nodes without a link have no row; an empty table gives none.  Links to null are left out."""
     pairs = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter(
         "a is not null and b is not null and a <> b"
     )

@@ -171,7 +171,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = lines_of(docs).select("doc_id", "line_no", "line")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     firsts = settled(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")))
-    linked = components(similar_lines(docs)).withColumnRenamed("node", "line")
+    found = components(similar_lines(docs)).withColumnRenamed("node", "line")
+    linked = found.unionByName(found.select(F.col("root").alias("line"), "root").distinct())
     rooted = firsts.join(linked, "line").select("line", "root", "first")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     moved = rooted.join(heads, "root").select(F.col("line").alias("moved"), "head")

@@ -93,13 +93,13 @@ def _rule_cases(what: int) -> str:
 ORACLE = {
     "op6_url_filter": f"""
 WITH parts AS (
-  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS at FROM pages),
-rests AS (SELECT page_id, {_LOWER.format('u')} AS lu, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS rest FROM parts),
+  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+rests AS (SELECT page_id, {_LOWER.format('u')} AS lu, CASE WHEN mark > 0 THEN substr(u, mark + 3) ELSE '' END AS rest FROM parts),
 split AS (SELECT page_id, lu, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 terms AS (SELECT *,
-  len(list_filter({_LIST(url_filter.SOFT)}, t -> regexp_matches(lu, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))::INT AS soft_hits,
-  list_sum(list_transform({_LIST(url_filter.STRICT)}, t -> len(list_filter(range(1, len(lu) + 1), i ->
+  len(list_filter({_LIST(url_filter.SOFT)}, lambda t: regexp_matches(lu, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))::INT AS soft_hits,
+  list_sum(list_transform({_LIST(url_filter.STRICT)}, lambda t: len(list_filter(range(1, len(lu) + 1), lambda i:
     substr(lu, i, len(t)) = t AND NOT regexp_matches(CASE WHEN i > 1 THEN substr(lu, i - 1, 1) ELSE '' END, '[a-z0-9]')
     AND NOT regexp_matches(substr(lu, i + len(t), 1), '[a-z0-9]')))))::INT AS strict_hits FROM split)
 SELECT page_id, host, path, CASE {_rule_cases(0)} END AS rule,
@@ -121,9 +121,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
     "op8_bit_sliced_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])), 0)::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
