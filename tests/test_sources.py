@@ -20,11 +20,11 @@ def test_sitemap_walk_is_breadth_first_and_capped(spark):
     df = spark.createDataFrame(locs, "site string, doc_url string, is_index boolean, pos int, loc string")
     robots = spark.createDataFrame([("a.com", 0, f"{host}/r.xml")], "site string, pos int, sitemap_url string")
     seeds = spark.createDataFrame([("a.com", host)], "site string, origin string")
-    rows = S.expand_sitemaps(df, robots, seeds, 1000).orderBy("ord").collect()
+    rows = S.expand_sitemaps(df, robots, seeds, 1000, 12).orderBy("ord").collect()
     assert [r["doc_url"].replace(host, "") for r in rows] == [
         "/r.xml", "/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/i1.xml", "/s0.xml", "/s1.xml", "/s2.xml", "/s3.xml", "/s4.xml", "/s5.xml"]
     # two pages per document: with a limit of 0.1 pages (2 raw) the walk stops after the first page document
-    short = S.expand_sitemaps(df, robots, seeds, 0.1).orderBy("ord").collect()
+    short = S.expand_sitemaps(df, robots, seeds, 0.1, 12).orderBy("ord").collect()
     assert short[-1]["doc_url"].endswith("/s0.xml")
 
 
@@ -55,10 +55,54 @@ def test_stalls_of_stream_and_batch_agree(spark):
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "job_id string, step string, updated_at timestamp, seq int")
     gaps = {(r["job_id"], r["stalled"]) for r in Q.progress_gaps(df).collect()}
     assert gaps == {("a", False), ("b", True), ("c", False)}
-    path = tempfile.mkdtemp(prefix="spark-stall-", dir="/tmp") + "/t"
-    first = df.filter(F.col("updated_at") < F.lit(at(1)))
-    for part in (first, spark.createDataFrame([("z", "view", at(130))], "job_id string, step string, updated_at timestamp"), spark.createDataFrame([("z", "view", at(131))], "job_id string, step string, updated_at timestamp")):
-        part.select("job_id", "step", "updated_at").coalesce(1).write.mode("append").parquet(path)
-    s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = {r["job_id"] for r in run(J.stalled_jobs(s), "append").collect()}
-    assert got == {"a", "b"}  # c waits in a capture step, whose limit is longer
+    late = spark.createDataFrame([("z", "view", at(400))], "job_id string, step string, updated_at timestamp")
+    rows = df.select("job_id", "step", "updated_at").unionByName(late)
+    got = sorted((r["job_id"], r["last_update"]) for r in run(rows, "updated_at", J.stalled_jobs, "append").collect())
+    # b stalled twice; c waits in a capture step, whose limit is longer, and stalls after it
+    assert got == [("a", at(89)), ("b", at(0)), ("b", at(95)), ("c", at(120))]
+
+
+def test_items_count_once_however_often_they_are_updated(spark):
+    base = dt.datetime(2024, 1, 1)
+    steps = ["pending", "capturing", "done"]
+    rows = [("j", "i1", s, False, base + dt.timedelta(hours=20 * n), n) for n, s in enumerate(steps)] + [("j", "i2", "pending", False, base, 9)]
+    df = spark.createDataFrame(rows, "job_id string, item_id string, status string, cancel boolean, ts timestamp, seq int")
+    keys = ["job_id", "item_id"]
+    newest = J.fold_slices(run(df, "ts", lambda r: J.item_latest(r, keys, ["status", "cancel"]), "update"), keys)
+    p = J.capture_progress(newest.withColumnRenamed("status", "capture_status")).first()
+    assert (p["pending"], p["capturing"], p["done"], p["failed"], p["total"]) == (1, 0, 1, 0, 2)
+    b = J.batch_status(newest.withColumnRenamed("job_id", "batch_id").withColumn("status", F.lit("done"))).first()
+    assert (b["total"], b["done_count"], b["status"]) == (2, 2, "done")
+    assert {r["item_id"]: r["updates"] for r in newest.collect()} == {"i1": 3, "i2": 1}
+
+
+def test_addresses_come_once_and_a_stopped_discovery_keeps_them(spark):
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("a.com", "https://a.com/x", None, t(0)), ("a.com", "https://a.com/x#1", None, t(50)), ("a.com", "https://a.com/", None, t(51)), ("a.com", None, "stopped", t(60)),
+            ("b.com", "https://b.com/y", None, t(30))]
+    found = run(spark.createDataFrame(rows, "site string, url string, event string, ts timestamp"), "ts", J.stream_discovery, "append")
+    got = sorted((r["site"], r["kind"], r["url"]) for r in found.collect())
+    assert got == [("a.com", "end", ""), ("a.com", "link", "https://a.com/x"), ("a.com", "seed", "https://a.com/"), ("b.com", "link", "https://b.com/y"), ("b.com", "seed", "https://b.com/")]
+    assert {r["site"]: (r["total"], r["state"]) for r in J.discovery_totals(found).collect()} == {"a.com": (2, "stopped"), "b.com": (2, "running")}
+
+
+def test_expired_sessions_are_purged(spark):
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = J.session_expiry(spark.createDataFrame([("u", t(0)), ("v", t(0)), ("v", t(10))], "user_id string, created_at timestamp"))
+    kept, gone = J.purge(rows.limit(0), rows, F.lit(t(15)), ["user_id"])
+    assert [r["user_id"] for r in kept.collect()] == ["v"] and [r["user_id"] for r in gone.collect()] == ["u"]
+
+
+def test_large_sites_and_projects_stay_whole(spark):
+    site = "https://a.com"
+    body = lambda locs: "<sitemapindex>" + "".join(f"<loc>{site}/m{i}.xml</loc>" for i in locs) + "</sitemapindex>"
+    docs = [("a.com", f"{site}/sitemap.xml", body(range(40)))] + [("a.com", f"{site}/m{i}.xml", f"<urlset><loc>{site}/p{i}</loc></urlset>") for i in range(40)]
+    locs = S.sitemap_locs(spark.createDataFrame(docs, "site string, doc_url string, body string"))
+    robots = spark.createDataFrame([], "site string, pos int, sitemap_url string")
+    rows = S.expand_sitemaps(locs, robots, spark.createDataFrame([("a.com", site)], "site string, origin string")).collect()
+    assert sum(r["pages"] for r in rows) == 40
+    job = F.struct(F.lit("j").alias("job_id"), F.lit("done").alias("status"), F.lit("pc").alias("viewport"), F.lit("u").alias("capture_url"))
+    one = spark.range(1).select(F.lit(1).alias("project_id"), F.lit(1).alias("step"), F.lit("c").alias("cover_url"),
+                                F.array().cast("array<struct<url:string,viewports:array<string>>>").alias("urls"), F.array_repeat(job, 1200).alias("jobs"))
+    done = Q.project_rollup(one).first()
+    assert (done["page_count"], done["analyzed_count"]) == (1200, 1200)

@@ -149,10 +149,10 @@ HINTS = (f"left(concat_ws(' | ', {CUT('aria-label', 80)}, {CUT('placeholder', 80
          f"{CUT('data-testid', 60)}), 240)")
 
 
-@query("assign_tag_ids", sq("""n AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS c FROM ids)
-  SELECT page_id, tag_id, pos::INT AS start, tag, phase, greatest(c - 12, 0)::INT AS dropped_by_cap FROM n WHERE tag_id <= 12"""))
+@query("assign_tag_ids", sq("""z AS (SELECT 1)
+  SELECT page_id, tag_id, pos::INT AS start, tag, phase, 0 AS dropped_by_cap FROM ids"""))
 def _(spark, d):
-    return D.assign_tag_ids(rich_elements(spark, d), 12).select("page_id", "tag_id", "start", "tag", "phase", "dropped_by_cap")
+    return D.assign_tag_ids(rich_elements(spark, d)).select("page_id", "tag_id", "start", "tag", "phase", "dropped_by_cap")
 
 
 @query("element_label", sq(f"{IMG} z AS (SELECT 1) SELECT page_id, tag_id, {LABEL} AS label FROM lb im"))
@@ -367,7 +367,7 @@ def _(spark, d):
 @query("login_wall", f"""WITH rp AS (SELECT page_id, {RICH_HTML} AS html FROM pages),
   c AS (SELECT page_id, {SQ_CLEAN.replace("' '", "''")} AS html FROM rp),
   b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM c)
-  SELECT page_id FROM b WHERE regexp_matches(left({sq_decode('t')}, 2000), '(?i)login|sign in')""")
+  SELECT page_id FROM b WHERE regexp_matches({sq_decode('t')}, '(?i)login|sign in')""")
 def _(spark, d):
     pages = rich_pages(spark, d)
     return D.login_wall(D.page_elements(pages), pages)

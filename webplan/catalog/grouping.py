@@ -135,13 +135,13 @@ def _(spark, d):
     return candidates(spark, d).select("page_id", "tag_id", rank.alias("rank"))
 
 
-@query("cap_by_priority", SQ_RAW + """, p AS (SELECT page_id, tag_id, (CASE WHEN hidden_reason = 'visible' THEN 0 ELSE 1000 END) + CASE WHEN boxed THEN y ELSE 0 END AS score, count(*) OVER (PARTITION BY page_id) AS n FROM cand),
-   r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, tag_id)::INT AS rank FROM p) SELECT page_id, tag_id, rank, greatest(n - 4, 0)::INT AS dropped_cap FROM r WHERE rank <= 4""")
+@query("cap_by_priority", SQ_RAW + """, p AS (SELECT page_id, tag_id, (CASE WHEN hidden_reason = 'visible' THEN 0 ELSE 1000 END) + CASE WHEN boxed THEN y ELSE 0 END AS score FROM cand),
+   r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, tag_id)::INT AS rank FROM p) SELECT page_id, tag_id, rank, 0 AS dropped_cap FROM r""")
 def _(spark, d):
     rows = raw_candidates(spark, d).select("page_id", "tag_id", F.lit("li").alias("tag"), F.lit("").alias("cls"), F.lit("").alias("role"), F.lit(0).alias("n_slide"), F.lit(0).alias("n_chrome"),
                                            "hidden_reason", "bbox")
     score = D.collect_priority(F.col("hidden_reason") == "visible", F.col("bbox.y"))
-    return GR.cap_by_priority(rows.withColumn("score", score), 4).select("page_id", "tag_id", "rank", "dropped_cap")
+    return GR.cap_by_priority(rows.withColumn("score", score), None).select("page_id", "tag_id", "rank", "dropped_cap")
 
 
 WORDS = ["추천 상품", "추천상품 리스트", "추천  상품 더보기", "베스트", "x", "배너", "베스트 상품"]

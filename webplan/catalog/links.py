@@ -165,10 +165,10 @@ def _(spark, d):
 @query("resolve_link", SQ_ANCHORS + sq_parse("u", "a", "url", "page_id, pos, href") + f""",
   p AS (SELECT *, ({sq_encode(SQ_HPATH, U.PATH_UNSAFE)}) AS hp, ({sq_encode(SQ_HQUERY, U.QUERY_UNSAFE)}) AS hq FROM u)
   SELECT page_id, pos::INT AS pos, hp || hq AS same_origin, 'https://other.example.org' || hp || hq AS cross_origin,
-    path || query AS hash_only, NULL::VARCHAR AS none FROM p WHERE href LIKE '/%'""")
+    path || query AS hash_only, NULL::VARCHAR AS none FROM p""")
 def _(spark, d):
     h = F.col("href")
-    return anchors(spark, d).filter(h.startswith("/")).select(
+    return anchors(spark, d).select(
         "page_id", "pos", U.resolve_link(h, F.col("url")).alias("same_origin"),
         U.resolve_link(F.concat(F.lit("https://other.example.org"), h), F.col("url")).alias("cross_origin"),
         U.resolve_link(F.lit("#frag"), F.col("url")).alias("hash_only"),
@@ -328,11 +328,11 @@ def _(spark, d):
 
 
 def sitemap_docs(spark, d):
-    """One sitemap per page; every fifth is an index that names the two following documents."""
+    """One sitemap per page; every fifth is an index that names the two following indexes."""
     p = with_site(urls(spark, d))
     doc = lambda k: F.concat(F.lit("https://"), F.col("site"), F.lit("/s-"), (F.col("page_id") + k).cast("string"), F.lit(".xml"))
     esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
-    index = F.concat(F.lit('<sitemapindex xmlns="x"><sitemap><loc>'), doc(3), F.lit("</loc></sitemap><sitemap><LOC>\n "), doc(6),
+    index = F.concat(F.lit('<sitemapindex xmlns="x"><sitemap><loc>'), doc(5), F.lit("</loc></sitemap><sitemap><LOC>\n "), doc(10),
                      F.lit(" </LOC></sitemap></sitemapindex>"))
     urlset = F.concat(F.lit("<urlset><url><loc> "), esc, F.lit(" </loc></url><url><loc></loc></url><url><loc><![CDATA["),
                       F.col("page_key"), F.lit("]]></loc></url></urlset>"))
@@ -341,20 +341,26 @@ def sitemap_docs(spark, d):
 
 
 @query("sitemap_locs", PAGES_U + """, x AS (SELECT page_id, root AS site, page_id % 5 = 0 AS is_index, t, page_key FROM u)
-  SELECT page_id, is_index, 0 AS pos, CASE WHEN is_index THEN 'https://' || site || '/s-' || (page_id + 3) || '.xml' ELSE t END AS loc FROM x
+  SELECT page_id, is_index, 0 AS pos, CASE WHEN is_index THEN 'https://' || site || '/s-' || (page_id + 5) || '.xml' ELSE t END AS loc FROM x
   UNION ALL SELECT page_id, is_index, CASE WHEN is_index THEN 1 ELSE 2 END, CASE WHEN is_index THEN
-   'https://' || site || '/s-' || (page_id + 6) || '.xml' ELSE page_key END FROM x""")
+   'https://' || site || '/s-' || (page_id + 10) || '.xml' ELSE page_key END FROM x""")
 def _(spark, d):
     return S.sitemap_locs(sitemap_docs(spark, d)).select("page_id", "is_index", "pos", "loc")
 
 
-@query("expand_sitemaps")
+@query("expand_sitemaps", PAGES_U.replace("WITH", "WITH RECURSIVE", 1) + """, docs AS (SELECT root AS site, page_id AS n, page_id % 5 = 0 AS is_index FROM u),
+  walk AS (SELECT site, min(n) AS n FROM docs WHERE is_index GROUP BY 1
+    UNION SELECT w.site, w.n + t.step FROM walk w JOIN docs d ON d.site = w.site AND d.n = w.n AND d.is_index, (VALUES (5), (10)) t(step))
+  SELECT walk.site, 'https://' || walk.site || '/s-' || walk.n || '.xml' AS doc_url, is_index, CASE WHEN is_index THEN 0 WHEN NOT is_index THEN 2 ELSE 0 END::BIGINT AS pages
+    FROM walk LEFT JOIN docs ON docs.site = walk.site AND docs.n = walk.n
+  UNION ALL SELECT DISTINCT site, 'https://' || site || p, NULL, 0 FROM docs,
+    (VALUES ('/sitemap.xml'), ('/sitemap_index.xml'), ('/sitemap-index.xml'), ('/sitemap/sitemap.xml')) v(p)""")
 def _(spark, d):
     docs = sitemap_docs(spark, d)
     seeds = docs.select("site").distinct().select("site", F.concat(F.lit("https://"), F.col("site")).alias("origin"))
     robots = docs.filter(F.col("page_id") % 5 == 0).groupBy("site").agg(F.min_by("doc_url", "page_id").alias("sitemap_url")).select(
         "site", F.lit(0).alias("pos"), "sitemap_url")
-    return S.expand_sitemaps(S.sitemap_locs(docs), robots, seeds, 100)
+    return S.expand_sitemaps(S.sitemap_locs(docs), robots, seeds).select("site", "doc_url", "is_index", "pages")
 
 
 @query("same_root_docs", SQ_VARIED + """ SELECT site, origin || path || query AS url, seq FROM u WHERE root = 'example.com'""")

@@ -1,4 +1,4 @@
-"""Streaming queries: events are read as a file stream, run to the end, and the result is read back."""
+"""Streaming queries: a table arrives in three parts, the stream runs after each, and the sink is read back."""
 
 from __future__ import annotations
 
@@ -8,94 +8,115 @@ from webplan.catalog.base import PAGES_U, query, table
 from webplan.catalog.fields import ts_micros
 from webplan.catalog.quality import SQ_PROGRESS, STEPS
 from webplan.catalog.tables import scratch
+from webplan.functions import urls as U
 from webplan.streaming import jobs as J
 
+PARTS = 3
 
-def event_stream(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return s.withColumn("at", F.timestamp_micros(ts_micros()))
 
+def run(rows, ts, job, mode):
+    """Let ``rows`` arrive in the order of ``ts`` in parts, run ``job`` on what is new after each, and read the sink.
 
-def run(stream, mode, keys=None):
-    """Run a stream over what is there now; with ``keys`` keep the newest emitted row per key."""
-    spark = stream.sparkSession
-    out = scratch(spark)
+    Every part is a micro-batch of its own, over the same checkpoint, so state is carried over restarts.  The sink
+    writes one folder per batch and overwrites it when a batch is repeated."""
+    spark = rows.sparkSession
+    source, sink, state = (f"{scratch(spark)}/{x}" for x in ("source", "sink", "state"))
+    at = F.unix_micros(ts)
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.lit(0) if low is None else F.least(F.lit(PARTS - 1), F.floor((at - low) * PARTS / max(1, high - low))).cast("int")
 
     def save(frame, batch):
-        frame.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(out)
+        frame.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    q = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark)).foreachBatch(save)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    rows = spark.read.parquet(out)
-    if not keys:
-        return rows.drop("_batch")
-    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("v")).select(*keys, "v.*")
+    rows = rows.withColumn("_part", part)
+    for n in range(PARTS):
+        rows.filter(F.col("_part") == n).drop("_part").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.drop("_part").schema).parquet(source)
+        job(stream).writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(save).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).drop("batch")
 
 
-@query("stream_discovery", PAGES_U + " SELECT DISTINCT root AS site, canonical AS url FROM u")
-def _(spark, d):
-    from webplan.functions import urls as U
+def timed_events(spark, d):
+    return table(spark, d, "events").withColumn("at", F.timestamp_micros(ts_micros()))
+
+
+SQ_FOUND = PAGES_U + """, found AS (SELECT DISTINCT root AS site, canonical AS url FROM u WHERE canonical <> 'https://' || root || '/'),
+  sites AS (SELECT DISTINCT root AS site FROM u)"""
+
 
-    schema = spark.read.parquet(f"{d}/pages.parquet").schema
-    p = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    twice = p.select(U.site_of(F.col("url")).alias("site"), F.explode(F.array("url", F.concat("url", F.lit("#again")))).alias("url"), F.lit("map").alias("source"),
-                     F.timestamp_seconds(F.col("page_id") + 1700000000).alias("ts"))
-    return run(J.stream_discovery(twice), "append").select("site", "url")
+def discovery(spark, d):
+    """Every page address twice, hours apart, and a terminal event for two of three sites."""
+    p = table(spark, d, "pages").select(
+        U.site_of(F.col("url")).alias("site"), F.explode(F.array("url", F.concat("url", F.lit("#again")))).alias("url"), "page_id")
+    day = F.when(F.col("url").endswith("#again"), 86400).otherwise(0)
+    links = p.select("site", "url", F.lit(None).cast("string").alias("event"), F.timestamp_seconds(F.col("page_id") + day + 1700000000).alias("ts"))
+    ends = p.select("site").distinct().filter("site <> 'example.org'").select(
+        "site", F.lit(None).cast("string").alias("url"), F.when(F.col("site") == "example.com", "done").otherwise("stopped").alias("event"),
+        F.timestamp_seconds(F.lit(1700200000)).alias("ts"))
+    return run(links.unionByName(ends), "ts", J.stream_discovery, "append")
 
 
-@query("discovery_totals", "SELECT user_id % 3 AS site, count(*) AS total, arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END, ts) FILTER (event_type IN ('error', 'purchase')) AS ended FROM events GROUP BY 1")
+@query("stream_discovery", SQ_FOUND + """ SELECT site, 'link' AS kind, url, NULL::VARCHAR AS event FROM found
+  UNION ALL SELECT site, 'seed', 'https://' || site || '/', NULL FROM sites
+  UNION ALL SELECT site, 'end', '', CASE WHEN site = 'example.com' THEN 'done' ELSE 'stopped' END FROM sites WHERE site <> 'example.org'""")
 def _(spark, d):
-    ev = F.when(F.col("event_type") == "error", F.lit("error")).when(F.col("event_type") == "purchase", F.lit("done")).otherwise(F.lit("batch"))
-    s = event_stream(spark, d).select((F.col("user_id") % 3).alias("site"), ev.alias("event"), F.col("at").alias("ts"))
-    return run(J.discovery_totals(s), "update", ["site"])
+    return discovery(spark, d).select("site", "kind", "url", "event")
 
 
-def progress_stream(spark, d):
+@query("discovery_totals", SQ_FOUND + """ SELECT site, count(*) + 1 AS total,
+  CASE site WHEN 'example.org' THEN 'running' WHEN 'example.com' THEN 'done' ELSE 'stopped' END AS state FROM found GROUP BY site""")
+def _(spark, d):
+    return J.discovery_totals(discovery(spark, d))
+
+
+def progress_rows(spark, d):
     stage = F.lit(None).cast("string")
     for k, v in STEPS.items():
         stage = F.when(F.col("event_type") == k, F.lit(v)).otherwise(stage)
     status = F.when(F.col("event_type") == "error", F.lit("failed")).when(F.col("event_type") == "purchase", F.lit("done")).otherwise(F.lit("running"))
-    return event_stream(spark, d).select(
-        F.col("user_id").cast("string").alias("job_id"), stage.alias("stage"), F.when(F.col("event_type") == "click", F.lit("page_capture")).otherwise(F.col("event_type")).alias("step"),
+    return timed_events(spark, d).select(
+        F.col("user_id").cast("string").alias("job_id"), stage.alias("stage"),
+        F.when(F.col("event_type") == "click", F.lit("page_capture")).otherwise(F.col("event_type")).alias("step"),
         F.floor("value").cast("int").alias("current"), F.lit(20).alias("total"), status.alias("status"), F.col("at").alias("updated_at"))
 
 
 @query("job_latest", SQ_PROGRESS + " SELECT job_id, stage, status, percent, updates FROM jl")
 def _(spark, d):
-    return run(J.job_latest(progress_stream(spark, d)), "update", ["job_id"]).select("job_id", "stage", "status", "percent", "updates")
+    rows = run(progress_rows(spark, d), "updated_at", J.job_latest, "update")
+    return J.fold_jobs(rows).select("job_id", "stage", "status", "percent", "updates")
 
 
-@query("stalled_jobs")
+@query("stalled_jobs", """WITH e AS (SELECT user_id::VARCHAR AS job_id, event_id, CASE WHEN event_type = 'click' THEN 'page_capture' ELSE event_type END AS step, epoch_us(ts) AS us FROM events),
+  f AS (SELECT *, max(us + CASE WHEN step = 'page_capture' THEN 180000000 ELSE 90000000 END) OVER (PARTITION BY job_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM e),
+  s AS (SELECT *, sum(CASE WHEN upto IS NULL OR us > upto THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY us, event_id) AS n FROM f),
+  g AS (SELECT job_id, n, arg_max(step, us) AS step, max(us) AS last_us, max(us + CASE WHEN step = 'page_capture' THEN 180000000 ELSE 90000000 END) AS end_us, count(*) AS updates FROM s GROUP BY 1, 2)
+  SELECT job_id, step, last_us, end_us, updates FROM g WHERE end_us // 1000 <= (SELECT max(us) // 1000 - 15000 FROM e)""")
 def _(spark, d):
-    # the watermark moves between batches, so the events are laid out as files in time order first
-    path = scratch(spark)
-    src = table(spark, d, "events").withColumn("at", F.timestamp_micros(ts_micros()))
-    day = F.floor(F.unix_seconds("at") / 432000)
-    src.select(F.col("user_id").cast("string").alias("job_id"), F.when(F.col("event_type") == "click", F.lit("page_capture")).otherwise(F.col("event_type")).alias("step"),
-               F.col("at").alias("updated_at")).repartitionByRange(6, day).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return run(J.stalled_jobs(s), "append").select("job_id", "step", "idle_limit", "status")
-
-
-@query("session_expiry", "SELECT user_id, event_id, epoch_us(ts) // 1000000 + 1209600 AS expires_s FROM events WHERE ts + INTERVAL 14 DAY > TIMESTAMP '2024-01-20 00:00:00'")
+    rows = run(progress_rows(spark, d).select("job_id", "step", "updated_at"), "updated_at", J.stalled_jobs, "append")
+    return rows.select("job_id", "step", F.unix_micros("last_update").alias("last_us"), F.unix_micros("stalled_at").alias("end_us"), "updates")
+
+
+@query("session_expiry", """WITH n AS (SELECT user_id, max(epoch_us(ts)) AS us FROM events GROUP BY 1)
+  SELECT user_id, us // 1000000 + 1209600 AS expires_s FROM n WHERE us + 1209600000000 > epoch_us(TIMESTAMP '2024-02-06 00:00:00')""")
 def _(spark, d):
-    s = event_stream(spark, d).select("user_id", "event_id", F.col("at").alias("created_at"))
-    rows = run(J.session_expiry(s), "append")
-    return J.valid_at(rows, F.timestamp_seconds(F.lit(1705708800))).select("user_id", "event_id", F.unix_seconds("expires_at").alias("expires_s"))
+    sessions = timed_events(spark, d).select("user_id", F.col("at").alias("created_at"))
+    rows = run(sessions, "created_at", J.session_expiry, "append")
+    kept, _gone = J.purge(rows.limit(0), rows, F.timestamp_seconds(F.lit(1707177600)), ["user_id"])
+    return kept.select("user_id", F.unix_seconds("expires_at").alias("expires_s"))
 
 
-@query("upsert_tag_events", """SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS screen_id, json_extract_string(props, '$.k') AS stable_key, arg_max(CASE WHEN value < 5 THEN event_type ELSE 'n' || event_id END, ts) AS event_name,
+@query("upsert_tag_events", """SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS screen_id, json_extract_string(props, '$.k') AS stable_key,
+  arg_max(CASE WHEN value < 5 THEN event_type ELSE 'n' || event_id END, (ts, event_id)) AS event_name,
   count(*) AS accepted, count(*) - 1 AS skipped FROM events GROUP BY 1, 2, 3""")
 def _(spark, d):
-    s = event_stream(spark, d).select((F.col("user_id") % 10).cast("string").alias("session_id"), F.col("event_type").alias("screen_id"), F.get_json_object("props", "$.k").alias("stable_key"), "event_type",
-                                      F.when(F.col("value") >= 5, F.concat(F.lit("n"), "event_id")).alias("event_name"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
-    return run(J.tag_event_state(s), "update", ["session_id", "screen_id", "stable_key"])
+    rows = timed_events(spark, d).select(
+        (F.col("user_id") % 10).cast("string").alias("session_id"), F.col("event_type").alias("screen_id"),
+        F.get_json_object("props", "$.k").alias("stable_key"), "event_type",
+        F.when(F.col("value") >= 5, F.concat(F.lit("n"), "event_id")).alias("event_name"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
+    keys = ["session_id", "screen_id", "stable_key"]
+    state = J.fold_slices(run(rows, "ts", J.tag_event_state, "update"), keys)
+    return state.select(*keys, "event_name", F.col("updates").alias("accepted"), (F.col("updates") - 1).alias("skipped"))
 
 
 @query("fold_tag_events", """WITH e AS (SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS sc, json_extract_string(props, '$.k') AS k, event_id % 2 AS b FROM events), o AS (SELECT DISTINCT session_id, sc, k FROM e WHERE b = 0),
@@ -109,33 +130,55 @@ def _(spark, d):
     return J.fold_tag_events(store, e.filter("seq % 2 = 1"))[1]
 
 
-@query("patch_tag_event", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'click' THEN 'patched' ELSE event_type END AS event_name, 'ok' AS qa_status, props AS notes FROM events WHERE event_id % 3 = 0")
+@query("patch_tag_event", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'click' THEN 'patched' ELSE event_type END AS event_name, 'ok' AS qa_status, props AS notes FROM events WHERE event_type <> 'view'")
 def _(spark, d):
-    store = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event_name"), F.lit("new").alias("qa_status"), F.lit("s").alias("source"), F.col("props").alias("notes"))
+    # patches come for every event; those that only viewed were never stored as tag events
+    stored = table(spark, d, "events").filter("event_type <> 'view'").select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event_name"), F.lit("new").alias("qa_status"),
+        F.lit("s").alias("source"), F.col("props").alias("notes"))
     none = F.lit(None).cast("string")
-    p = event_stream(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "click", F.lit("patched")).alias("event_name"), F.lit("ok").alias("qa_status"), none.alias("source"), none.alias("notes"))
-    return run(J.patch_tag_events(p, store), "append").select("event_id", "event_name", "qa_status", "notes")
+    patches = timed_events(spark, d).select(
+        F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "click", F.lit("patched")).alias("event_name"),
+        F.lit("ok").alias("qa_status"), none.alias("source"), none.alias("notes"), "at")
+    rows = run(patches, "at", lambda p: J.patch_tag_events(p, stored), "append")
+    return rows.select("event_id", "event_name", "qa_status", "notes")
 
 
-@query("selection_state", "SELECT user_id::VARCHAR AS page_key, json_extract_string(props, '$.k')::INT AS tag_id, arg_max(value >= 10, ts) AS selected FROM events GROUP BY 1, 2")
+@query("selection_state", """SELECT user_id::VARCHAR AS page_key, json_extract_string(props, '$.k')::INT AS tag_id, arg_max(value >= 10, (ts, event_id)) AS selected FROM events GROUP BY 1, 2""")
 def _(spark, d):
-    s = event_stream(spark, d).select(F.col("user_id").cast("string").alias("page_key"), F.get_json_object("props", "$.k").cast("int").alias("tag_id"), (F.col("value") >= 10).alias("selected"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
-    return run(J.selection_state(s), "update", ["page_key", "tag_id"]).select("page_key", "tag_id", "selected")
+    rows = timed_events(spark, d).select(
+        F.col("user_id").cast("string").alias("page_key"), F.get_json_object("props", "$.k").cast("int").alias("tag_id"),
+        (F.col("value") >= 10).alias("selected"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
+    state = J.fold_slices(run(rows, "ts", J.selection_state, "update"), ["page_key", "tag_id"])
+    return state.select("page_key", "tag_id", "selected")
+
+
+SQ_ITEMS = """WITH i AS (SELECT user_id, json_extract_string(props, '$.k') AS k, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1, 2)"""
+
+
+def item_rows(spark, d, names, otherwise):
+    """Items of a job, updated again and again, with a state by event type."""
+    state = F.lit(otherwise)
+    for k, v in names.items():
+        state = F.when(F.col("event_type") == k, F.lit(v)).otherwise(state)
+    return timed_events(spark, d).select(
+        F.col("user_id").alias("job_id"), F.get_json_object("props", "$.k").alias("item_id"), state.alias("status"),
+        (F.col("user_id") % 3 == 0).alias("cancel"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def newest_items(rows):
+    keys = ["job_id", "item_id"]
+    return J.fold_slices(run(rows, "ts", lambda r: J.item_latest(r, keys, ["status", "cancel"]), "update"), keys)
 
 
-@query("batch_status", """WITH b AS (SELECT user_id AS batch_id, count(*) AS total, count_if(event_type IN ('purchase', 'error')) AS fin, bool_or(user_id % 3 = 0) AS c, count_if(event_type NOT IN ('purchase', 'error')) AS o FROM events GROUP BY 1)
+@query("batch_status", SQ_ITEMS + """, b AS (SELECT user_id AS batch_id, count(*) AS total, count_if(t IN ('purchase', 'error')) AS fin, user_id % 3 = 0 AS c, count_if(t NOT IN ('purchase', 'error')) AS o FROM i GROUP BY 1, user_id % 3)
   SELECT batch_id, total, c AS cancelled, CASE WHEN c THEN least(total, fin + o) ELSE fin END AS done_count, CASE WHEN c THEN o ELSE 0 END AS stopped_items, CASE WHEN c OR fin >= total THEN 'done' ELSE 'running' END AS status FROM b""")
 def _(spark, d):
-    st = F.when(F.col("event_type") == "purchase", F.lit("done")).when(F.col("event_type") == "error", F.lit("error")).when(F.col("event_type") == "click", F.lit("naming")).otherwise(F.lit("running"))
-    s = event_stream(spark, d).select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("item_id"), st.alias("status"), (F.col("user_id") % 3 == 0).alias("cancel"))
-    return run(J.batch_status(s), "update", ["batch_id"])
+    rows = item_rows(spark, d, {"purchase": "done", "error": "error", "click": "naming"}, "running")
+    return J.batch_status(newest_items(rows).withColumnRenamed("job_id", "batch_id"))
 
 
-@query("capture_progress", "SELECT user_id AS job_id, count_if(event_type = 'view') AS pending, count_if(event_type = 'click') AS capturing, count_if(event_type = 'purchase') AS done, count_if(event_type = 'error') AS failed, count(*) AS total FROM events GROUP BY 1")
+@query("capture_progress", SQ_ITEMS + " SELECT user_id AS job_id, count_if(t = 'view') AS pending, count_if(t = 'click') AS capturing, count_if(t = 'purchase') AS done, count_if(t = 'error') AS failed, count(*) AS total FROM i GROUP BY 1")
 def _(spark, d):
-    m = {"view": "pending", "click": "capturing", "purchase": "done", "error": "failed"}
-    st = F.lit("other")
-    for k, v in m.items():
-        st = F.when(F.col("event_type") == k, F.lit(v)).otherwise(st)
-    s = event_stream(spark, d).select(F.col("user_id").alias("job_id"), st.alias("capture_status"))
-    return run(J.capture_progress(s), "update", ["job_id"])
+    rows = item_rows(spark, d, {"view": "pending", "click": "capturing", "purchase": "done", "error": "failed"}, "other")
+    return J.capture_progress(newest_items(rows).withColumnRenamed("status", "capture_status"))

@@ -24,7 +24,6 @@ from webplan.functions import urls as U
 from webplan.session import settle
 
 PAGE_END = 2147483647
-MAX_ANCESTORS = 24
 
 RAW_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\z)|<!doctype[^>]*>"
 TOKEN = r"""</?[A-Za-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[^>]*>|[^<]+|<"""
@@ -349,17 +348,19 @@ def is_pointer_block() -> Column:
     )
 
 
-def assign_tag_ids(elements: DataFrame, cap: int = 500) -> DataFrame:
-    """tag_id 1..cap per page: controls in document order, then pointer-styled blocks.  Adds ``text``
-    and ``identification_hints`` and the number of elements over the cap (``dropped_by_cap``)."""
+def assign_tag_ids(elements: DataFrame, cap: int | None = None) -> DataFrame:
+    """tag_id 1, 2, … per page: controls in document order, then pointer-styled blocks.  Adds ``text``
+    and ``identification_hints``.  Only a caller who asks for a ``cap`` loses the elements above it;
+    ``dropped_by_cap`` is their number."""
     phase = F.when(F.col("interactive") & ~is_wrapper(), 1).when(is_pointer_block() & ~F.col("interactive"), 2)
     rows = elements.withColumn("phase", phase).filter("phase is not null")
     order = _by().orderBy("phase", "start")
     shown = F.when(F.col("phase") == 2, _pointer_label()).otherwise(F.col("text"))
-    rows = rows.withColumn("tag_id", F.row_number().over(order)).withColumn(
-        "dropped_by_cap", F.greatest(F.count(F.lit(1)).over(_by()) - cap, F.lit(0)).cast("int")
-    )
-    return with_labels(rows.filter(F.col("tag_id") <= cap), shown)
+    rows = rows.withColumn("tag_id", F.row_number().over(order))
+    if cap is None:
+        return with_labels(rows.withColumn("dropped_by_cap", F.lit(0)), shown)
+    over = F.greatest(F.count(F.lit(1)).over(_by()) - cap, F.lit(0)).cast("int")
+    return with_labels(rows.withColumn("dropped_by_cap", over).filter(F.col("tag_id") <= cap), shown)
 
 
 def _file_name(src: Column) -> Column:
@@ -427,8 +428,8 @@ def with_siblings(elements: DataFrame) -> DataFrame:
     )
 
 
-def with_ancestors(elements: DataFrame, wanted: Column, depth: int = MAX_ANCESTORS) -> DataFrame:
-    """Rows matching ``wanted``, each with ``chain``: itself and up to ``depth`` ancestors, nearest first.
+def with_ancestors(elements: DataFrame, wanted: Column, depth: int | None = None) -> DataFrame:
+    """Rows matching ``wanted``, each with ``chain``: itself and its ancestors (at most ``depth``), nearest first.
 
     Every element offers itself at its own depth and asks once for each depth above it; the newest
     element offered at a depth is the ancestor.  Linear in elements, no join."""
@@ -437,7 +438,7 @@ def with_ancestors(elements: DataFrame, wanted: Column, depth: int = MAX_ANCESTO
     facts = F.struct(*[c for c in (
         "start", "end", "depth", "tag", "attrs", "cls", "role", "style", "href", "text", "first_heading", "nth", "same_tag",
     ) if c in elements.columns])
-    first_level = F.greatest(F.lit(1), F.col("depth") - depth)
+    first_level = F.lit(1) if depth is None else F.greatest(F.lit(1), F.col("depth") - depth)
     asks = F.when(wanted & (F.col("depth") > 1), F.sequence(first_level, F.col("depth") - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
@@ -577,9 +578,7 @@ def parental_context(chain: Column) -> Column:
 def nav_link(chain: Column, inner_href: Column, hints: Column, base: Column) -> Column:
     """Destination of an element: its own link, the nearest enclosing one, the first one inside, or
     the ``href=`` among its hints."""
-    links = F.filter(
-        F.slice(chain, 1, MAX_ANCESTORS + 1), lambda n: (n["tag"] == "a") & _real_href(n["href"])
-    )
+    links = F.filter(chain, lambda n: (n["tag"] == "a") & _real_href(n["href"]))
     hinted = F.regexp_extract(hints, r"(?:^|\s)href=(\S+)", 1)
     target = F.coalesce(
         F.get(links, F.lit(0))["href"], F.when(_real_href(inner_href), inner_href), F.when(_real_href(hinted), hinted)
@@ -764,8 +763,8 @@ def collect_priority(visible: Column, y: Column) -> Column:
     return score + F.greatest(F.lit(0), F.coalesce(y, F.lit(0)))
 
 
-def expand_triggers(elements: DataFrame, n: int = 80) -> DataFrame:
-    """Controls that probably open a hidden menu, best ``n`` per page."""
+def expand_triggers(elements: DataFrame, n: int | None = None) -> DataFrame:
+    """Controls that probably open a hidden menu, ranked per page; the best ``n`` if asked."""
     ahead = _by().orderBy(F.desc("start")).rowsBetween(W.unboundedPreceding, -1)
     menu = F.col("tag").isin("ul", "div", "nav") & F.col("style").rlike(
         r"display\s*:\s*none|visibility\s*:\s*hidden|max-height\s*:\s*0px"
@@ -797,7 +796,7 @@ def expand_triggers(elements: DataFrame, n: int = 80) -> DataFrame:
     best = F.row_number().over(_by().orderBy(F.desc("score"), "start"))
     return (
         rows.withColumn("_f", first).filter((F.col("_f") == 1) & (F.col("score") >= 15) & ~F.col("_plain"))
-        .withColumn("rank", best).filter(F.col("rank") <= n).drop("_f", "_plain")
+        .withColumn("rank", best).filter(F.lit(True) if n is None else F.col("rank") <= n).drop("_f", "_plain")
     )
 
 
@@ -821,18 +820,19 @@ def panel_links(chained: DataFrame) -> DataFrame:
     return rows.withColumn("_f", first).filter("_f = 1").drop("_f")
 
 
-def login_wall(elements: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages whose source shows a password field and sign-in wording in the first 2000 characters of text."""
+def login_wall(elements: DataFrame, pages: DataFrame, head: int | None = None) -> DataFrame:
+    """Pages whose source shows a password field and sign-in wording, anywhere or in the first ``head`` characters."""
     field = static_visibility(elements).filter(
         (F.col("tag") == "input") & (F.lower(F.coalesce(attribute("type"), F.lit(""))) == "password")
     ).groupBy("page_id").agg(F.min_by("is_visible", "start").alias("shown"))
     body = F.regexp_replace(F.regexp_replace("html", RAW_TEXT, ""), r"(?is)^.*?<body[^>]*>|<head\b.*?</head\s*>", "")
-    words = F.substring(T.display_spacing(T.decode_entities(F.regexp_replace(body, "<[^>]*>", " "))), 1, 2000)
+    words = T.display_spacing(T.decode_entities(F.regexp_replace(body, "<[^>]*>", " ")))
+    words = words if head is None else F.substring(words, 1, head)
     worded = pages.select("page_id", words.rlike("(?i)로그인|login|sign in|아이디|비밀번호").alias("worded"))
     return worded.join(field.filter("shown").select("page_id"), "page_id").filter("worded").select("page_id")
 
 
-def tagged_markdown(pages: DataFrame, cap: int = 500) -> DataFrame:
+def tagged_markdown(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """page_id, markdown: readable text where tagged elements appear as ``[text](tag:N)``.
 
     Each element that prints a line of its own swallows its content; all other text prints as it
@@ -913,7 +913,7 @@ def same_href_wrappers(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ composed tables
 
 
-def element_table(pages: DataFrame, cap: int = 500) -> DataFrame:
+def element_table(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """The element inventory used by every later job: one row per tagged element."""
     base = with_siblings(page_elements(pages))
     tagged = F.col("interactive") & ~is_wrapper() | (is_pointer_block() & ~F.col("interactive"))

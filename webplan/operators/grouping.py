@@ -202,12 +202,14 @@ def tree_for_viewport(candidates: DataFrame) -> DataFrame:
     return groups.select(*BUCKET, "cluster_key", "label", "member_total", *_sort_of("_first"))
 
 
-def cap_by_priority(rows: DataFrame, cap: int = 800) -> DataFrame:
-    """First ``cap`` elements of a page by ``score``, with the number left out."""
+def cap_by_priority(rows: DataFrame, cap: int | None) -> DataFrame:
+    """Elements of a page ranked by ``score``, the first ``cap`` of them with the number left out, or all."""
     w = W.partitionBy("page_id")
+    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy("score", "tag_id")))
+    if cap is None:
+        return ranked.withColumn("dropped_cap", F.lit(0))
     return (
-        rows.withColumn("rank", F.row_number().over(w.orderBy("score", "tag_id")))
-        .withColumn("dropped_cap", F.greatest(F.count(F.lit(1)).over(w) - cap, F.lit(0)).cast("int"))
+        ranked.withColumn("dropped_cap", F.greatest(F.count(F.lit(1)).over(w) - cap, F.lit(0)).cast("int"))
         .filter(F.col("rank") <= cap)
     )
 

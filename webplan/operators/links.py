@@ -17,13 +17,13 @@ SALTS = 64
 
 # Result sizes asked for one after the other during discovery.
 STEP_CAPS = [20, 40, 80, 150, 300, 500, 1000, 2000, 5000]
-MAX_LINKS = 5000
 
 
-def clamp_limit(n: Column, default: int) -> Column:
+def clamp_limit(n: Column, default: int, most: int = 5000) -> Column:
+    """A wished number of links, from 1 to ``most``; ``default`` where none is given."""
     v = F.floor(n)
     chosen = F.when(n.isNull() | F.isnan(n.cast("double")) | (n == 0), F.lit(default)).otherwise(v)
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_LINKS), chosen)).cast("int")
+    return F.greatest(F.lit(1), F.least(F.lit(most), chosen)).cast("int")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column, rank: str = "rank") -> DataFrame:

@@ -137,10 +137,13 @@ def capture_qc(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
         F.count_if(real).alias("candidate_count"), F.count_if(real & boxed).alias("with_overlay_bbox"),
         F.count_if(real & F.col("capture_found")).alias("capture_found_count"),
         F.count_if(real & F.col("no_capture")).alias("no_capture_count"), F.count_if(lost).alias("missing_count"),
-        # a job is one page, so the list is bounded by the element cap
-        F.slice(F.array_sort(F.collect_list(F.when(lost, F.col("tag_id")))), 1, 8).alias("missing_sample"),
     )
-    rows = jobs.join(c, "job_id", "left").fillna(0, [
+    # the sample in a warning is the first eight ids
+    first = F.row_number().over(W.partitionBy("job_id").orderBy("tag_id"))
+    sample = candidates.filter(lost).select("job_id", "tag_id", first.alias("_n")).filter(F.col("_n") <= 8).groupBy("job_id").agg(
+        F.array_sort(F.collect_list("tag_id")).alias("missing_sample"))
+    rows = jobs.join(c, "job_id", "left").join(sample, "job_id", "left").withColumn(
+        "missing_sample", F.coalesce("missing_sample", F.array().cast("array<int>"))).fillna(0, [
         "candidate_count", "with_overlay_bbox", "capture_found_count", "no_capture_count", "missing_count", "png_bytes",
         "positions_saved",
     ])
@@ -204,7 +207,7 @@ def merge_hints(hints: DataFrame) -> DataFrame:
 
     # hints per element come from at most a few sources
     rows = hints.groupBy("page_id", "tag_id").agg(ordered.alias("h")).withColumn(
-        "m", F.aggregate(F.slice("h", 2, 1000000), F.col("h")[0], step))
+        "m", F.aggregate(F.slice("h", F.lit(2), F.size("h")), F.col("h")[0], step))
     return rows.select("page_id", "tag_id", "m.source", "m.event_name", "m.confidence", "m.note")
 
 
@@ -324,7 +327,7 @@ def progress_gaps(progress: DataFrame) -> DataFrame:
 def project_rollup(projects: DataFrame) -> DataFrame:
     """projects(project_id, step, cover_url, urls array<struct<url,viewports>>,
     jobs array<struct<job_id,status,viewport,capture_url>>) → one summary row each."""
-    urls, jobs = F.slice("urls", 1, 500), F.slice("jobs", 1, 1000)
+    urls, jobs = F.col("urls"), F.col("jobs")
     inputs = F.aggregate(urls, F.lit(0), lambda n, u: n + F.greatest(F.lit(1), F.coalesce(F.size(u["viewports"]), F.lit(1))))
     done = F.filter(jobs, lambda j: j["status"] == "done")
     cover_of = lambda j: F.coalesce(

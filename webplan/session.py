@@ -25,19 +25,24 @@ def local_session(name: str = "webplan", cores: str = "8") -> SparkSession:
     return spark
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the shared folder that the cluster names, or a scratch one in local tests.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for files all executors see; in local tests a scratch one.
 
     Executors of a cluster do not see each other's disks, so without a shared folder it is an error there."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not (sc.master or "").startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable, in the shared folder unless the session has set another."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def ship_package(spark: SparkSession) -> None:

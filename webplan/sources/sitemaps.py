@@ -12,7 +12,6 @@ from webplan.session import checkpoint_ready
 
 # Paths tried on every site after the robots entries.
 WELL_KNOWN_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml"]
-MAX_DOCUMENTS = 12
 
 
 def robots_sitemaps(docs: DataFrame) -> DataFrame:
@@ -53,14 +52,14 @@ def same_root_docs(docs: DataFrame, url: str, root: str) -> DataFrame:
     return docs.withColumn(url, U.with_url(F.col(url), full)).filter(F.col(url).isNotNull())
 
 
-def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit: int,
-                    max_docs: int = MAX_DOCUMENTS) -> DataFrame:
+def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit: int | None = None,
+                    max_docs: int | None = None) -> DataFrame:
     """Breadth-first walk over sitemap documents that are already in the corpus.
 
     locs(site, doc_url, is_index, pos, loc), robots(site, pos, sitemap_url), seeds(site, origin)
     → (site, ord, doc_url, is_index, pages): documents visited, in visiting order.
-    The queue is kept to ``max_docs`` entries per site, which is exact because later entries can
-    never be visited; every loop table therefore holds at most ``max_docs`` rows per site.
+    A caller may stop a site after ``max_docs`` documents, or once ``limit`` * 20 pages were listed by
+    the documents before; otherwise everything reachable is visited.
     """
     spark = locs.sparkSession
     checkpoint_ready(spark)
@@ -77,7 +76,7 @@ def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit:
     queue = first.select("site", "doc_url", F.row_number().over(_by("at")).alias("ord")).checkpoint()
     frontier = queue
     index_locs = locs.filter("is_index").select("site", "doc_url", "pos", "loc")
-    for _ in range(max_docs):
+    while not frontier.isEmpty():
         found = frontier.join(index_locs, ["site", "doc_url"]).select(
             "site", F.struct(F.col("ord").alias("a"), F.col("pos").cast("long").alias("b")).alias("at"),
             F.col("loc").alias("doc_url"),
@@ -87,11 +86,9 @@ def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit:
         frontier = (
             fresh.join(size, "site")
             .select("site", "doc_url", (F.col("_n") + F.row_number().over(_by("at"))).alias("ord"))
-            .filter(F.col("ord") <= max_docs)
+            .filter(F.lit(True) if max_docs is None else F.col("ord") <= max_docs)
             .checkpoint()
         )
-        if frontier.isEmpty():
-            break
         queue = queue.unionByName(frontier).checkpoint()
     stats = locs.groupBy("site", "doc_url").agg(
         F.max("is_index").alias("is_index"),
@@ -100,24 +97,25 @@ def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit:
     before = F.coalesce(
         F.sum("pages").over(W.partitionBy("site").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
-    return (
-        queue.join(stats, ["site", "doc_url"], "left")
-        .withColumn("pages", F.coalesce("pages", F.lit(0)))
-        .withColumn("_before", before)
-        .filter((F.col("_before") < limit * 20) & (F.col("ord") <= max_docs))
-        .select("site", "ord", "doc_url", "is_index", "pages")
-    )
+    rows = queue.join(stats, ["site", "doc_url"], "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    if limit is not None:
+        rows = rows.withColumn("_before", before).filter(F.col("_before") < limit * 20)
+    if max_docs is not None:
+        rows = rows.filter(F.col("ord") <= max_docs)
+    return rows.select("site", "ord", "doc_url", "is_index", "pages")
 
 
 def _by(order: str):
     return W.partitionBy("site").orderBy(order)
 
 
-def _take_new(rows: DataFrame, visited: DataFrame | None, n: int) -> DataFrame:
-    """First sighting of each address not queued yet; at most ``n`` per site."""
+def _take_new(rows: DataFrame, visited: DataFrame | None, n: int | None) -> DataFrame:
+    """First sighting of each address not queued yet; at most ``n`` per site if asked."""
     once = rows.groupBy("site", "doc_url").agg(F.min("at").alias("at"))
     if visited is not None:
         once = once.join(visited.select("site", "doc_url"), ["site", "doc_url"], "left_anti")
+    if n is None:
+        return once.select("site", "doc_url", "at")
     salted = once.withColumn("_s", F.pmod(F.xxhash64("doc_url"), F.lit(64)))
     part = W.partitionBy("site", "_s").orderBy("at")
     return (

@@ -1,104 +1,148 @@
 """Structured Streaming jobs over job progress, discovery batches, tag events and selections.
 
-Every job takes a streaming DataFrame and returns one; the caller chooses sink and trigger.
-Event time is the update time of a row: rows older than the watermark are dropped, otherwise the
-latest event time wins.
-"""
+A streaming job takes a streaming DataFrame and returns one; the caller chooses sink and trigger.  Event time is the
+update time of a row: rows older than the watermark are dropped, otherwise the latest event time wins.
 
-from __future__ import annotations
+Keyed state is kept per key and slice of event time (``latest_rows``), so the watermark can let old slices go; a key
+that is updated later opens a new slice.  ``fold_slices`` is the batch view over what the sink holds: the newest row per
+key, however many batches and slices it was spread over.  Counts are taken on that view, after the latest row per item
+is known."""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webplan.functions import geometry as G
 from webplan.functions import text as T
+from webplan.functions import urls as U
 from webplan.operators import quality as Q
 
+# Item states that a cancelled batch turns into errors, and the message they get.
 CANCELLABLE = ["queued", "running", "collecting", "naming"]
 CANCELLED_TEXT = "중단됨"
+# Events that end a discovery.
+TERMINAL = ["done", "stopped", "error"]
 
 
-def stream_discovery(batches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each address of a site once, however many batches repeat it within the watermark.
+# ------------------------------------------------------------------ latest row per key
 
-    batches(site, url, source, ts)."""
-    from webplan.functions import urls as U
 
-    key = F.coalesce(U.canonical_link(F.col("url")), F.trim("url"))
-    return (
-        batches.withColumn("url", key).filter(F.col("url") != "")
-        .withWatermark("ts", delay).dropDuplicatesWithinWatermark(["site", "url"])
+def latest_rows(rows: DataFrame, keys: list[str], fields: list[str], ts: str = "ts", seq: str = "seq",
+                delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """Newest row per key and slice of event time (update mode): keys, slice, row, at, updates.
+
+    State is one row per key and slice, dropped once the watermark has passed the slice."""
+    at = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    return rows.withWatermark(ts, delay).groupBy(*keys, F.window(ts, span).alias("slice")).agg(
+        F.max_by(F.struct(*fields), at).alias("row"), F.max(at).alias("at"), F.count(F.lit(1)).alias("updates")
     )
 
 
-def discovery_totals(batches: DataFrame) -> DataFrame:
-    """Running number of links per site (update mode), with the newest terminal event if any.
+def fold_slices(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Emitted slices, each perhaps several times -> newest row per key: keys, fields, ts, updates."""
+    once = rows.groupBy(*keys, "slice").agg(
+        F.max_by("row", "at").alias("row"), F.max("at").alias("at"), F.max("updates").alias("updates"))
+    return once.groupBy(*keys).agg(
+        F.max_by("row", "at").alias("row"), F.max("at").alias("at"), F.sum("updates").alias("updates")
+    ).select(*keys, "row.*", F.col("at.ts").alias("ts"), "updates")
+
+
+# ------------------------------------------------------------------ discovery
+
+
+def stream_discovery(batches: DataFrame, delay: str | None = None) -> DataFrame:
+    """Rows of a discovery, each once: the seed of a site with its first row, every address, and terminal events.
+
+    batches(site, url, event, ts); a terminal row has an event (done, stopped or error) and no address.  Result: site,
+    kind (seed | link | end), url, event, ts.  Without ``delay`` an address is never given twice, for which the state
+    holds every address seen; with it, repeats are recognised only within the watermark and the state is bounded."""
+    ends = F.col("event").isin(TERMINAL)
+    key = F.coalesce(U.canonical_link(F.col("url")), F.trim("url"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, url, event: F.struct(F.lit(kind).alias("kind"), url.alias("url"), event.alias("event"))
+    found = batches.withColumn("_r", F.explode(F.array_compact(F.array(
+        row("seed", F.concat(F.lit("https://"), F.col("site"), F.lit("/")), none),
+        F.when(ends, row("end", F.lit(""), F.col("event"))).when(F.coalesce(key, F.lit("")) != "", row("link", key, none)),
+    )))).select("site", "_r.*", "ts").withColumn("_e", F.coalesce("event", F.lit("")))
+    # the seed itself is not listed a second time as a link
+    found = found.filter(~((F.col("kind") == "link") & (F.col("url") == F.concat(F.lit("https://"), F.col("site"), F.lit("/")))))
+    same = ["site", "kind", "url", "_e"]
+    once = found.dropDuplicates(same) if delay is None else found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(same)
+    return once.drop("_e")
+
+
+def discovery_totals(rows: DataFrame) -> DataFrame:
+    """Batch view over the rows of stream_discovery: addresses per site, seed included, and how it ended.
+
+    A discovery that was stopped or failed keeps what it had found; ``state`` is running until a terminal row came."""
+    ended = F.max_by("event", F.when(F.col("kind") == "end", F.col("ts")))
+    return rows.groupBy("site").agg(F.count_if(F.col("kind") != "end").alias("total"), ended.alias("_end")).select(
+        "site", "total", F.coalesce("_end", F.lit("running")).alias("state"))
+
+
+# ------------------------------------------------------------------ job progress
 
-    The distinct count is approximate only in name: addresses reach this job once, from stream_discovery."""
-    return batches.groupBy("site").agg(
-        F.count(F.lit(1)).alias("total"), F.max_by("event", F.when(F.col("event").isin("done", "stopped", "error"), F.col("ts"))).alias("ended")
-    )
 
+def job_latest(progress: DataFrame, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """Newest state and percentage per job and slice (update mode); see ``fold_jobs``."""
+    pct = G.stage_percent(F.col("stage"), F.col("current"), F.col("total"))
+    at = F.struct("updated_at", "current")
+    alive = F.when(F.col("stage") != "failed", at)
+    return progress.withWatermark("updated_at", delay).groupBy("job_id", F.window("updated_at", span).alias("slice")).agg(
+        F.max_by(F.struct("stage", "status", "current", "total"), at).alias("s"), F.max(at).alias("at"),
+        F.max_by(pct, alive).alias("percent"), F.max(alive).alias("percent_at"), F.count(F.lit(1)).alias("updates"))
 
-def job_latest(progress: DataFrame) -> DataFrame:
-    """Newest state and percentage per job (update mode); same aggregate as the batch job."""
-    return Q.job_latest(progress)
-
-
-STALL_SCHEMA = "job_id string, step string, updated_at timestamp, idle_limit int, status string"
-STALL_STATE = "step string, at long"
-
-
-def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (job,) = key
-    limit_of = lambda step: Q.CAPTURE_STALL_SECONDS if step in Q.CAPTURE_STEPS else Q.STALL_SECONDS
-    row = lambda step, at: pd.DataFrame(
-        {"job_id": [job], "step": [step], "updated_at": [pd.Timestamp(at, unit="us")], "idle_limit": [limit_of(step)], "status": ["stalled"]})
-    if state.hasTimedOut:
-        step, at = state.get
-        state.remove()
-        yield row(step, at)
-        return
-    last = state.get if state.exists else None
-    for frame in frames:
-        newest = frame.sort_values("updated_at").iloc[-1]
-        at = newest["updated_at"].value // 1000
-        if last is None or at >= last[1]:
-            last = (str(newest["step"]), int(at))
-    state.update(last)
-    deadline = last[1] // 1000 + limit_of(last[0]) * 1000
-    watermark = state.getCurrentWatermarkMs()
-    if deadline <= watermark:
-        state.remove()
-        yield row(*last)
-    else:
-        state.setTimeoutTimestamp(deadline)
+
+def fold_jobs(rows: DataFrame) -> DataFrame:
+    """Emitted job slices -> newest state per job; a failed job keeps the percentage it had."""
+    once = rows.groupBy("job_id", "slice").agg(
+        F.max_by("s", "at").alias("s"), F.max("at").alias("at"), F.max_by("percent", "percent_at").alias("percent"),
+        F.max("percent_at").alias("percent_at"), F.max("updates").alias("updates"))
+    return once.groupBy("job_id").agg(
+        F.max_by("s", "at").alias("s"), F.max("at").alias("at"), F.max_by("percent", "percent_at").alias("percent"),
+        F.sum("updates").alias("updates"),
+    ).select("job_id", "s.*", F.col("at.updated_at").alias("updated_at"), F.coalesce("percent", F.lit(0)).alias("percent"), "updates")
 
 
 def stalled_jobs(progress: DataFrame, delay: str = "15 seconds") -> DataFrame:
-    """Jobs without an update for 90 s (180 s while capturing), judged by event time.
+    """Every time a job went without an update for 90 s (180 s while capturing), judged by event time (append mode).
 
-    progress(job_id, step, updated_at).  State per job is one step name and one time."""
+    progress(job_id, step, updated_at).  A session of updates ends where the next one is later than every update's own
+    limit; it is told when the watermark passes its end, and its state goes with it.  A capture step grants its 180 s
+    even when another step follows it."""
+    limit = F.when(F.col("step").isin(Q.CAPTURE_STEPS), f"{Q.CAPTURE_STALL_SECONDS} seconds").otherwise(f"{Q.STALL_SECONDS} seconds")
     return (
-        progress.select("job_id", "step", "updated_at").withWatermark("updated_at", delay).groupBy("job_id")
-        .applyInPandasWithState(_watch, STALL_SCHEMA, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        progress.withWatermark("updated_at", delay).groupBy("job_id", F.session_window("updated_at", limit).alias("_w"))
+        .agg(F.max_by("step", "updated_at").alias("step"), F.max("updated_at").alias("last_update"), F.count(F.lit(1)).alias("updates"))
+        .select("job_id", "step", "last_update", F.col("_w.end").alias("stalled_at"), "updates", F.lit("stalled").alias("status"))
     )
 
 
+# ------------------------------------------------------------------ sessions
+
+
 def session_expiry(sessions: DataFrame, days: int = 14) -> DataFrame:
-    """Sessions with their end of life; rows older than the lifetime leave the stream by watermark."""
-    return sessions.withWatermark("created_at", f"{days} days").withColumn(
-        "expires_at", F.col("created_at") + F.make_interval(days=F.lit(days))
-    )
+    """Sessions with their end of life.  Stateless: nothing is dropped here, see ``valid_at`` and ``purge``."""
+    return sessions.withColumn("expires_at", F.col("created_at") + F.make_interval(days=F.lit(days)))
 
 
-def valid_at(sessions: DataFrame, now) -> DataFrame:
+def valid_at(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.filter(F.col("expires_at") > now)
 
 
+def purge(store: DataFrame, batch: DataFrame, now: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch of sessions into the store: the newest row per key, without those expired at ``now``.
+
+    Returns the new store and the purged rows."""
+    rest = [c for c in store.columns if c not in keys]
+    newest = store.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*rest), "created_at").alias("_v")).select(*keys, "_v.*")
+    return valid_at(newest, now), newest.filter(F.col("expires_at") <= now)
+
+
+# ------------------------------------------------------------------ tag events
+
+
 def tag_event_name():
     """Name of an event that carries none: clicks are called click, others by their type."""
     return F.coalesce(T.blank_null(F.col("event_name")), F.col("event_type"))
@@ -123,12 +167,11 @@ def fold_tag_events(store: DataFrame, batch: DataFrame) -> tuple[DataFrame, Data
     return keep.unionByName(newest.select(*keys, "v.*")), counts
 
 
-def tag_event_state(events: DataFrame) -> DataFrame:
-    """The same keyed state as a streaming aggregate (update mode)."""
-    return events.withColumn("event_name", tag_event_name()).groupBy("session_id", "screen_id", "stable_key").agg(
-        F.max_by("event_name", F.struct("ts", "seq")).alias("event_name"), F.count(F.lit(1)).alias("accepted"),
-        (F.count(F.lit(1)) - 1).alias("skipped"),
-    )
+def tag_event_state(events: DataFrame, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """The same keyed state as a stream of slices (update mode); ``fold_slices`` gives the newest row per key, whose
+    ``updates`` are the accepted events: one upserted, the others skipped though they overwrite."""
+    named = events.withColumn("event_name", tag_event_name())
+    return latest_rows(named, ["session_id", "screen_id", "stable_key"], ["event_name", "event_type"], delay=delay, span=span)
 
 
 PATCHABLE = ["event_name", "qa_status", "source", "notes"]
@@ -140,17 +183,23 @@ def patch_tag_events(patches: DataFrame, store: DataFrame) -> DataFrame:
     return patches.join(known, "event_id").select("event_id", *[F.coalesce(f, f"_{f}").alias(f) for f in PATCHABLE])
 
 
-def selection_state(patches: DataFrame) -> DataFrame:
-    """Latest boolean per page and element (update mode); anything else is ignored."""
-    return patches.filter(F.col("selected").isNotNull()).groupBy("page_key", "tag_id").agg(
-        F.max_by("selected", F.struct("ts", "seq")).alias("selected"), F.max("ts").alias("ts")
-    )
+def selection_state(patches: DataFrame, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """Latest boolean per page and element as slices (update mode); anything else is ignored."""
+    return latest_rows(patches.filter(F.col("selected").isNotNull()), ["page_key", "tag_id"], ["selected"], delay=delay, span=span)
+
+
+# ------------------------------------------------------------------ batches of items
+
+
+def item_latest(items: DataFrame, keys: list[str], fields: list[str], delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """Newest update per item as slices (update mode), from which the two reports below count."""
+    return latest_rows(items, keys, fields, delay=delay, span=span)
 
 
 def batch_status(items: DataFrame) -> DataFrame:
-    """State per batch (update mode).  A cancelled batch turns its unfinished items into errors.
+    """State per batch over the newest row of each item.  A cancelled batch turns its unfinished items into errors.
 
-    items(batch_id, item_id, status, cancel)."""
+    items(batch_id, item_id, status, cancel), one row per item."""
     finished = F.col("status").isin("done", "error", "login_required")
     return items.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(finished).alias("finished"), F.max("cancel").alias("cancelled"),
@@ -163,9 +212,11 @@ def batch_status(items: DataFrame) -> DataFrame:
     )
 
 
-def capture_progress(updates: DataFrame) -> DataFrame:
-    """Counts per capture status and job (update mode)."""
+def capture_progress(items: DataFrame) -> DataFrame:
+    """Counts per capture status and job over the newest row of each element.
+
+    items(job_id, candidate_id, capture_status), one row per element."""
     s = F.col("capture_status")
-    return updates.groupBy("job_id").agg(
+    return items.groupBy("job_id").agg(
         *[F.count_if(s == k).alias(k) for k in ("pending", "capturing", "done", "failed")], F.count(F.lit(1)).alias("total")
     )
