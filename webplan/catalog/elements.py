@@ -288,7 +288,7 @@ def _(spark, d):
     return D.ancestor_selectors(elements(spark, d)).select("page_id", "start", "resolved_selector", "resolved_depth")
 
 
-NAV = CHAIN + f"""own AS (SELECT page_id, pos, arg_min({sq_decode(at('href'))}, k) AS href FROM ct WHERE k <= 24 AND atag = 'a' AND {at('href')} NOT IN ('', '#') GROUP BY ALL),
+NAV = CHAIN + f"""own AS (SELECT page_id, pos, arg_min({sq_decode(at('href'))}, k) AS href FROM ct WHERE atag = 'a' AND {at('href')} NOT IN ('', '#') GROUP BY ALL),
 inn AS (SELECT i.page_id, i.pos, arg_min(e.href, e.pos) AS href FROM ids i JOIN el e ON e.page_id = i.page_id AND e.tag = 'a' AND e.href IS NOT NULL
   AND i.pos < e.pos AND e.pos < i.pend GROUP BY ALL),
 tgt AS (SELECT ids.page_id, ids.pos, ids.tag_id, ids.tag, ids.role, coalesce(own.href, inn.href) AS href FROM ids LEFT JOIN own USING (page_id, pos) LEFT JOIN inn USING (page_id, pos)),

@@ -23,10 +23,14 @@ def urls(spark, d):
 
 
 def sq_decode(x):
-    ents = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
-    for a, b in ents:
-        x = f"replace({x}, {s(a)}, {s(b)})"
-    return x
+    """Character references by number, and those names that occur in the corpus or in markup added to it."""
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
+    named = " ".join(f"WHEN rtrim(p, ';') = '&{k}' THEN {s(v)}" for k, v in names.items())
+    return (
+        f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(regexp_extract_all({x}, '&#?[A-Za-z0-9]+;?|[^&]+|&'), "
+        f"lambda p: CASE {named} WHEN p = '&apos;' THEN chr(39) WHEN regexp_matches(p, '^&#[0-9]+;?$') THEN chr(regexp_extract(p, '[0-9]+')::INT) "
+        f"WHEN regexp_matches(p, '^&#[xX][0-9A-Fa-f]+;?$') THEN chr(('0x' || regexp_extract(p, '[xX]([0-9A-Fa-f]+)', 1))::INT) ELSE p END), '') ELSE {x} END"
+    )
 
 
 def scalar(name, expr, sql):

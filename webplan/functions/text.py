@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,13 @@ HERO_PATTERN = r"(?i)메인|main|hero|visual|top|rolling"
 
 HANGUL_PATTERN = "[가-힣]"
 
+# White space as browsers' scripts know it.
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# What the references to the numbers 128 to 159 stand for on the web.
+C1_NUMBERS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+C1_MEANING = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+REFERENCE = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of ``key`` in a small fixed table, null when absent."""
@@ -71,33 +81,54 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*items), key)
 
 
+def trimmed(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def blank_null(c: Column) -> Column:
     """Trimmed text, with blank turned into null (so coalesce can pick the next source)."""
-    return F.get(F.filter(F.array(F.trim(c)), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.array(trimmed(c)), lambda x: x != ""), F.lit(0))
 
 
 def nz(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _character(number: Column) -> Column:
+    """The character of a reference's number; one that stands for none gives the replacement character."""
+    none = (number <= 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(number.isNull() | none, F.lit("\ufffd")).otherwise(F.translate(char, C1_NUMBERS, C1_MEANING))
+
+
+def _referred(piece: Column) -> Column:
+    """What a piece of text stands for: a character reference by number or name, or itself."""
+    hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*([0-9A-Fa-f]{1,8});?$", 1)
+    decimal = F.regexp_extract(piece, r"^&#0*([0-9]{1,10});?$", 1)
+    number = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(decimal).try_cast("bigint")
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    named = F.try_element_at(names, F.substring(piece, 2, 64))
+    return F.when(piece.rlike("^&#"), _character(number)).when(piece.rlike("^&[A-Za-z]"), F.coalesce(named, piece)).otherwise(piece)
+
+
 def decode_entities(c: Column) -> Column:
-    out = c
-    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                    ("&amp;", "&")):
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.when(c.contains("&"), out).otherwise(c)
+    """Character references replaced, by number or by the names of the standard (without its semicolon only where the
+    name may stand so and no letter or digit follows)."""
+    pieces = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, _referred), "")).otherwise(c)
 
 
 def display_spacing(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def compact_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"\s+", ""))
+    return F.lower(F.regexp_replace(c, f"{SPACE}+", ""))
 
 
 def canonical_event_name(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+", "")
+    return F.regexp_replace(c, f"{SPACE}+", "")
 
 
 def _slug(c: Column) -> Column:

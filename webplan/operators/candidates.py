@@ -47,8 +47,11 @@ SUGGESTION = ["category", "action", "label", "merge_label", "event_name", "param
 
 
 def attach_suggestions(elements: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Every element with exactly one suggestion (``s`` struct); ``s_source`` tells where it came from."""
-    one = suggestions.select(*KEYS, F.struct(*SUGGESTION).alias("_s")).dropDuplicates(KEYS)
+    """Every element with exactly one suggestion (``s`` struct); ``s_source`` tells where it came from.
+
+    Of several suggestions for an element the last by ``seq`` stays, or without one the greatest."""
+    order = F.struct(*(["seq"] if "seq" in suggestions.columns else []), *SUGGESTION)
+    one = suggestions.groupBy(*KEYS).agg(F.max_by(F.struct(*SUGGESTION), order).alias("_s"))
     rows = elements.join(one, KEYS, "left")
     return rows.withColumn("s", F.coalesce("_s", fallback_suggestion(elements))).withColumn(
         "s_source", F.when(F.col("_s").isNull(), F.lit("rule")).otherwise(F.lit("model"))

@@ -19,19 +19,31 @@ MAX_SPLIT_DEPTH = 5
 
 
 def registry_lookup(rows: DataFrame, name: str, registry: DataFrame, out: str = "registry_name") -> DataFrame:
-    """Registry spelling of ``name``: exact first, else equal after removing white space (first
-    spelling in alphabetical order when several collapse to the same key)."""
-    exact = registry.select(F.trim("name").alias("_exact"), F.col("name").alias("_e"))
-    loose = registry.groupBy(T.canonical_event_name(F.col("name")).alias("_loose")).agg(F.min("name").alias("_l"))
+    """Registry spelling of ``name``: itself, else its spelling without white space, else the first registered name
+    that is equal without white space.
+
+    registry(name[, seq]): ``seq`` is the order of registration; without it the alphabet decides."""
+    exact = registry.select(F.col("name").alias("_exact"), F.col("name").alias("_e")).distinct()
+    own = T.canonical_event_name(F.col("name"))
+    order = F.struct("seq", "name") if "seq" in registry.columns else F.col("name")
+    loose = registry.groupBy(own.alias("_loose")).agg(
+        F.coalesce(F.max(F.when(F.col("name") == own, F.col("name"))), F.min_by("name", order)).alias("_l"))
     key = T.canonical_event_name(F.col(name))
     cols = rows.columns
     return (
-        rows.join(exact.dropDuplicates(["_exact"]), F.trim(F.col(name)) == F.col("_exact"), "left")
+        rows.join(exact, T.trimmed(F.col(name)) == F.col("_exact"), "left")
         .join(loose, (key == F.col("_loose")) & (key != ""), "left")
         .select(*cols, F.coalesce("_e", "_l").alias(out))
     )
 
 
+def last_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row with the greatest ``seq`` per key; rows that tie, or have no such column, are ordered by all fields."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(*(["seq"] if "seq" in rest else []), *[c for c in rest if c != "seq"])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(*keys, "_v.*")
+
+
 def rule_namer(elements: DataFrame, reason: str = "rule") -> DataFrame:
     """Deterministic names: landmark decides the area, else the section heading, else unknown."""
     heading = T.blank_null(F.col("section_heading"))
@@ -50,10 +62,12 @@ def rule_namer(elements: DataFrame, reason: str = "rule") -> DataFrame:
 
 
 def apply_namer(elements: DataFrame, namer: Namer = rule_namer) -> DataFrame:
-    """Run a naming step and make it lossless: unknown ids are dropped, missing ids get rule names."""
+    """Run a naming step and make it lossless: unknown ids are dropped, missing ids get rule names.
+
+    Of several rows for an id the last by ``seq`` stays, or without one the greatest."""
     keys = ["page_id", "tag_id"]
     elements = settle(elements)
-    named = settle(namer(elements).join(elements.select(*keys), keys, "left_semi").dropDuplicates(keys))
+    named = settle(last_per_key(namer(elements).join(elements.select(*keys), keys, "left_semi"), keys))
     missing = elements.join(named.select(*keys), keys, "left_anti")
     return named.unionByName(rule_namer(missing, "missing_from_response"), allowMissingColumns=True)
 
@@ -189,7 +203,7 @@ def registry_delta(suggestions: DataFrame, registry: DataFrame, default_reason:
     suggestions(event_name, registry_created, reason, seq).  A known name whose first row claims to
     have created it is neither."""
     named = registry_lookup(suggestions.filter(T.nz(F.trim("event_name")) != ""), "event_name", registry)
-    key = F.coalesce("registry_name", F.trim("event_name"))
+    key = F.coalesce("registry_name", T.trimmed(F.col("event_name")))
     first = named.groupBy(key.alias("event_name")).agg(
         F.max(F.col("registry_name").isNotNull()).alias("known"),
         F.min_by(F.struct("registry_created", "reason"), "seq").alias("f"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webplan.functions import urls as U
-from webplan.functions.text import decode_entities
+from webplan.functions.text import decode_entities, trimmed
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -15,14 +15,14 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_title(html: Column) -> Column:
-    return decode_entities(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return trimmed(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def with_titles(pages: DataFrame) -> DataFrame:
     og = F.regexp_extract(
         "html", r"""(?is)<meta[^>]*property\s*=\s*["']og:title["'][^>]*content\s*=\s*["']([^"']*)["']""", 1
     )
-    return pages.withColumn("title", page_title(F.col("html"))).withColumn("og_title", decode_entities(F.trim(og)))
+    return pages.withColumn("title", page_title(F.col("html"))).withColumn("og_title", trimmed(decode_entities(og)))
 
 
 def with_site(pages: DataFrame) -> DataFrame:
