@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webplan.catalog.base import query, s, sq_encode, sq_parse, table
+from webplan.catalog.base import PAGES_U, query, s, sq_encode, sq_parse, table
 from webplan.catalog.links import SQ_CLEAN, sq_decode
 from webplan.functions import text as T
 from webplan.functions import urls as U
@@ -387,3 +387,21 @@ def _(spark, d):
   SELECT page_id, pos::INT AS pos, href, nav_path, txt AS label, true AS internal, CASE WHEN in_nav THEN 'nav' ELSE 'content' END AS landmark FROM n""")
 def _(spark, d):
     return D.link_inventory(table(spark, d, "pages"))
+
+
+SITE_RULES = [(None, "mobile_class", "wide", "advert", 0), ("example.com", "panel_class", "menu", "(?i)<nav", 0), ("example.com", "mobile_class", "promo", "promo|footer", 1),
+              ("example.net", "exclude_trigger", "none", "no such thing", 0), ("example.org", "panel_class", "list", "article", 0)]
+SQ_SITE_RULES = ", ".join(f"({'NULL' if r is None else repr(r)}, {k!r}, {n!r}, {p!r})" for r, k, n, p, _ in SITE_RULES)
+
+
+@query("site_rules", PAGES_U + f""", rules AS (SELECT * FROM (VALUES {SQ_SITE_RULES}) r(root, kind, name, pattern))
+  SELECT page_id, kind, name FROM u JOIN rules ON rules.root IS NULL OR rules.root = u.root WHERE regexp_matches(html, pattern)""")
+def _(spark, d):
+    from webplan.operators import sites as SR
+
+    pages = SR.with_site_rules(table(spark, d, "pages"), spark.createDataFrame(SITE_RULES, SR.RULES))
+    def of(kind):
+        return F.transform(SR.rule_hits(F.col("site_rules"), kind, F.col("html")), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    hits = [of(k) for k in SR.KINDS]
+    return pages.select("page_id", F.explode(F.concat(*hits)).alias("h")).select("page_id", "h.*")

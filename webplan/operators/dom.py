@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from webplan.functions import text as T
 from webplan.functions import urls as U
+from webplan.operators.sites import rule_hits
 from webplan.session import settle
 
 PAGE_END = 2147483647
@@ -673,7 +674,6 @@ MOBILE_RULES = [
     ("hidden+max-*:block", [r"\bhidden\b", r"\bmax-(?:[\w-]+:)?(?:1024|lg|md|xl|sm):(?:block|flex|inline)"]),
     ("lg+:hidden", [r"(?:^|\s)(?:lg|xl|2xl|1024):hidden(?:\s|$)"]),
     ("fixed-bottom-nav", [r"\bfixed\b", r"\bbottom-0\b"]),
-    ("kanu-mobile", [r"(?i)kanu-mobile"]),
 ]
 DESKTOP_RULES = [
     ("max-*:hidden", [r"\bmax-(?:1024|lg|md|xl):hidden\b"]),
@@ -692,18 +692,22 @@ def _signals(cls: Column, rules) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def platform_signals(chain: Column, rules) -> Column:
-    """``tag.rule`` for the element and its ancestors, nearest first."""
+def platform_signals(chain: Column, rules, more=None) -> Column:
+    """``tag.rule`` for the element and its ancestors, nearest first; ``more`` gives further rule names for a class."""
     near = F.filter(chain, lambda n: ~n["tag"].isin("html", "body"))
+    names = lambda c: _signals(c, rules) if more is None else F.concat(_signals(c, rules), more(c))
     return F.flatten(F.transform(
-        near, lambda n: F.transform(_signals(attr_of(n, "class"), rules), lambda s: F.concat(n["tag"], F.lit("."), s))
+        near, lambda n: F.transform(names(attr_of(n, "class")), lambda s: F.concat(n["tag"], F.lit("."), s))
     ))
 
 
 def with_platform(rows: DataFrame, viewport: Column, hidden_reason: Column, collapsed_class: Column) -> DataFrame:
-    """platform (PC | MO | All) and platform_reason from class signals, visibility and viewport."""
-    rows = rows.withColumn("_mo", platform_signals(F.col("chain"), MOBILE_RULES)).withColumn(
-        "_pc", platform_signals(F.col("chain"), DESKTOP_RULES)
+    """platform (PC | MO | All) and platform_reason from class signals, visibility and viewport.
+
+    Rows with a column ``site_rules`` (see ``sites``) also follow the class rules of their site."""
+    ruled = lambda kind: (lambda c: rule_hits(F.col("site_rules"), kind, c)) if "site_rules" in rows.columns else None
+    rows = rows.withColumn("_mo", platform_signals(F.col("chain"), MOBILE_RULES, ruled("mobile_class"))).withColumn(
+        "_pc", platform_signals(F.col("chain"), DESKTOP_RULES, ruled("desktop_class"))
     )
     mo, pc = F.get("_mo", F.lit(0)), F.get("_pc", F.lit(0))
     cp = F.coalesce(collapsed_class, F.lit(""))
@@ -712,8 +716,10 @@ def with_platform(rows: DataFrame, viewport: Column, hidden_reason: Column, coll
     screen = F.when(viewport == "mo", F.lit("mobile-viewport")).otherwise(F.lit("desktop-viewport"))
     collapsed = hidden_reason.isin("zero_size", "collapsed_parent")
     cp_mobile = mo.isNotNull() | cp_mo.isNotNull() | cp.rlike(
-        r"(?i)max-1024:block|1024:hidden|kanu-mobile|fixed[^\s]*bottom|bottom-0"
+        r"(?i)max-1024:block|1024:hidden|fixed[^\s]*bottom|bottom-0"
     )
+    if "site_rules" in rows.columns:
+        cp_mobile = cp_mobile | (F.size(rule_hits(F.col("site_rules"), "mobile_class", cp)) > 0)
     short = F.substring(cp, 1, 50)
     s = lambda p, r: F.struct(p.alias("platform"), r.alias("platform_reason"))
     lit = F.lit
@@ -790,6 +796,8 @@ def expand_triggers(elements: DataFrame, n: int | None = None) -> DataFrame:
     key = F.concat_ws(":", F.lit("dom"), F.col("tag"), F.substring("text", 1, 48), F.substring("cls", 1, 48))
     plain_link = ~dead & (F.length(href) > 1) & ~popup & ~expanded & ~hidden_menu
     first = F.row_number().over(_by("key").orderBy("start"))
+    if "site_rules" in rows.columns:
+        rows = rows.filter(F.size(rule_hits(F.col("site_rules"), "exclude_trigger", key)) == 0)
     rows = rows.select("page_id", "start", "tag", key.alias("key"),
                        F.coalesce(T.blank_null(F.substring("text", 1, 80)), key).alias("label"),
                        score.alias("score"), plain_link.alias("_plain"))
@@ -804,10 +812,12 @@ PANEL_CLASS = "dropdown|submenu|menu-list|gnb"
 
 
 def panel_links(chained: DataFrame) -> DataFrame:
-    """Links inside navigation panels, one per address and page, under their nearest panel heading."""
-    panel = lambda n: (
-        (n["tag"] == "nav") | n["role"].isin("menu", "navigation", "dialog") | n["cls"].rlike(PANEL_CLASS)
-    )
+    """Links inside navigation panels, one per address and page, under their nearest panel heading.
+
+    Rows with a column ``site_rules`` also take the panel classes of their site."""
+    general = lambda n: (n["tag"] == "nav") | n["role"].isin("menu", "navigation", "dialog") | n["cls"].rlike(PANEL_CLASS)
+    own = lambda n: F.size(rule_hits(F.col("site_rules"), "panel_class", n["cls"])) > 0
+    panel = (lambda n: general(n) | own(n)) if "site_rules" in chained.columns else general
     inside = F.filter("chain", panel)
     headed = F.filter(inside, lambda n: F.coalesce(n["first_heading"], F.lit("")) != "")
     parent = F.coalesce(
@@ -885,12 +895,17 @@ def tagged_markdown(pages: DataFrame, cap: int | None = None) -> DataFrame:
     return lines.groupBy("page_id").agg(F.trim(F.regexp_replace(text, "\n{3,}", "\n\n")).alias("markdown"))
 
 
-def same_href_wrappers(rows: DataFrame) -> DataFrame:
+def same_href_wrappers(rows: DataFrame, destination: Column | None = None, priority: Column | None = None) -> DataFrame:
     """(page_id, kept, wrapper, link_url): elements nested in another one with the same destination.
 
+    ``destination`` replaces the column link_url; by ``priority`` the outer one is kept where its value is higher.
+
     rows(page_id, tag_id, start, end, link_url).  Among elements of one page and destination an
     element is nested when an earlier one has not ended yet; each is reported with the nearest such
     wrapper, and a wrapper around a wrapper shows up as the next row, so the output stays linear."""
+    if destination is not None:
+        rows = rows.withColumn("link_url", destination)
+    rows = rows.withColumn("_rank", F.lit(0) if priority is None else priority)
     real = rows.filter(F.coalesce(F.col("link_url"), F.lit("")) != "")
     events = real.withColumn("_e", F.explode(F.when(
         F.col("end").isNotNull(),
@@ -904,9 +919,12 @@ def same_href_wrappers(rows: DataFrame) -> DataFrame:
                    F.struct((F.col("_level") - 1).alias("lvl"), F.lit(False).alias("own")))
     rows = opened.withColumn("_a", F.explode(asks))
     upto = _by("link_url", "_a.lvl").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
-    outer = F.last(F.when(F.col("_a.own") & F.col("end").isNotNull(), F.col("tag_id")), ignorenulls=True).over(upto)
-    return rows.withColumn("wrapper", outer).filter(~F.col("_a.own") & (F.col("_level") > 1)).select(
-        "page_id", F.col("tag_id").alias("kept"), "wrapper", "link_url"
+    outer = F.last(F.when(F.col("_a.own") & F.col("end").isNotNull(), F.struct("tag_id", "_rank")), ignorenulls=True).over(upto)
+    nested = rows.withColumn("_o", outer).filter(~F.col("_a.own") & (F.col("_level") > 1))
+    swap = F.col("_o._rank") > F.col("_rank")
+    return nested.select(
+        "page_id", F.when(swap, F.col("_o.tag_id")).otherwise(F.col("tag_id")).alias("kept"),
+        F.when(swap, F.col("tag_id")).otherwise(F.col("_o.tag_id")).alias("wrapper"), "link_url",
     )
 
 
