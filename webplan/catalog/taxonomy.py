@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from webplan.catalog.base import query, s, table
 from webplan.catalog.fields import LOC, candidates
 from webplan.catalog.grouping import CLUSTERS
-from webplan.catalog.links import pages
+from webplan.catalog.links import SQ_ANCHORS, SQ_HINTED, pages
 from webplan.functions import params as P
 from webplan.functions import text as T
 from webplan.operators import quality as Q
+from webplan.plans import pages as PG
 from webplan.plans import taxonomy as X
 from webplan.session import settle
 
@@ -253,3 +254,18 @@ def _(spark, d):
     from webplan.sources.tables import text_search
 
     return text_search(pages(spark, d), " BLOG ", "url").select("page_id")
+
+
+SQ_LINKED = SQ_HINTED + ", " + SQ_ANCHORS.removeprefix("WITH ").rstrip(",")
+
+
+@query("site_taxonomy", SQ_LINKED + """, linked AS (SELECT page_id, count(*) AS c FROM a GROUP BY 1),
+  g AS (SELECT root AS site, viewport, page_key, trim(page_category) AS page_category, sum(c) AS members FROM hinted JOIN linked USING (page_id) GROUP BY ALL),
+  -- every page has its links in a nav without a heading, so one unnamed area is on all pages of a site
+  p AS (SELECT site, viewport, count(DISTINCT page_key) AS pages, arg_min(page_key, (page_category, page_key)) AS page_key, min(page_category) AS page_category, sum(members) AS members FROM g GROUP BY ALL)
+  SELECT site, viewport, page_key, page_category, '클릭' AS event_name, '공통' AS category, 'Unknown' AS action, '{{버튼명}}' AS label, 999999 AS sort_y, members::BIGINT AS member_count, true AS is_common FROM p WHERE pages >= 2
+  UNION ALL SELECT site, viewport, g.page_key, g.page_category, '클릭', g.page_category, 'Unknown', '{{버튼명}}', 999999, g.members::BIGINT, false FROM g JOIN p USING (site, viewport) WHERE pages = 1
+  UNION ALL SELECT root, viewport, page_key, min(trim(page_category)), '페이지뷰', '페이지명 : ' || min(trim(page_category)), '', '', -1, 1, false FROM hinted GROUP BY root, viewport, page_key""")
+def _(spark, d):
+    rows = PG.site_taxonomy(table(spark, d, "pages"))
+    return rows.select("site", "viewport", "page_key", "page_category", "event_name", "category", "action", "label", "sort_y", "member_count", "is_common")

@@ -65,7 +65,8 @@ def label_rows(candidates: DataFrame) -> DataFrame:
         F.lit(BUTTON_LABEL).alias("label"), "p.direction", "sort_y", "sort_x", "member_count",
     )
     views = candidates.filter(is_page_view() & F.col("selected")).groupBy(*PAGE).agg(
-        F.min_by(F.struct("page_category", "page_name"), "tag_id").alias("v")
+        # two snapshots of one address: the first in the order of their names
+        F.min(F.struct("tag_id", "page_category", "page_name")).alias("v")
     )
     page = shown(F.col("v.page_category"))
     name = F.coalesce(T.blank_null(shown(F.col("v.page_name"))), T.blank_null(page), F.lit(T.DEFAULT_PAGE))
