@@ -16,9 +16,9 @@ from pyspark.sql.functions import arrow_udf
 from webplan.llm.common import blocks
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "sexcam", "warez", "crackz", "keygen", "phishing", "malware")
-SOFT = ("adult", "sex", "sexy", "nude", "escort", "dating", "casino", "poker", "betting", "gambling", "viagra", "pills",
-        "loan", "payday", "torrent", "crack", "serial", "proxy", "spam", "clickbait")
+STRICT = ("porn", "porno", "xxx", "adult-x", "hentai", "camgirls", "sexcam", "warez", "crackz", "keygen", "phishing", "malware", "link-farm", "spam-farm")
+SOFT = ("adult", "sex", "sexy", "nude", "escort", "dating", "casino", "poker", "bet", "bets", "betting", "gambling", "win", "free", "cheap",
+        "viagra", "pills", "loan", "payday", "torrent", "crack", "serial", "proxy", "spam", "clickbait", "ads", "track", "tracking", "popup")
 SOFT_LIMIT = 2
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
