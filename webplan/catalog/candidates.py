@@ -283,7 +283,17 @@ def hints(spark, d, offset=0):
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("n"), "event_id")).alias("note"), F.col("event_id").alias("seq"))
 
 
-@query("merge_hints")
+@query("merge_hints", """WITH RECURSIVE h AS (SELECT user_id % 50 AS page_id, json_extract_string(props, '$.k')::INT AS tag_id, event_id % 3 AS src, nullif(event_type, 'error') AS event_name,
+    (user_id % 4 / 4.0)::DOUBLE AS confidence, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS note, event_id FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag_id ORDER BY event_id) AS i, CASE src WHEN 0 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS prio,
+    CASE src WHEN 0 THEN 'stagehand' WHEN 1 THEN 'skyvern' ELSE 'scrapegraph' END AS source FROM h),
+  f AS (SELECT page_id, tag_id, i, source, prio, event_name, confidence, note FROM r WHERE i = 1
+    UNION ALL SELECT page_id, tag_id, i, source, prio, event_name, confidence, note FROM (
+      SELECT b.page_id, b.tag_id, b.i, unnest([CASE WHEN a.confidence > b.confidence OR (a.confidence = b.confidence AND a.prio >= b.prio)
+        THEN {'source': a.source, 'prio': a.prio, 'event_name': coalesce(a.event_name, b.event_name), 'confidence': a.confidence, 'note': nullif(concat_ws(' | ', a.note, b.note), '')}
+        ELSE {'source': b.source, 'prio': b.prio, 'event_name': coalesce(b.event_name, a.event_name), 'confidence': b.confidence, 'note': nullif(concat_ws(' | ', b.note, a.note), '')} END], recursive := true)
+      FROM f a JOIN r b ON b.page_id = a.page_id AND b.tag_id = a.tag_id AND b.i = a.i + 1))
+  SELECT page_id, tag_id, source, event_name, confidence, note FROM f QUALIFY row_number() OVER (PARTITION BY page_id, tag_id ORDER BY i DESC) = 1""")
 def _(spark, d):
     return Q.merge_hints(hints(spark, d))
 

@@ -147,7 +147,13 @@ def _(spark, d):
 WORDS = ["추천 상품", "추천상품 리스트", "추천  상품 더보기", "베스트", "x", "배너", "베스트 상품"]
 
 
-@query("canonical_category")
+@query("canonical_category", f"""WITH e AS (SELECT event_id % 1000 AS page_id, event_id, trim(regexp_replace(list_extract([{', '.join("'" + w.replace("'", "''") + "'" for w in WORDS)}],
+    (event_id * user_id % 7 + 1)::INT), '\\s+', ' ', 'g')) AS c FROM events),
+  n AS (SELECT page_id, c, lower(replace(c, ' ', '')) AS k, count(*) AS n, min(event_id) AS q FROM e WHERE length(c) >= 2 GROUP BY ALL),
+  s AS (SELECT page_id, arg_min(c, (length(k), length(c), q)) AS short, arg_min(k, (length(k), length(c), q)) AS start, arg_min(c, (-n, length(c), length(k), q)) AS frequent FROM n GROUP BY 1),
+  p AS (SELECT n.page_id, bool_and(starts_with(k, start)) AS every FROM n JOIN s USING (page_id) GROUP BY 1)
+  SELECT page_id, count(*) AS members, coalesce(any_value(CASE WHEN every THEN short ELSE frequent END), 'unknown') AS canonical
+  FROM e LEFT JOIN s USING (page_id) LEFT JOIN p USING (page_id) GROUP BY page_id""")
 def _(spark, d):
     e = table(spark, d, "events")
     name = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.pmod(F.col("event_id") * F.col("user_id"), F.lit(7)) + 1).cast("int"))
