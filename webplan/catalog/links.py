@@ -220,7 +220,7 @@ ranked AS (SELECT site, url, len(list_filter(string_split(path, '/'), lambda x:
 @query("rank_links", SQ_RANKED + " SELECT site, url, depth, rank FROM ranked WHERE rank <= 200")
 def _(spark, d):
     rows = L.dedupe_links(links(spark, d))
-    return L.rank_links(rows, L.seeds_of(rows), 200).select("site", "url", "depth", "rank")
+    return L.rank_links(rows, None, 200).select("site", "url", "depth", "rank")
 
 
 SQ_KEEP = f"""is_http AND root = site AND NOT regexp_matches(host, {s(U.AUTH_HOST_PATTERN)})
@@ -268,7 +268,7 @@ def _(spark, d):
   count_if(NOT ({SQ_KEEP})) AS filtered_out FROM u GROUP BY 1""")
 def _(spark, d):
     rows = varied(links(spark, d))
-    out = L.filter_links(rows, L.seeds_of(rows), subdomains=True)
+    out = L.filter_links(rows, None, subdomains=True)
     return out.groupBy("site").agg(
         F.count(F.lit(1)).alias("raw_count"), F.count("kept_url").alias("kept"),
         F.count_if(F.col("kept_url").isNull()).alias("filtered_out"),

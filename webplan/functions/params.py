@@ -101,6 +101,7 @@ def tagging_action_key(action_key: Column, action: Column) -> Column:
     return F.coalesce(T.blank_null(action_key), T.blank_null(action), F.lit("click"))
 
 
+# Keys of the payload, in order.
 PAYLOAD_KEYS = [
     "page_category", "page_name", "category", "action", "label", "platform", "link_url", "direction", "page_location",
     "page_path", "page_title", "page_referrer",

@@ -14,6 +14,7 @@ from webplan.functions import text as T
 from webplan.session import settle
 
 KEYS = ["page_id", "tag_id"]
+# Hidden reasons without a capture, and area names too vague to keep.
 NO_CAPTURE_REASONS = ["display_none", "visibility_hidden", "opacity_zero", "zero_size"]
 VAGUE_AREAS = ["unknown", "배너", "메인 배너", "banner", "hero"]
 

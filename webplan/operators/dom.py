@@ -31,6 +31,7 @@ TOKEN = r"""</?[A-Za-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[^>]*>|[^<]+|<"""
 TAG_NAME = r"^</?([A-Za-z][A-Za-z0-9:-]*)"
 ATTRIBUTE = r"""([A-Za-z_:@][-A-Za-z0-9_:.@]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
 
+# Elements without content, formatting elements, and those whose end may be left out.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 FORMAT_TAGS = ["b", "i", "em", "strong", "u", "s", "font", "small", "big", "tt", "strike", "code", "nobr"]
 SELF_ENDING_TAGS = ["p", "li", "option", "dt", "dd", "tr", "td", "th", "thead", "tbody", "a"]
@@ -41,6 +42,7 @@ PLAIN_TAGS = [
 ]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
+# Roles, class patterns, attributes and tags by which elements are told and named.
 CONTROL_ROLES = ["button", "link", "menuitem", "tab", "option", "checkbox", "radio", "switch"]
 DRAWER_PATTERN = "drawer|side-?menu|offcanvas|mobile-?nav|m-nav|mo-nav|hamburger"
 HEADER_CLASS_PATTERN = r"\bgnb\b|headercontainer"

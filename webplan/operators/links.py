@@ -61,11 +61,23 @@ def seeds_of(links: DataFrame) -> DataFrame:
     return links.select("site").distinct().select("site", seed.alias("seed_url"), F.col("site").alias("seed_host"))
 
 
-def rank_links(links: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+def with_seed(links: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Links with the seed_url and seed_host of their site; without ``seeds`` these are the apex address of the site.
+
+    A given table of seeds is repeated per salt, so that the links of a hot site meet it in many tasks."""
+    if seeds is None:
+        return links.withColumns({"seed_url": F.concat(F.lit("https://"), F.col("site"), F.lit("/")), "seed_host": F.col("site")})
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = seeds.select("site", "seed_url", "seed_host", salts.alias("_salt"))
+    rows = links.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    return rows.join(spread, ["site", "_salt"]).drop("_salt")
+
+
+def rank_links(links: DataFrame, seeds: DataFrame | None, limit: int) -> DataFrame:
     """Seed first, then the seed's host, then shallow paths, then by address; first ``limit`` per site."""
     canon = F.coalesce(U.canonical_link(F.col("seed_url")), F.col("seed_url"))
-    seed = seeds.select("site", "seed_url", canon.alias("_canon"), U.strip_www(U.url_host(canon)).alias("_host"))
-    keyed = links.join(seed, "site").select(
+    known = with_seed(links, seeds).select(*links.columns, "seed_url", canon.alias("_canon"))
+    keyed = known.withColumn("_host", U.strip_www(U.url_host(F.col("_canon")))).select(
         *links.columns,
         F.when(F.col("url").isin(F.col("_canon"), F.col("seed_url")), 0).otherwise(1).alias("_seed"),
         F.when((F.col("_host") != "") & (U.strip_www(U.url_host(F.col("url"))) == F.col("_host")), 0)
@@ -76,7 +88,7 @@ def rank_links(links: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     return top_n(keyed, ["site"], order, limit, F.col("url")).drop("_seed", "_away")
 
 
-def filter_links(links: DataFrame, seeds: DataFrame, subdomains: bool = False) -> DataFrame:
+def filter_links(links: DataFrame, seeds: DataFrame | None, subdomains: bool = False) -> DataFrame:
     """Adds ``kept_url`` (null when filtered out) following keep-or-rewrite."""
     canon = U.canonical_link(F.col("url"))
     root = U.root_domain(F.col("seed_host"))
@@ -85,7 +97,7 @@ def filter_links(links: DataFrame, seeds: DataFrame, subdomains: bool = False) -
         if subdomains
         else U.keep_or_rewrite(F.col("url"), root, F.col("seed_host"))
     )
-    return links.join(seeds.select("site", "seed_host"), "site").withColumn("kept_url", kept).drop("seed_host")
+    return with_seed(links, seeds).withColumn("kept_url", kept).drop("seed_url", "seed_host")
 
 
 def discover_union(seeds: DataFrame, sitemap: DataFrame, mapped: DataFrame, limit: int,

@@ -13,6 +13,7 @@ from webplan.functions import text as T
 from webplan.session import settle
 
 Namer = Callable[[DataFrame], DataFrame]
+# Keys under which a response may hold its rows; rows per batch and depth of splits.
 RESPONSE_KEYS = ["suggestions", "results", "items", "candidates", "data"]
 BATCH_ROWS = 35
 MAX_SPLIT_DEPTH = 5

@@ -23,6 +23,7 @@ TRANSIENT = (
     r"has been closed|target page|execution timed out|timeout|timed out|concurrent|page\.content\(\)|browser session"
     "|net::|socket hang up|econnreset|navigate|deno repl|repl not ready|repl exited|failed to execute code in browser session"
 )
+# Precedence of hint sources.
 HINT_RANK = {"stagehand": 3, "scrapegraph": 2, "skyvern": 1}
 
 

@@ -19,6 +19,7 @@ from webplan.session import settle
 
 BUTTON_LABEL = "{{버튼명}}"
 COMMON = "공통"
+# Variables every event shares.
 VARIABLES = ["platform", "page_location", "page_path", "page_title", "page_referrer", "page_category", "page_name"]
 NUMBER_PATTERN = r"^-?\d+(\.\d+)?$"
 PAGE = ["site", "page_key", "viewport"]
