@@ -105,6 +105,19 @@ terms AS (SELECT *,
 SELECT page_id, host, path, CASE {_rule_cases(0)} END AS rule,
   coalesce(CASE {_rule_cases(1)} END, CASE WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
   strict_hits, soft_hits FROM terms""",
+    # the exponent at which no source is passed over more than twice as often as another has a closed form
+    "op3_temperature_mixing": """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n,
+  md5('0:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+t AS (SELECT source, sum(n)::BIGINT AS size FROM w GROUP BY 1),
+u AS (SELECT *, sum(size) OVER ()::BIGINT AS total, size::DOUBLE / sum(size) OVER () AS share FROM t),
+a AS (SELECT CASE WHEN max(share) > min(share) THEN greatest(0, 1 - ln(2) / (ln(max(share)) - ln(min(share)))) ELSE 0 END AS a FROM u WHERE size > 0),
+v AS (SELECT *, CASE WHEN size > 0 THEN pow(share, a) ELSE 0 END AS tempered FROM u, a),
+b AS (SELECT *, greatest(size, floor(tempered / sum(tempered) OVER () * (total * sum(tempered) OVER () * max(share / nullif(tempered, 0)) OVER ())))::BIGINT AS budget FROM v),
+c AS (SELECT source, CASE WHEN size > 0 THEN budget // size ELSE 1 END AS blocks, CASE WHEN size > 0 THEN budget % size ELSE -1 END AS rest FROM b),
+r AS (SELECT w.*, blocks, rest, sum(n) OVER (PARTITION BY source ORDER BY place) AS run FROM w JOIN c USING (source)),
+d AS (SELECT w.doc_id, w.source, place, unnest(range(blocks + (run <= rest)::INT)) AS block FROM r AS w)
+SELECT d.doc_id, x.source, block, md5(block::VARCHAR || ':' || place) AS place FROM d JOIN documents x ON x.doc_id = d.doc_id""",
     "op7_benchmark_contamination": f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
