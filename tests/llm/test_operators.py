@@ -233,7 +233,9 @@ def test_mixing_of_awkward_tables(odd, none):
 # ---------------------------------------------------------------- components and near copies
 
 
-def test_components_of_random_links(spark):
+@pytest.mark.parametrize("links_per_task", [200_000, 50])
+def test_components_of_random_links(spark, links_per_task, monkeypatch):
+    monkeypatch.setattr(components, "LINKS", links_per_task)
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1300)] + [(5, 5), (None, 3), (2000, None)]
     df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)

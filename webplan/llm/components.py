@@ -1,8 +1,9 @@
 """Connected components of a table of links, by distributed union-find.
 
-Each task first unites the links it holds and passes on a star per tree.  Stars of different tasks are then merged in
-rounds: every node hands its larger neighbours to its smallest one, then its smaller neighbours, until all trees are
-stars.  Nothing but a flag reaches the driver, and each round's links are written to the checkpoint folder."""
+Each task first unites the links it holds and passes on a star per tree.  The stars are dealt anew to tasks of at most
+``LINKS`` links each and united again: what fits in one task is then done.  Beyond that, stars of different tasks are
+merged in rounds: every node hands its larger neighbours to its smallest one, then its smaller neighbours, until all
+trees are stars.  Nothing but counts reach the driver, and each round's links are written to the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from webplan.llm.common import settled
 
-#: Nodes that a task holds before it passes its stars on and starts anew.
-NODES = 500_000
+#: Links dealt to a task, and nodes that it holds before it passes its stars on and starts anew.
+LINKS, NODES = 200_000, 500_000
 
 
 class Forest:
@@ -88,6 +89,10 @@ def components(links: DataFrame) -> DataFrame:
         "a is not null and b is not null and a <> b"
     )
     state = settled(pairs.mapInArrow(_task_stars, pairs.schema).distinct())
-    while _unsettled(state):
+    while n := state.count():
+        tasks = -(-n // LINKS)
+        state = settled(state.repartition(tasks).mapInArrow(_task_stars, pairs.schema).distinct())
+        if tasks == 1 or not _unsettled(state):
+            break
         state = settled(_small_star(_large_star(state)))
     return state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
