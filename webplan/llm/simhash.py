@@ -169,7 +169,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")
     ).distinct()
     rows = docs.withColumn("__row", row_key(docs))
-    kept = rows.join(keepers, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # told as a case, so that rows are dealt by their key alone and the window below finds them where they are
+    same = F.when(F.col("doc_id").isNull(), F.col("__id").isNull()).otherwise(F.col("doc_id") == F.col("__id"))
+    kept = rows.join(keepers, (F.col("__row") == F.col("__key")) & F.coalesce(same, F.lit(False)), "left_semi")
     order = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
     return (
         kept.withColumn("__n", F.row_number().over(W.partitionBy("__row", "doc_id").orderBy(*order)))
