@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE = 3
 #: Steps taken in one pass, and passes: 42 steps leave an interval of 2e-13.
 STEPS, PASSES = 6, 7
+#: Sources up to which their plan is sent to every task; beyond, documents are joined to it by shuffle.
+SMALL_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -132,8 +134,9 @@ def mix_sources(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     (its order inside a block: blocks are permutations of their own).  Columns of these names are replaced."""
     rows = docs.drop("block", "place")
     per = settled(plan.select(F.col("source").alias("__source"), F.col("blocks").alias("__blocks"), F.col("upto").alias("__upto")))
+    small = per.count() <= SMALL_SOURCES
     drawn = rows.withColumn("__place", place(seed, F.col("doc_id"))).join(
-        per, F.coalesce(F.col("source"), F.lit("")) == F.col("__source")
+        F.broadcast(per) if small else per, F.coalesce(F.col("source"), F.lit("")) == F.col("__source")
     )
     times = F.col("__blocks") + F.when(F.col("__place") <= F.col("__upto"), 1).otherwise(0)
     return (
