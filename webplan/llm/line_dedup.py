@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from webplan.llm.common import blocks, settled, utf8
-from webplan.llm.components import Forest, components
+from webplan.llm.components import components
 
 #: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.995, one at 0.9 with 1 - 3e-8.
 SHINGLE, BANDS, ROWS, SIMILARITY = 9, 10, 4, (4, 5)
 GROUP = 256
+#: Groups of more lines than this are sifted on bitmaps of so many bits; shingles held at once while comparing.
+FEW, BITS, HELD = 3, 2048, 2_000_000
 #: Keys of candidate lines up to which they are sent to every task; beyond, texts are joined by shuffle.
-SMALL_KEYS = 1_000_000
+SMALL_KEYS = 500_000
 _RANDOM = np.random.default_rng(20)
 _MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _OFFSET = _RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -92,21 +94,59 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.when(~blank, F.unhex(F.md5(F.col("text").cast("binary")))))
 
 
+class _Lines:
+    """The lines of a group, and which of them reach the threshold.
+
+    Every shingle sets one of ``BITS`` bits of its line. A bit in which two bitmaps differ needs a shingle that only one
+    of the lines has, and a similarity of 0.8 leaves at most a ninth of both lines' shingles to differ; pairs beyond
+    that are ruled out on bitmaps, all others are compared in full."""
+
+    def __init__(self, lines: list[bytes]):
+        self.lines, self.sets, self.held = lines, {}, 0
+        self.room = np.array([max(1, len(x) - SHINGLE + 1) for x in lines])
+        self.maps = None
+        if len(lines) > FEW:
+            h, begin = line_shingles(lines)
+            owner = np.repeat(np.arange(len(lines)), np.diff(np.append(begin, len(h))))
+            bits = np.zeros((len(lines), BITS), bool)
+            bits[owner, h & np.uint32(BITS - 1)] = True
+            self.maps = np.packbits(bits, axis=1).view(np.uint64)
+
+    def shingles(self, i: int) -> set:
+        if i not in self.sets:
+            x = self.lines[i]
+            if self.held > HELD:
+                self.sets, self.held = {}, 0
+            self.sets[i] = {x[k : k + SHINGLE] for k in range(int(self.room[i]))}
+            self.held += len(self.sets[i])
+        return self.sets[i]
+
+    def possible(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.maps is None:
+            return others
+        num, den = SIMILARITY
+        differ = np.bitwise_count(self.maps[others] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+        return others[differ * (num + den) <= (den - num) * (self.room[others] + self.room[i])]
+
+    def similar(self, i: int, j: int) -> bool:
+        a, b = self.shingles(i), self.shingles(j)
+        both, (num, den) = len(a & b), SIMILARITY
+        return both * den >= num * (len(a) + len(b) - both)
+
+
 def _same_set(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Pairs that unite all lines of a list whose exact Jaccard similarity reaches the threshold."""
-    sets = [{x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))} for x in lines]
-    forest, (num, den) = Forest(), SIMILARITY
-    order = sorted(range(len(lines)), key=lambda i: len(sets[i]))
-    for at, i in enumerate(order):
-        for j in order[at + 1 :]:
-            a, b = len(sets[i]), len(sets[j])
-            if a * den < b * num:
-                break  # the longer ones are too long
-            if forest.root(i) != forest.root(j):
-                both = len(sets[i] & sets[j])
-                if both * den >= num * (a + b - both):
-                    forest.unite(i, j)
-                    yield i, j
+    """Pairs that unite all lines of a list whose exact Jaccard similarity reaches the threshold: from a line to those
+    similar to it, from these on to the ones not met yet."""
+    group, left = _Lines(lines), np.arange(len(lines))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            found = [j for j in group.possible(i, left).tolist() if group.similar(i, j)]
+            if found:
+                yield from ((i, j) for j in found)
+                queue += found
+                left = left[~np.isin(left, found)]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
