@@ -1,6 +1,8 @@
 """The pipeline against a plain computation of every stage, and on awkward tables."""
 
+import itertools
 import math
+import random
 import shutil
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +11,8 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import DOCS, ODD, brute_components, brute_contamination, brute_mix, brute_print, check_shards
-from webplan.llm import langid
+from webplan.llm import langid, near_copies
+from webplan.llm.components import Forest
 
 TINY = "/root/testdata/sf0.001"
 
@@ -104,3 +107,29 @@ def test_stages_of_awkward_tables(spark, tmp_path, empty):
         assert at + 1 == len(corpus_pipeline.STAGES) or docs.columns == columns, name
     assert empty == (docs.count() == 0)
     check_shards(docs.collect(), corpus_pipeline.SHARDS)
+
+
+def test_near_dedup_meets_edited_copies_at_a_similarity_of_four_fifths(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 80, 200, 600]))]
+        for edits in (0, 1, 1, 2, 3, 5):
+            own = list(words)
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["a b c", "A  b\tc", "a b d"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    forest, pairs = Forest(), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+            forest.unite(i, j)
+            pairs += 1
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[i], "en", "a", 0) for i in order], DOCS).repartition(5)
+    for group in (512, 2):
+        got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, group).collect()}
+        assert pairs > 300 and got == {i: forest.root(i) for i in range(len(texts))}
+    kept = corpus_pipeline.near_dedup(spark, docs, TINY)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if forest.root(i) == i}

@@ -149,12 +149,16 @@ def _same_set(lines: list[bytes]) -> Iterator[tuple[int, int]]:
                 left = left[~np.isin(left, found)]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, text) in the order of their group -> links (a, b) of lines."""
+def verified(same_set):
+    """Rows (group, line, text) in the order of their group -> links (a, b) of lines, as ``same_set`` unites a group's texts."""
+    return lambda batches: _verified(batches, same_set)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], same_set) -> Iterator[pa.RecordBatch]:
     held, keys, texts, links = None, [], [], []
 
     def close():
-        links.extend((keys[i], keys[j]) for i, j in _same_set(texts))
+        links.extend((keys[i], keys[j]) for i, j in same_set(texts))
 
     def emit():
         return pa.RecordBatch.from_arrays(
@@ -176,10 +180,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
-    similarity reaches the threshold."""
-    banded = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(_banded, "band_key bigint, line binary")
+def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
+    """(band_key, line) -> (group, line): lines to compare with each other, so that all pairs that share a band meet."""
     bucket = W.partitionBy("band_key")
     ranked = banded.withColumn("at", F.dense_rank().over(bucket.orderBy("line"))).withColumn("n", F.max("at").over(bucket))
     shared = settled(ranked.filter("n > 1").select("band_key", "line", "at", "n").distinct())
@@ -192,14 +194,21 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select(F.concat_ws(":", "band_key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "line")
     )
-    groups = settled(small.unionByName(large))
+    return settled(small.unionByName(large))
+
+
+def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
+    similarity reaches the threshold."""
+    banded = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(_banded, "band_key bigint, line binary")
+    groups = bucket_groups(banded, group)
     wanted = groups.select("line").distinct()
     few = wanted.count() <= SMALL_KEYS
     texts = lines_of(docs).filter("line is not null").select("line", "text")
     texts = texts.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
     dealt = groups.join(texts, "line").select("group", "line", utf8(F.col("text")).alias("text"))
     dealt = dealt.repartition("group").sortWithinPartitions("group", "line")
-    return dealt.mapInArrow(_verified, "a binary, b binary").distinct()
+    return dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct()
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

@@ -61,15 +61,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], flat != 32, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    return span_hashes(flat, start, end), np.diff(np.searchsorted(start, stops), prepend=0)
+
+
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
     total = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(flat.astype(np.uint64) * _power("up", len(flat)), out=total[1:])
     h = (total[end] - total[start]) * _power("down", len(flat) + 1)[start]
     h ^= (end - start).astype(np.uint64) << np.uint64(56)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.searchsorted(start, stops), prepend=0)
+    return h ^ (h >> np.uint64(31))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,14 +150,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = settled(docs.select("doc_id", row_key(docs).alias("row_key"), fingerprints()(utf8(F.col("text"))).alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     prints = settled(rows.groupBy("fp").agg(first))
-    linked = components(print_links(prints.select("fp"), radius))
-    rooted = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first"
+    return classed(rows, prints, components(print_links(prints.select("fp"), radius)), "fp")
+
+
+def classed(rows: DataFrame, prints: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """Rows (doc_id, row_key, ``key``), the first row of every key, and the keys' components (node, root) -> rows with
+    component_id and keeper."""
+    rooted = prints.join(linked.withColumnRenamed("node", key), key, "left").select(
+        key, F.coalesce("root", key).alias("root"), "first"
     )
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    classes = rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
-    return rows.join(classes, "fp").select(
-        "doc_id", "row_key", "fp", F.col("first.doc_id").alias("component_id"),
+    classes = rooted.select(key, "root").join(firsts, "root").select(key, "first")
+    return rows.join(classes, key).select(
+        "doc_id", "row_key", key, F.col("first.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))).alias("keeper"),
     )
 
@@ -165,7 +170,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of every component (see near_duplicates), all columns kept.  Of rows that are repeated
     with equal doc_id and text one stays, the first in the order of their other columns."""
-    keepers = near_duplicates(docs, radius).filter("keeper").select(
+    return keepers_of(docs, near_duplicates(docs, radius))
+
+
+def keepers_of(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``told`` (see classed) names as keepers, repeated ones once."""
+    keepers = told.filter("keeper").select(
         F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")
     ).distinct()
     rows = docs.withColumn("__row", row_key(docs))
