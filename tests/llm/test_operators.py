@@ -156,6 +156,33 @@ def test_training_beats_word_frequencies(docs, odd, none):
     assert lm_scoring.score(none, empty).collect() == [] and lm_scoring.score(odd, empty).count() == len(ODD)
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_rare_words_are_scored_as_themselves(spark, odd, small, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SMALL_WORDS", small)
+    text = " ".join(f"the of w{i % 300 if i % 3 else i % 30}" for i in range(1500))
+    corpus = spark.createDataFrame([(1, text), (2, "the of"), (3, None)], "doc_id long, text string")
+    counts = lm_scoring.word_counts(corpus)
+    model = lm_scoring.train(corpus, lm_scoring.Shape(words=2, dims=4), counts)
+    seen = {r["word"] % 2**64: r["n"] for r in counts.collect()}
+    size = Counter()
+    for word, n in seen.items():
+        if np.uint64(word) not in model.vocabulary:
+            size[word % lm_scoring.RARE] += n
+    rows = [(1, "the w3 of w3 w7 w299 zzz"), (1, "the w3 of w3 w7 w299 zzz"), (2, "the of"), (3, ""), (None, None), (4, "zzz qqq"), (5, text)]
+    got = lm_scoring.score_words(spark.createDataFrame(rows, "doc_id long, text string"), model, counts).collect()
+    want = []
+    for d, t in rows:
+        hashes, _ = lm_scoring.word_hashes([(t or "").encode()])
+        ids, near, _ = model.windows([(t or "").encode()])
+        rare = [x for x, i in zip(hashes.tolist(), ids.tolist()) if i >= 2]
+        total = model.log_probability(ids, near).sum() + sum(math.log(seen.get(x, 1) / (size[x % lm_scoring.RARE] + 1)) for x in rare)
+        want.append((d, len(ids), total))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and abs(g["log_likelihood"] - w[2]) < 1e-6 * max(1, abs(w[2]))
+    assert lm_scoring.score_words(odd, model, counts).count() == len(ODD)
+
+
 def test_word_counts_are_exact(docs):
     got = {r["word"]: r["n"] for r in lm_scoring.word_counts(docs).collect()}
     words = Counter(w for r in docs.collect() for w in r["text"].encode().translate(lm_scoring.FOLD).split())

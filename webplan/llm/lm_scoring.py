@@ -4,7 +4,10 @@ A small bidirectional network predicts every word from the words around it, itse
 on either side, each with weights of its position, are added and squashed, and a two-level softmax gives first the
 word's class, then the word in its class.  The sum of the conditional log-probabilities of all words scores a document.
 
-The vocabulary is taken from exact counts of all words of the corpus; a rarer word is known by a hash class.  Training
+The network's vocabulary is taken from exact counts of all words of the corpus; to the network a rarer word is one of
+its hash class.  Its score is log P(class) plus log P(word | class), the latter from the exact counts, which stay a
+distributed table: a word seen n times in a class of N such words has n / (N + 1), and all unseen words of a class
+together are one word with 1 / (N + 1).  Training
 runs over the whole corpus once, in rounds: each round every task descends on its documents of the round from the same
 weights, and the new weights are the mean of the tasks', weighted by the words they trained on."""
 
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from webplan.llm.common import blocks, row_key, utf8
+from webplan.llm.common import blocks, row_key, settled, utf8
 
 #: A-Z in lower case; every other ASCII character that is no letter or digit separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 CLASSES, RARE = 32, 64
 #: Words on either side that predict a word.
 SIDE = 2
+#: Rare words up to which their counts are sent to every task; beyond, they are joined by shuffle.
+SMALL_WORDS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -140,7 +145,9 @@ class Network:
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of texts, the numbers around each (an own number outside the text), and words per text."""
-        hashes, n = word_hashes(texts)
+        return self.around(*word_hashes(texts))
+
+    def around(self, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, none = self.ids(hashes), self.n_ids
         at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
         left = np.repeat(n, n) - at
@@ -251,10 +258,11 @@ def _train(model: Network):
     return run
 
 
-def train(docs: DataFrame, shape: Shape | None = None) -> Network:
-    """Fit on all texts.  The driver holds the vocabulary and the weights, whose sizes are set by ``shape``."""
+def train(docs: DataFrame, shape: Shape | None = None, counts: DataFrame | None = None) -> Network:
+    """Fit on all texts.  The driver holds the vocabulary and the weights, whose sizes are set by ``shape``.  counts:
+    word_counts(docs), where these are at hand."""
     shape = shape or Shape()
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(shape.words).collect()
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(shape.words).collect()
     model = Network(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64), shape)
     texts = docs.filter("text is not null").select(
         utf8(F.col("text")).alias("text"), F.pmod(F.xxhash64(F.lit(shape.seed), row_key(docs)), F.lit(shape.rounds)).alias("round"))
@@ -267,12 +275,70 @@ def train(docs: DataFrame, shape: Shape | None = None) -> Network:
     return model
 
 
+def _rare(hashes: np.ndarray, ids: np.ndarray, n: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rare words of every text: how many, the words, and how often each occurs."""
+    text, at = np.repeat(np.arange(len(n)), n), np.flatnonzero(ids >= first)
+    text, word = text[at], hashes[at].view(np.int64)
+    order = np.lexsort((word, text))
+    text, word = text[order], word[order]
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)])
+    return np.bincount(text[new], minlength=len(n)), word[new], np.diff(np.append(new, len(word)))
+
+
+def score_words(docs: DataFrame, model: Network, counts: DataFrame) -> DataFrame:
+    """As ``score``, with every rare word scored as itself by ``counts`` (word, n) of a corpus.
+
+    Tasks subtract log(N + 1) of its class for every rare word; what is left is log n, joined from the counts, and 0 for
+    words that are unseen or were seen once."""
+    common = model.vocabulary.view(np.int64).tolist()
+    rare = settled(counts.filter(~F.col("word").isin(common)) if common else counts)
+    room = np.zeros(RARE)
+    for r in rare.groupBy(F.col("word").bitwiseAND(F.lit(RARE - 1).cast("long")).alias("c")).agg(F.sum("n").alias("n")).collect():
+        room[r["c"]] = r["n"]
+    known = rare.filter("n > 1").select("word", F.log("n").alias("more"))
+    known = F.broadcast(known) if known.count() <= SMALL_WORDS else known
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.log(room + 1)))
+
+    @arrow_udf("struct<n:bigint,total:double,rare:array<struct<word:bigint,times:bigint>>>")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, shares = shared.value
+        for column in batches:
+            none = np.zeros(0, np.int64)
+            counts, sums, sizes, words, times = [none], [np.zeros(0)], [none], [none], [none]
+            for block in blocks(column):
+                hashes, n = word_hashes(block)
+                ids, near, n = own.around(hashes, n)
+                single = own.log_probability(ids, near)
+                single -= np.where(ids >= own.shape.words, shares[(hashes % np.uint64(RARE)).astype(np.int64)], 0.0)
+                total, end = np.concatenate([[0.0], np.cumsum(single)]), np.cumsum(n)
+                counts.append(n)
+                sums.append(total[end] - total[end - n])
+                for held, found in zip((sizes, words, times), _rare(hashes, ids, n, own.shape.words)):
+                    held.append(found)
+            at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(words)), pa.array(np.concatenate(times), pa.int64())], names=["word", "times"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums)), pa.ListArray.from_arrays(pa.array(at), pairs)],
+                names=["n", "total", "rare"])
+
+    rows = docs.select("doc_id", told(utf8(F.col("text"))).alias("s"))
+    rows = settled(rows.select("doc_id", "s.n", "s.total", "s.rare", F.monotonically_increasing_id().alias("row")))
+    more = rows.select("row", F.inline("rare")).join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("more")).alias("more"))
+    whole = rows.select("doc_id", "n", "total", "row").join(more, "row", "left")
+    return _report(whole, F.col("n"), F.col("total") + F.coalesce("more", F.lit(0.0)))
+
+
+def _report(rows: DataFrame, n, total) -> DataFrame:
+    mean = F.when(n > 0, total / n)
+    return rows.select("doc_id", n.alias("n_words"), total.alias("log_likelihood"), mean.alias("mean_log_probability"), F.exp(-mean).alias("perplexity"))
+
+
 def score(docs: DataFrame, model: Network) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, log_likelihood (sum over all words, natural log),
     mean_log_probability (null without words), perplexity (null without words).
 
     Null, empty and wordless texts have 0 words and log-likelihood 0.  Repeated rows score alike; other columns are
-    left out.  No shuffle."""
+    left out.  No shuffle.  A rare word has the probability of its class; ``score_words`` tells it from the others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("struct<n:bigint,total:double>")
@@ -288,7 +354,4 @@ def score(docs: DataFrame, model: Network) -> DataFrame:
                 sums.append(total[end] - total[end - n])
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums))], names=["n", "total"])
 
-    mean = F.when(F.col("s.n") > 0, F.col("s.total") / F.col("s.n"))
-    return docs.select("doc_id", told(utf8(F.col("text"))).alias("s")).select(
-        "doc_id", F.col("s.n").alias("n_words"), F.col("s.total").alias("log_likelihood"),
-        mean.alias("mean_log_probability"), F.exp(-mean).alias("perplexity"))
+    return _report(docs.select("doc_id", told(utf8(F.col("text"))).alias("s")), F.col("s.n"), F.col("s.total"))
