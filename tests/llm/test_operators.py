@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -120,6 +121,13 @@ def test_scores_are_sums_of_conditional_log_probabilities():
         at += count
 
 
+def test_every_word_is_a_training_target_once():
+    texts = [b"The cat, the dog", b"", "été cat the cat sat on a mat by the dog".encode(), b"one"]
+    model = lm_scoring.Network(np.unique(lm_scoring.word_hashes(texts)[0])[:8], lm_scoring.Shape(words=20, dims=5, batch=7))
+    told = list(lm_scoring._train(model)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert {n for b in told for n in b.column(2).to_pylist()} == {4 + 11 + 1}
+
+
 def test_gradient_is_that_of_the_loss():
     shape = lm_scoring.Shape(words=30, dims=4, batch=64, rate=0.0)
     text = [b"a b c d e f a b c a b d e a f c b a d c e b a"]

@@ -45,7 +45,7 @@ class Shape:
     batch: int = 4096
     rate: float = 1.0
     #: Of this many successive words one is a training target; which, differs by document.  All of them are context.
-    stride: int = 4
+    stride: int = 1
     seed: int = 7
 
 
