@@ -551,6 +551,14 @@ def test_lines_equal_all_pairs(spark, odd, none, group, monkeypatch):
     assert clean[500]["text"] is None
 
 
+def test_short_lines_with_one_changed_character_are_united(spark):
+    pairs = [("Copyright 2019 by the Example Company, Inc.", "Copyright 2018 by the Example Company, Inc."),
+             ("版权所有二零一九年示例公司保留所有权利请勿转载本站全部内容违者必究联系我们获取授权谢谢合作", "版权所有二零一八年示例公司保留所有权利请勿转载本站全部内容违者必究联系我们获取授权谢谢合作")]
+    df = spark.createDataFrame([(i, p[i]) for p in pairs for i in (0, 1)], "doc_id long, text string")
+    got = [r["keep"] for r in line_dedup.line_classes(df).orderBy("doc_id").collect()]
+    assert got == [True, True, False, False]
+
+
 def test_lines_of_awkward_tables(odd, none):
     got = {(r["doc_id"], r["line_no"]): r["keep"] for r in line_dedup.line_classes(odd).collect()}
     assert got == brute_lines([r[:2] for r in ODD])

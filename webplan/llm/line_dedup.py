@@ -23,7 +23,7 @@ from webplan.llm.common import blocks, settled, utf8
 from webplan.llm.components import components
 
 #: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.995, one at 0.9 with 1 - 3e-8.
-SHINGLE, BANDS, ROWS, SIMILARITY = 9, 10, 4, (4, 5)
+SHINGLE, BANDS, ROWS, SIMILARITY = 4, 10, 4, (4, 5)
 GROUP = 256
 #: Groups of more lines than this are sifted on bitmaps of so many bits; shingles held at once while comparing.
 FEW, BITS, HELD = 3, 2048, 2_000_000
@@ -34,11 +34,16 @@ _MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64) | n
 _OFFSET = _RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
+def characters(line: bytes) -> str:
+    return line.decode("utf-8", "replace")
+
+
 def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte shingles of lines, and where each line's begin; a short line is one shingle."""
+    """Hashes of the character shingles of UTF-8 lines, and where each line's begin; a short line is one shingle."""
+    lines = [characters(x) for x in lines]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     room = np.maximum(size, SHINGLE)
-    flat = np.frombuffer(b"".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, b"\0") for x in lines), np.uint8).astype(np.uint32)
+    flat = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(flat) - SHINGLE + 1
     h = np.zeros(n, np.uint32)
     for i in range(SHINGLE):
@@ -102,8 +107,8 @@ class _Lines:
     that are ruled out on bitmaps, all others are compared in full."""
 
     def __init__(self, lines: list[bytes]):
-        self.lines, self.sets, self.held = lines, {}, 0
-        self.room = np.array([max(1, len(x) - SHINGLE + 1) for x in lines])
+        self.lines, self.sets, self.held = [characters(x) for x in lines], {}, 0
+        self.room = np.array([max(1, len(x) - SHINGLE + 1) for x in self.lines])
         self.maps = None
         if len(lines) > FEW:
             h, begin = line_shingles(lines)
