@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webplan.llm import decontaminate, langid, line_dedup, lm_scoring, mixing, sharding, simhash, tokens, topk, url_filter
+from webplan.llm import collocations, conversation_trie, decontaminate, jaccard_join, langid, line_dedup, lm_scoring, mixing, sharding, simhash, tokens, topk, url_filter
 from webplan.llm.common import settled
 from webplan.session import ship_package
 
@@ -65,6 +65,18 @@ def duplicate_lines(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def similar_documents(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def conversation_prefixes(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_masked_lm_scores": lm_scores,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_bit_sliced_top_k": nearest_vectors,
     "op9_language_id": languages,
     "op10_fuzzy_line_dedup": duplicate_lines,
+    "op11_ngram_jaccard_join": similar_documents,
+    "op12_phrase_collocations": phrase_collocations,
+    "op13_conversation_prefix_trie": conversation_prefixes,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -142,4 +157,43 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(li
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT a AS d, b AS r FROM links UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, min(r)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.d = w.doc_id GROUP BY w.doc_id, n""",
+    "op12_phrase_collocations": f"""
+WITH p AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, s, count(*) AS f, string_split(s, ' ') AS ws FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+cuts AS (SELECT lang, s, f AS a, ws, k, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+sc AS (SELECT cuts.lang, cuts.s, cuts.k, cuts.ws, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.s = array_to_string(cuts.ws[1 : cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.s = array_to_string(cuts.ws[cut + 1 : cuts.k], ' ')),
+low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS s, max(f) AS most FROM (SELECT lang, ws, f, k, m, unnest(range(1, k - m + 2)) AS i
+  FROM f, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, s) WHERE most IS NULL OR 100 * most < 80 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM kept)
+SELECT lang, rank, s AS phrase, a, l, r.r, n, score::BIGINT AS score FROM r JOIN tot USING (lang) WHERE rank <= 2000""",
+    "op13_conversation_prefix_trie": """
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+cv AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS own FROM src GROUP BY 1),
+h AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+  lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 6 AS h FROM cv, crc),
+re AS (SELECT h.conv_id AS c, coalesce(b.own[1 : h], []) || h.own[h + 1 :] AS turns FROM h LEFT JOIN cv b ON b.conv_id = h.base),
+pre AS (SELECT c, d, len(turns) AS m, turns[1 : d] AS path, CASE WHEN d = 0 THEN 0 ELSE length(turns[d].t) END AS size FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM re)),
+node AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (m = d), '') AS ends FROM pre GROUP BY 1, 2),
+kids AS (SELECT path[1 : d - 1] AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.path = node.path),
+up AS (SELECT path[1 : e] AS path, sum((n_children = 0)::INT) AS leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN up ON up.path = f.path LEFT JOIN node p ON f.d > 0 AND p.path = f.path[1 : f.d - 1]""",
 }
