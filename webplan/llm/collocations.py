@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 import xxhash
 
-from webplan.llm.common import blocks, combined, discard, stored, table_rows, utf8
+from webplan.llm.common import BLOCK_BYTES, blocks, combined, discard, stored, table_rows, utf8
 from webplan.llm.lm_scoring import span_hashes
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase inside a longer one with at least this share of its count (a fraction) is dropped.
 SHARE = (80, 100)
 #: Bits of the table of frequent phrases that every task gets; counts that a task holds before it passes them on.
-BITS, HELD = 1 << 25, 1 << 20
+BITS, HELD = 1 << 25, 1 << 19
 #: Groups into which a language's candidates are dealt before its first ones are chosen.
 SALTS = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -105,7 +105,7 @@ def _rows(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[list[bytes], list
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, lang) -> lang, word, hash, n of every different word of a block."""
     for batch in batches:
-        for texts, langs in _rows(batch, 1 << 22):
+        for texts, langs in _rows(batch, BLOCK_BYTES):
             w = Words(texts, langs)
             found, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
             flat = w.flat.tobytes()
@@ -135,7 +135,7 @@ def _counts(n: int, known):
                         [*[pa.array(c[part].view(np.int64)) for c in columns], pa.array(count[part])], names=[*[f"w{i + 1}" for i in range(n)], "n"])
 
         for batch in batches:
-            for texts, langs in _rows(batch, 1 << 22):
+            for texts, langs in _rows(batch, BLOCK_BYTES):
                 columns = Words(texts, langs).phrases(n, table)
                 held.append(merged(columns, np.ones(len(columns[0]), np.int64)))
                 yield from flush(HELD)
