@@ -97,7 +97,7 @@ def test_trees_rule_out_no_link():
         for _ in range(int(rng.integers(2, 60))):
             own = base[rng.random(len(base)) < rng.choice([0.95, 0.9, 0.6])]
             sets.append(np.unique(np.concatenate([own, rng.integers(1 << 63, size=int(rng.integers(1, 9)), dtype=np.uint64)])))
-        left = {(min(i, j), max(i, j)) for x, y in jaccard_join.Tree(sets).pairs() for i, j in zip(x.tolist(), y.tolist())}
+        left = {(min(i, j), max(i, j)) for x, y in jaccard_join.Tree.of(sets).pairs() for i, j in zip(x.tolist(), y.tolist())}
         for j in range(len(sets)):
             for i in range(j):
                 both = len(np.intersect1d(sets[i], sets[j]))

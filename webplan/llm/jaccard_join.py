@@ -5,6 +5,9 @@ that counts them in hashed slots.  A document's first n - ceil(0.8 n) + 1 shingl
 linked documents have a probe in common.  Documents with a common probe and sizes near each other form a run, runs with
 the same smallest document one group, so every pair that can link meets in some group.
 
+Only small bitmaps of the documents travel to the groups at first: a tree over them tells which documents of a group may
+have a link in it, and the texts of those follow.
+
 Within a group: a signature tree.  Its leaves are documents with a bitmap of their shingles, ordered so that like ones
 are neighbours; a node above holds the OR of the bitmaps, the least and greatest size, and how many shingles at most
 share bits with others of their document.  Two nodes are taken together from the root down; a pair of nodes is cut off
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from webplan.llm.common import blocks, combined, discard, row_key, stored, table_rows, utf8
+from webplan.llm.common import blocks, combined, row_key, stored, table_rows, utf8
 from webplan.llm.components import components
 from webplan.llm.lm_scoring import span_hashes
 from webplan.llm.simhash import FOLD
@@ -67,6 +70,18 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
 
+def map_bits(n: int, each: int = 2) -> int:
+    """Bits of the bitmap of n shingles: a power of two, ``each`` or more a shingle up to a bound."""
+    return min(1 << 15, max(64, 1 << (each * n - 1).bit_length()))
+
+
+def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of shingles, as bytes; folded in halves it is that of half as many bits."""
+    held = np.zeros(bits, bool)
+    held[((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little")
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(SLOTS, np.int64)
     for batch in batches:
@@ -76,17 +91,18 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(counts):
-    """Column function: key of the set, its size, and its probes."""
+    """Column function: key of the set, its size, its bitmap, and its probes."""
 
-    @arrow_udf("struct<key:binary,n:bigint,probes:array<bigint>>")
+    @arrow_udf("struct<key:binary,n:bigint,map:binary,probes:array<bigint>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = counts.value
         for column in batches:
-            keys, sizes, found, many = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, maps, sizes, found, many = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for block in blocks(column):
                 hashes, n = shingle_sets(block)
                 stop = np.cumsum(n)
                 keys += [hashlib.md5(hashes[a:b].tobytes()).digest() for a, b in zip(stop - n, stop)]
+                maps += [bitmap(hashes[a:b], map_bits(b - a)).tobytes() for a, b in zip((stop - n).tolist(), stop.tolist())]
                 order = np.lexsort((hashes, table[_slot(hashes)], np.repeat(np.arange(len(n)), n)))
                 num, den = SIMILARITY
                 probes = np.where(n > 0, n - -(-num * n // den) + 1, 0)
@@ -96,8 +112,8 @@ def _sets(counts):
                 found.append(hashes[order[at]].view(np.int64))
             edge = np.concatenate([[0], np.cumsum(np.concatenate(many))]).astype(np.int32)
             yield pa.StructArray.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(found)))],
-                names=["key", "n", "probes"])
+                [pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(found)))],
+                names=["key", "n", "map", "probes"])
 
     return made
 
@@ -134,21 +150,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """A signature tree over sets of shingles."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.size = sets, np.array([len(x) for x in sets], np.int64)
-        bits = 64
-        while bits < 4 * int(np.median(self.size)) and bits < 1 << 15:
-            bits *= 2
-        # like sets are neighbours: ordered by their least hashes
-        self.order = np.lexsort(([int(x[-1]) if len(x) else 0 for x in sets], [int(x[0]) if len(x) else 0 for x in sets]))
-        maps = np.zeros((len(sets), bits >> 3), np.uint8)
-        for row, k in enumerate(self.order):
-            bit = (sets[k] >> np.uint64(20)) & np.uint64(bits - 1)
-            np.bitwise_or.at(maps[row], (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-        maps = maps.view(np.uint64)
-        size = self.size[self.order]
+    """A signature tree over sets of shingles, given by bitmaps of equal width (as rows of bytes) and sizes."""
+
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        maps = np.ascontiguousarray(maps).view(np.uint64)
+        # like sets are neighbours
+        self.order = np.lexsort((maps[:, -1], maps[:, 0], size))
+        maps, size = maps[self.order], size[self.order]
         #: levels from the documents up: bitmaps, least and greatest size, most shingles beyond one a bit
         self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
@@ -156,6 +164,12 @@ class Tree:
             at = np.arange(0, len(maps), WIDTH)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(extra, at)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> "Tree":
+        size = np.array([len(x) for x in sets], np.int64)
+        bits = map_bits(int(np.median(size)), 4)
+        return cls(np.stack([bitmap(x, bits) for x in sets]), size)
+
     def possible(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs of nodes may hold a link."""
         maps, least, most, extra = self.levels[level]
@@ -169,7 +183,7 @@ class Tree:
         return small & ((num + den) * both >= num * (least[x] + least[y]))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of documents (places in ``sets``) that the tree does not rule out, some at a time."""
+        """Pairs of documents (places in the given order) that the tree does not rule out, some at a time."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, x, y = stack.pop()
@@ -195,7 +209,7 @@ def linked(sets: list[np.ndarray], label: np.ndarray, far: np.ndarray | None = N
     side 0 are not compared with each other."""
     label = label.copy()
     num, den = SIMILARITY
-    for x, y in Tree(sets).pairs() if len(sets) > 1 else []:
+    for x, y in Tree.of(sets).pairs() if len(sets) > 1 else []:
         ok = label[x] != label[y]
         if far is not None:
             ok &= (far[x] != 0) | (far[y] != 0)
@@ -211,6 +225,46 @@ def linked(sets: list[np.ndarray], label: np.ndarray, far: np.ndarray | None = N
                 yield i, j
 
 
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, id, side, label, n, map) in the order of group and id -> group, id, side, label of the documents that
+    may have a link in their group.
+
+    Bitmaps of two widths that follow each other are taken together, the wider folded; links never span more."""
+    held, rows = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        size, side, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 1, 2))
+        wide, keep = np.array([len(r[4]) for r in rows]), np.zeros(len(rows), bool)
+        for width in np.unique(wide).tolist():
+            at = np.flatnonzero((wide == width) | (wide == 2 * width))
+            if len(at) < 2:
+                continue
+            maps = np.empty((len(at), width), np.uint8)
+            for k, i in enumerate(at.tolist()):
+                own = np.frombuffer(rows[i][4], np.uint8)
+                maps[k] = own if len(own) == width else own[:width] | own[width:]
+            for x, y in Tree(maps, size[at]).pairs():
+                x, y = at[x], at[y]
+                ok = (label[x] != label[y]) & ((side[x] != 0) | (side[y] != 0)) & ((wide[x] == width) | (wide[y] == width))
+                keep[x[ok]] = keep[y[ok]] = True
+        left = [rows[i] for i in np.flatnonzero(keep).tolist()]
+        if left:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([held] * len(left)), *[pa.array([r[k] for r in left], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()))]],
+                names=["group", "id", "side", "label"])
+
+    for batch in batches:
+        for group, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != held:
+                yield from close()
+                held, rows = group, []
+            if not rows or rows[-1][0] != row[0]:
+                rows.append(row)
+    yield from close()
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, id, side, label, text) in the order of group and id -> links (a, b) of ids."""
     held, ids, sides, labels, texts = None, [], [], [], []
@@ -251,27 +305,31 @@ def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = dealt.join(texts, "id").select("group", "id", "side", "label", "text")
-    return rows.repartition("group").sortWithinPartitions("group", "id", F.desc("side")).mapInArrow(_compared, "a bigint, b bigint").distinct()
+def _links(docs: DataFrame, sets: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt (group, id, side, label) -> stored links (a, b) of ids, by the documents that a group's bitmaps leave."""
+    order = ["group", "id", F.desc("side")]
+    rows = dealt.join(sets.select("id", "n", "map"), "id").select("group", "id", "side", "label", "n", "map")
+    left = stored(rows.repartition("group").sortWithinPartitions(*order).mapInArrow(_sifted, "group string, id bigint, side int, label bigint"))
+    texts = _texts_of(docs, sets, left.select("id").distinct())
+    rows = left.join(texts, "id").select("group", "id", "side", "label", "text")
+    return stored(rows.repartition("group").sortWithinPartitions(*order).mapInArrow(_compared, "a bigint, b bigint").distinct())
 
 
 def set_links(docs: DataFrame, sets: DataFrame, room: int = ROOM) -> DataFrame:
-    """sets (id, n, probes, first) of ``docs`` -> links (a, b) of ids that unite exactly what links at the threshold unite."""
+    """sets (id, n, map, probes, first) of ``docs`` -> links (a, b) of ids that unite exactly what links at the threshold unite."""
     probes = sets.filter("n > 0").select(F.explode("probes").alias("probe"), "n", "id")
     runs = probes.repartition("probe").sortWithinPartitions("probe", "n", "id").mapInArrow(_runs, "head bigint, id bigint, n bigint")
     members = stored(runs.distinct())
     sizes = members.groupBy("head").agg(F.sum(F.col("n") + BASE).alias("total"))
     sizes = stored(sizes.select("head", F.ceil(F.col("total") / room).alias("blocks")))
     large = sizes.filter("blocks > 1")
-    texts = stored(_texts_of(docs, sets, members.select("id").distinct()))
     # groups of one block as they are; larger ones in blocks that also hold the first member
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     none = [F.lit(2).alias("side"), F.col("id").alias("label")]
     placed = members.join(large, "head", "left").withColumn("block", F.when(F.col("id") == F.col("head"), F.lit(None)).otherwise(F.coalesce(block, F.lit(0))))
     heads = sizes.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("head").alias("id"))
     near = placed.filter("block is not null").select("head", "block", "id").unionByName(heads)
-    near = stored(_links(near.select(F.concat_ws(":", "head", "block").alias("group"), "id", *none), texts))
+    near = _links(docs, sets, near.select(F.concat_ws(":", "head", "block").alias("group"), "id", *none))
     if large.isEmpty():
         return near
     # members of large groups that are still apart from the first one meet the other blocks
@@ -286,7 +344,7 @@ def set_links(docs: DataFrame, sets: DataFrame, room: int = ROOM) -> DataFrame:
     left = some.select("head", "part", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     right = told.join(few, "head").select("head", "block", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)))
-    far = _links(both.select(F.concat_ws(":", "head", "block", "part").alias("group"), "id", "side", "label").distinct(), texts)
+    far = _links(docs, sets, both.select(F.concat_ws(":", "head", "block", "part").alias("group"), "id", "side", "label"))
     return near.unionByName(far).distinct()
 
 
@@ -302,9 +360,9 @@ def jaccard_classes(docs: DataFrame, room: int = ROOM) -> DataFrame:
     counts = combined(docs.select(text.alias("text")).filter("text is not null").mapInArrow(_tally, "part int, cells binary"), SLOTS, np.int64)
     made = _sets(docs.sparkSession.sparkContext.broadcast(counts))
     rows = docs.select("doc_id", row_key(docs).alias("row_key"), made(text).alias("s"))
-    rows = stored(rows.select("doc_id", "row_key", "s.key", "s.n", "s.probes"))
+    rows = stored(rows.select("doc_id", "row_key", "s.key", "s.n", "s.map", "s.probes"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-    sets = rows.filter("n > 0").groupBy("key").agg(first, F.min("n").alias("n"), F.any_value("probes").alias("probes"))
+    sets = rows.filter("n > 0").groupBy("key").agg(first, F.min("n").alias("n"), F.any_value("map").alias("map"), F.any_value("probes").alias("probes"))
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
     found = components(set_links(docs, sets, room))
     rooted = stored(sets.join(found, F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("root"), "first"))
