@@ -3,12 +3,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from webplan.catalog.streams import run
 from webplan.operators import quality as Q
 from webplan.operators.links import dedupe_links, discovery_steps, rank_links, seeds_of
 from webplan.sources import sitemaps as S
 from webplan.sources import tables as TB
-from webplan.streaming import jobs as J
 
 
 def test_sitemap_walk_is_breadth_first_and_capped(spark):
@@ -48,49 +46,13 @@ def test_unreadable_geometry_is_absent(spark):
     assert sorted(r["tag_id"] for r in TB.read_positions(spark, path).collect()) == [1, 2]
 
 
-def test_stalls_of_stream_and_batch_agree(spark):
+def test_gaps_of_jobs(spark):
     base = dt.datetime(2024, 1, 1)
     at = lambda s: base + dt.timedelta(seconds=s)
     rows = [("a", "view", at(0)), ("a", "view", at(89)), ("b", "view", at(0)), ("b", "view", at(95)), ("c", "page_capture", at(0)), ("c", "view", at(120))]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "job_id string, step string, updated_at timestamp, seq int")
     gaps = {(r["job_id"], r["stalled"]) for r in Q.progress_gaps(df).collect()}
     assert gaps == {("a", False), ("b", True), ("c", False)}
-    late = spark.createDataFrame([("z", "view", at(400))], "job_id string, step string, updated_at timestamp")
-    rows = df.select("job_id", "step", "updated_at").unionByName(late)
-    got = sorted((r["job_id"], r["last_update"]) for r in run(rows, "updated_at", J.stalled_jobs, "append").collect())
-    # b stalled twice; c waits in a capture step, whose limit is longer, and stalls after it
-    assert got == [("a", at(89)), ("b", at(0)), ("b", at(95)), ("c", at(120))]
-
-
-def test_items_count_once_however_often_they_are_updated(spark):
-    base = dt.datetime(2024, 1, 1)
-    steps = ["pending", "capturing", "done"]
-    rows = [("j", "i1", s, False, base + dt.timedelta(hours=20 * n), n) for n, s in enumerate(steps)] + [("j", "i2", "pending", False, base, 9)]
-    df = spark.createDataFrame(rows, "job_id string, item_id string, status string, cancel boolean, ts timestamp, seq int")
-    keys = ["job_id", "item_id"]
-    newest = J.fold_slices(run(df, "ts", lambda r: J.item_latest(r, keys, ["status", "cancel"]), "update"), keys)
-    p = J.capture_progress(newest.withColumnRenamed("status", "capture_status")).first()
-    assert (p["pending"], p["capturing"], p["done"], p["failed"], p["total"]) == (1, 0, 1, 0, 2)
-    b = J.batch_status(newest.withColumnRenamed("job_id", "batch_id").withColumn("status", F.lit("done"))).first()
-    assert (b["total"], b["done_count"], b["status"]) == (2, 2, "done")
-    assert {r["item_id"]: r["updates"] for r in newest.collect()} == {"i1": 3, "i2": 1}
-
-
-def test_addresses_come_once_and_a_stopped_discovery_keeps_them(spark):
-    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
-    rows = [("a.com", "https://a.com/x", None, t(0)), ("a.com", "https://a.com/x#1", None, t(50)), ("a.com", "https://a.com/", None, t(51)), ("a.com", None, "stopped", t(60)),
-            ("b.com", "https://b.com/y", None, t(30))]
-    found = run(spark.createDataFrame(rows, "site string, url string, event string, ts timestamp"), "ts", J.stream_discovery, "append")
-    got = sorted((r["site"], r["kind"], r["url"]) for r in found.collect())
-    assert got == [("a.com", "end", ""), ("a.com", "link", "https://a.com/x"), ("a.com", "seed", "https://a.com/"), ("b.com", "link", "https://b.com/y"), ("b.com", "seed", "https://b.com/")]
-    assert {r["site"]: (r["total"], r["state"]) for r in J.discovery_totals(found).collect()} == {"a.com": (2, "stopped"), "b.com": (2, "running")}
-
-
-def test_expired_sessions_are_purged(spark):
-    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
-    rows = J.session_expiry(spark.createDataFrame([("u", t(0)), ("v", t(0)), ("v", t(10))], "user_id string, created_at timestamp"))
-    kept, gone = J.purge(rows.limit(0), rows, F.lit(t(15)), ["user_id"])
-    assert [r["user_id"] for r in kept.collect()] == ["v"] and [r["user_id"] for r in gone.collect()] == ["u"]
 
 
 def test_large_sites_and_projects_stay_whole(spark):

@@ -10,6 +10,7 @@ from webplan.catalog.quality import SQ_PROGRESS, STEPS
 from webplan.catalog.tables import scratch
 from webplan.functions import urls as U
 from webplan.streaming import jobs as J
+from webplan.streaming import state as ST
 
 PARTS = 3
 
@@ -20,6 +21,7 @@ def run(rows, ts, job, mode):
     Every part is a micro-batch of its own, over the same checkpoint, so state is carried over restarts.  The sink
     writes one folder per batch and overwrites it when a batch is repeated."""
     spark = rows.sparkSession
+    ST.stateful(spark)
     source, sink, state = (f"{scratch(spark)}/{x}" for x in ("source", "sink", "state"))
     at = F.unix_micros(ts)
     low, high = rows.agg(F.min(at), F.max(at)).first()
@@ -54,20 +56,22 @@ def discovery(spark, d):
     ends = p.select("site").distinct().filter("site <> 'example.org'").select(
         "site", F.lit(None).cast("string").alias("url"), F.when(F.col("site") == "example.com", "done").otherwise("stopped").alias("event"),
         F.timestamp_seconds(F.lit(1700200000)).alias("ts"))
-    return run(links.unionByName(ends), "ts", J.stream_discovery, "append")
+    return run(links.unionByName(ends), "ts", ST.stream_discovery, "append")
 
 
 @query("stream_discovery", SQ_FOUND + """ SELECT site, 'link' AS kind, url, NULL::VARCHAR AS event FROM found
   UNION ALL SELECT site, 'seed', 'https://' || site || '/', NULL FROM sites
   UNION ALL SELECT site, 'end', '', CASE WHEN site = 'example.com' THEN 'done' ELSE 'stopped' END FROM sites WHERE site <> 'example.org'""")
 def _(spark, d):
-    return discovery(spark, d).select("site", "kind", "url", "event")
+    rows = discovery(spark, d)
+    ends = ST.discovery_totals(rows).filter("state <> 'running'").select("site", F.lit("end").alias("kind"), F.lit("").alias("url"), F.col("state").alias("event"))
+    return rows.filter("kind <> 'total'").select("site", "kind", "url", "event").unionByName(ends)
 
 
 @query("discovery_totals", SQ_FOUND + """ SELECT site, count(*) + 1 AS total,
   CASE site WHEN 'example.org' THEN 'running' WHEN 'example.com' THEN 'done' ELSE 'stopped' END AS state FROM found GROUP BY site""")
 def _(spark, d):
-    return J.discovery_totals(discovery(spark, d))
+    return ST.discovery_totals(discovery(spark, d))
 
 
 def progress_rows(spark, d):
@@ -87,23 +91,57 @@ def _(spark, d):
     return J.fold_jobs(rows).select("job_id", "stage", "status", "percent", "updates")
 
 
-@query("stalled_jobs", """WITH e AS (SELECT user_id::VARCHAR AS job_id, event_id, CASE WHEN event_type = 'click' THEN 'page_capture' ELSE event_type END AS step, epoch_us(ts) AS us FROM events),
-  f AS (SELECT *, max(us + CASE WHEN step = 'page_capture' THEN 180000000 ELSE 90000000 END) OVER (PARTITION BY job_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM e),
-  s AS (SELECT *, sum(CASE WHEN upto IS NULL OR us > upto THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY us, event_id) AS n FROM f),
-  g AS (SELECT job_id, n, arg_max(step, us) AS step, max(us) AS last_us, max(us + CASE WHEN step = 'page_capture' THEN 180000000 ELSE 90000000 END) AS end_us, count(*) AS updates FROM s GROUP BY 1, 2)
-  SELECT job_id, step, last_us, end_us, updates FROM g WHERE end_us // 1000 <= (SELECT max(us) // 1000 - 15000 FROM e)""")
+#: Time runs a thousand times as fast, so that jobs report about every forty seconds.
+SQ_FAST = "(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 1000)"
+
+
+def fast_progress(spark, d):
+    at = 1704067200000000 + F.floor((F.unix_micros("at") - 1704067200000000) / 1000)
+    return timed_events(spark, d).select(
+        F.col("user_id").cast("string").alias("job_id"), F.when(F.col("event_type") == "click", F.lit("page_capture")).otherwise(F.col("event_type")).alias("step"),
+        F.timestamp_micros(at).alias("updated_at"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("finished"))
+
+
+@query("stalled_jobs", f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, CASE WHEN event_type = 'click' THEN 'page_capture' ELSE event_type END AS step, event_type = 'purchase' AS fin,
+    {SQ_FAST} AS us, row_number() OVER (PARTITION BY user_id ORDER BY {SQ_FAST}, event_id) AS k FROM events),
+  r AS (SELECT job_id, k, us, step, fin, us AS start, 1 AS run, least(us + CASE WHEN step = 'page_capture' THEN 180000000 ELSE 90000000 END, us + 300000000) AS upto FROM e WHERE k = 1
+    UNION ALL SELECT e.job_id, e.k, e.us, e.step, e.fin, CASE WHEN r.fin OR e.us >= r.upto THEN e.us ELSE r.start END, CASE WHEN r.fin OR e.us >= r.upto THEN r.run + 1 ELSE r.run END,
+      least(e.us + CASE WHEN e.step = 'page_capture' THEN 180000000 ELSE 90000000 END, CASE WHEN r.fin OR e.us >= r.upto THEN e.us ELSE r.start END + 300000000)
+    FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1),
+  g AS (SELECT job_id, run, min(start) AS started_us, max(us) AS last_us, arg_max(step, k) AS step, arg_max(upto, k) AS ended_us, count(*) AS updates, arg_max(fin, k) AS fin FROM r GROUP BY 1, 2)
+  SELECT job_id, step, started_us, last_us, ended_us, updates, CASE WHEN ended_us = started_us + 300000000 THEN 'timeout' ELSE 'stalled' END AS status
+  FROM g WHERE NOT fin AND (ended_us + 999) // 1000 <= (SELECT max(us) // 1000 - 15000 FROM e)""")
 def _(spark, d):
-    rows = run(progress_rows(spark, d).select("job_id", "step", "updated_at"), "updated_at", J.stalled_jobs, "append")
-    return rows.select("job_id", "step", F.unix_micros("last_update").alias("last_us"), F.unix_micros("stalled_at").alias("end_us"), "updates")
+    return run(fast_progress(spark, d), "updated_at", ST.stalled_jobs, "append")
 
 
 @query("session_expiry", """WITH n AS (SELECT user_id, max(epoch_us(ts)) AS us FROM events GROUP BY 1)
   SELECT user_id, us // 1000000 + 1209600 AS expires_s FROM n WHERE us + 1209600000000 > epoch_us(TIMESTAMP '2024-02-06 00:00:00')""")
 def _(spark, d):
-    sessions = timed_events(spark, d).select("user_id", F.col("at").alias("created_at"))
-    rows = run(sessions, "created_at", J.session_expiry, "append")
-    kept, _gone = J.purge(rows.limit(0), rows, F.timestamp_seconds(F.lit(1707177600)), ["user_id"])
-    return kept.select("user_id", F.unix_seconds("expires_at").alias("expires_s"))
+    sessions = timed_events(spark, d).select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("user_id"), F.col("at").alias("created_at"), F.col("event_id").alias("seq"))
+    # the last minute still waits for the watermark: a later row lets it through and opens a session of its own
+    rows = run(sessions.unionByName(closing(spark, sessions, "created_at")), "created_at", ST.session_expiry, "append")
+    kept = ST.living(rows, F.timestamp_seconds(F.lit(1707177600))).filter("session_id <> 'closing'")
+    return kept.select(F.col("user_id").cast("long").alias("user_id"), F.floor(F.col("expires_us") / 1000000).alias("expires_s"))
+
+
+def closing(spark, rows, ts):
+    """A row an hour after the last one."""
+    last = rows.agg(F.max(ts).alias("t"))
+    return last.select(*[(F.col("t") + F.expr("interval 1 hour") if c == ts else F.lit("closing" if t == "string" else 0)).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+@query("purged_sessions", """WITH e AS (SELECT user_id || ':' || json_extract_string(props, '$.k') AS session_id, event_id, epoch_us(ts) AS us FROM events),
+  f AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS before FROM e),
+  s AS (SELECT *, sum(CASE WHEN before IS NULL OR us >= before + 1209600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS n FROM f),
+  g AS (SELECT session_id, n, max(us) + 1209600000000 AS expires_us, count(*) - 1 AS renewals FROM s GROUP BY 1, 2)
+  SELECT session_id, expires_us, renewals FROM g WHERE (expires_us + 999) // 1000 <= (SELECT max(us) // 1000 - 60000 FROM e)""")
+def _(spark, d):
+    """Every user has a session per item; those not renewed for 14 days leave, and may come back."""
+    session = F.concat_ws(":", "user_id", F.get_json_object("props", "$.k"))
+    sessions = timed_events(spark, d).select(session.alias("session_id"), F.col("user_id").cast("string").alias("user_id"), F.col("at").alias("created_at"), F.col("event_id").alias("seq"))
+    return run(sessions, "created_at", ST.session_expiry, "append").filter("event = 'purged'").select("session_id", "expires_us", "renewals")
 
 
 @query("upsert_tag_events", """SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS screen_id, json_extract_string(props, '$.k') AS stable_key,
@@ -119,6 +157,33 @@ def _(spark, d):
     return state.select(*keys, "event_name", F.col("updates").alias("accepted"), (F.col("updates") - 1).alias("skipped"))
 
 
+SQ_SCREENS = """WITH e AS (SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS screen_id, coalesce(json_extract_string(props, '$.k'), '') AS k,
+  CASE WHEN value < 5 THEN event_type ELSE 'n' || event_id END AS event_name, ts, event_id FROM events)"""
+
+
+def screen_changes(spark, d):
+    rows = timed_events(spark, d).select(
+        (F.col("user_id") % 10).cast("string").alias("session_id"), F.col("event_type").alias("screen_id"), F.get_json_object("props", "$.k").alias("stable_key"), "event_type",
+        F.when(F.col("value") >= 5, F.concat(F.lit("n"), "event_id")).alias("event_name"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
+    return run(rows, "ts", lambda r: ST.tag_event_changes(r, J.tag_event_name()), "append")
+
+
+@query("tag_event_counts", SQ_SCREENS + """ SELECT session_id, screen_id, count(*) AS accepted, count(DISTINCT k) AS upserted, count(*) - count(DISTINCT k) AS skipped FROM e GROUP BY 1, 2""")
+def _(spark, d):
+    counts = screen_changes(spark, d).filter("kind = 'counts'").groupBy("session_id", "screen_id")
+    return counts.agg(*[F.sum(c).alias(c) for c in ("accepted", "upserted", "skipped")])
+
+
+@query("stored_tag_events", SQ_SCREENS + """ SELECT session_id, screen_id, k AS stable_key, arg_max(event_name, (ts, event_id)) AS event_name FROM e GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return ST.stored_events(screen_changes(spark, d)).drop("event_type")
+
+
+@query("created_screens", SQ_SCREENS + """ SELECT DISTINCT session_id, screen_id, screen_id AS screen_name, '*' AS page_url_pattern, 'route' AS detected_by FROM e""")
+def _(spark, d):
+    return ST.created_screens(screen_changes(spark, d))
+
+
 @query("fold_tag_events", """WITH e AS (SELECT (user_id % 10)::VARCHAR AS session_id, event_type AS sc, json_extract_string(props, '$.k') AS k, event_id % 2 AS b FROM events), o AS (SELECT DISTINCT session_id, sc, k FROM e WHERE b = 0),
   n AS (SELECT session_id, sc, k, count(*) AS n FROM e WHERE b = 1 GROUP BY ALL)
   SELECT n.session_id, sum(n)::BIGINT AS accepted, count_if(o.k IS NULL) AS upserted, (sum(n) - count_if(o.k IS NULL))::BIGINT AS skipped FROM n LEFT JOIN o ON o.session_id = n.session_id AND o.sc = n.sc AND o.k = n.k GROUP BY 1""")
@@ -166,19 +231,18 @@ def item_rows(spark, d, names, otherwise):
         (F.col("user_id") % 3 == 0).alias("cancel"), F.col("at").alias("ts"), F.col("event_id").alias("seq"))
 
 
-def newest_items(rows):
-    keys = ["job_id", "item_id"]
-    return J.fold_slices(run(rows, "ts", lambda r: J.item_latest(r, keys, ["status", "cancel"]), "update"), keys)
+def item_totals(rows):
+    return ST.newest_totals(run(rows.withColumnRenamed("job_id", "group_id"), "ts", ST.status_totals, "append"))
 
 
 @query("batch_status", SQ_ITEMS + """, b AS (SELECT user_id AS batch_id, count(*) AS total, count_if(t IN ('purchase', 'error')) AS fin, user_id % 3 = 0 AS c, count_if(t NOT IN ('purchase', 'error')) AS o FROM i GROUP BY 1, user_id % 3)
   SELECT batch_id, total, c AS cancelled, CASE WHEN c THEN least(total, fin + o) ELSE fin END AS done_count, CASE WHEN c THEN o ELSE 0 END AS stopped_items, CASE WHEN c OR fin >= total THEN 'done' ELSE 'running' END AS status FROM b""")
 def _(spark, d):
     rows = item_rows(spark, d, {"purchase": "done", "error": "error", "click": "naming"}, "running")
-    return J.batch_status(newest_items(rows).withColumnRenamed("job_id", "batch_id"))
+    return ST.batch_status(item_totals(rows)).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 @query("capture_progress", SQ_ITEMS + " SELECT user_id AS job_id, count_if(t = 'view') AS pending, count_if(t = 'click') AS capturing, count_if(t = 'purchase') AS done, count_if(t = 'error') AS failed, count(*) AS total FROM i GROUP BY 1")
 def _(spark, d):
     rows = item_rows(spark, d, {"view": "pending", "click": "capturing", "purchase": "done", "error": "failed"}, "other")
-    return J.capture_progress(newest_items(rows).withColumnRenamed("status", "capture_status"))
+    return ST.capture_progress(item_totals(rows)).withColumn("job_id", F.col("job_id").cast("long"))

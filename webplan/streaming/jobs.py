@@ -1,29 +1,19 @@
-"""Structured Streaming jobs over job progress, discovery batches, tag events and selections.
+"""Structured Streaming jobs over job progress, tag events and selections; those with state of their own are in ``state``.
 
 A streaming job takes a streaming DataFrame and returns one; the caller chooses sink and trigger.  Event time is the
 update time of a row: rows older than the watermark are dropped, otherwise the latest event time wins.
 
 Keyed state is kept per key and slice of event time (``latest_rows``), so the watermark can let old slices go; a key
 that is updated later opens a new slice.  ``fold_slices`` is the batch view over what the sink holds: the newest row per
-key, however many batches and slices it was spread over.  Counts are taken on that view, after the latest row per item
-is known."""
+key, however many batches and slices it was spread over."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webplan.functions import geometry as G
 from webplan.functions import text as T
-from webplan.functions import urls as U
-from webplan.operators import quality as Q
-
-# Item states that a cancelled batch turns into errors, and the message they get.
-CANCELLABLE = ["queued", "running", "collecting", "naming"]
-CANCELLED_TEXT = "중단됨"
-# Events that end a discovery.
-TERMINAL = ["done", "stopped", "error"]
-
 
 # ------------------------------------------------------------------ latest row per key
 
@@ -48,39 +38,6 @@ def fold_slices(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "row.*", F.col("at.ts").alias("ts"), "updates")
 
 
-# ------------------------------------------------------------------ discovery
-
-
-def stream_discovery(batches: DataFrame, delay: str | None = None) -> DataFrame:
-    """Rows of a discovery, each once: the seed of a site with its first row, every address, and terminal events.
-
-    batches(site, url, event, ts); a terminal row has an event (done, stopped or error) and no address.  Result: site,
-    kind (seed | link | end), url, event, ts.  Without ``delay`` an address is never given twice, for which the state
-    holds every address seen; with it, repeats are recognised only within the watermark and the state is bounded."""
-    ends = F.col("event").isin(TERMINAL)
-    key = F.coalesce(U.canonical_link(F.col("url")), F.trim("url"))
-    none = F.lit(None).cast("string")
-    row = lambda kind, url, event: F.struct(F.lit(kind).alias("kind"), url.alias("url"), event.alias("event"))
-    found = batches.withColumn("_r", F.explode(F.array_compact(F.array(
-        row("seed", F.concat(F.lit("https://"), F.col("site"), F.lit("/")), none),
-        F.when(ends, row("end", F.lit(""), F.col("event"))).when(F.coalesce(key, F.lit("")) != "", row("link", key, none)),
-    )))).select("site", "_r.*", "ts").withColumn("_e", F.coalesce("event", F.lit("")))
-    # the seed itself is not listed a second time as a link
-    found = found.filter(~((F.col("kind") == "link") & (F.col("url") == F.concat(F.lit("https://"), F.col("site"), F.lit("/")))))
-    same = ["site", "kind", "url", "_e"]
-    once = found.dropDuplicates(same) if delay is None else found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(same)
-    return once.drop("_e")
-
-
-def discovery_totals(rows: DataFrame) -> DataFrame:
-    """Batch view over the rows of stream_discovery: addresses per site, seed included, and how it ended.
-
-    A discovery that was stopped or failed keeps what it had found; ``state`` is running until a terminal row came."""
-    ended = F.max_by("event", F.when(F.col("kind") == "end", F.col("ts")))
-    return rows.groupBy("site").agg(F.count_if(F.col("kind") != "end").alias("total"), ended.alias("_end")).select(
-        "site", "total", F.coalesce("_end", F.lit("running")).alias("state"))
-
-
 # ------------------------------------------------------------------ job progress
 
 
@@ -105,41 +62,6 @@ def fold_jobs(rows: DataFrame) -> DataFrame:
     ).select("job_id", "s.*", F.col("at.updated_at").alias("updated_at"), F.coalesce("percent", F.lit(0)).alias("percent"), "updates")
 
 
-def stalled_jobs(progress: DataFrame, delay: str = "15 seconds") -> DataFrame:
-    """Every time a job went without an update for 90 s (180 s while capturing), judged by event time (append mode).
-
-    progress(job_id, step, updated_at).  A session of updates ends where the next one is later than every update's own
-    limit; it is told when the watermark passes its end, and its state goes with it.  A capture step grants its 180 s
-    even when another step follows it."""
-    limit = F.when(F.col("step").isin(Q.CAPTURE_STEPS), f"{Q.CAPTURE_STALL_SECONDS} seconds").otherwise(f"{Q.STALL_SECONDS} seconds")
-    return (
-        progress.withWatermark("updated_at", delay).groupBy("job_id", F.session_window("updated_at", limit).alias("_w"))
-        .agg(F.max_by("step", "updated_at").alias("step"), F.max("updated_at").alias("last_update"), F.count(F.lit(1)).alias("updates"))
-        .select("job_id", "step", "last_update", F.col("_w.end").alias("stalled_at"), "updates", F.lit("stalled").alias("status"))
-    )
-
-
-# ------------------------------------------------------------------ sessions
-
-
-def session_expiry(sessions: DataFrame, days: int = 14) -> DataFrame:
-    """Sessions with their end of life.  Stateless: nothing is dropped here, see ``valid_at`` and ``purge``."""
-    return sessions.withColumn("expires_at", F.col("created_at") + F.make_interval(days=F.lit(days)))
-
-
-def valid_at(sessions: DataFrame, now: Column) -> DataFrame:
-    return sessions.filter(F.col("expires_at") > now)
-
-
-def purge(store: DataFrame, batch: DataFrame, now: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of sessions into the store: the newest row per key, without those expired at ``now``.
-
-    Returns the new store and the purged rows."""
-    rest = [c for c in store.columns if c not in keys]
-    newest = store.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*rest), "created_at").alias("_v")).select(*keys, "_v.*")
-    return valid_at(newest, now), newest.filter(F.col("expires_at") <= now)
-
-
 # ------------------------------------------------------------------ tag events
 
 
@@ -186,37 +108,3 @@ def patch_tag_events(patches: DataFrame, store: DataFrame) -> DataFrame:
 def selection_state(patches: DataFrame, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
     """Latest boolean per page and element as slices (update mode); anything else is ignored."""
     return latest_rows(patches.filter(F.col("selected").isNotNull()), ["page_key", "tag_id"], ["selected"], delay=delay, span=span)
-
-
-# ------------------------------------------------------------------ batches of items
-
-
-def item_latest(items: DataFrame, keys: list[str], fields: list[str], delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
-    """Newest update per item as slices (update mode), from which the two reports below count."""
-    return latest_rows(items, keys, fields, delay=delay, span=span)
-
-
-def batch_status(items: DataFrame) -> DataFrame:
-    """State per batch over the newest row of each item.  A cancelled batch turns its unfinished items into errors.
-
-    items(batch_id, item_id, status, cancel), one row per item."""
-    finished = F.col("status").isin("done", "error", "login_required")
-    return items.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(finished).alias("finished"), F.max("cancel").alias("cancelled"),
-        F.count_if(F.col("status").isin(CANCELLABLE)).alias("open_items"),
-    ).select(
-        "batch_id", "total", "cancelled",
-        F.when(F.col("cancelled"), F.least("total", F.col("finished") + F.col("open_items"))).otherwise(F.col("finished")).alias("done_count"),
-        F.when(F.col("cancelled"), F.col("open_items")).otherwise(F.lit(0)).alias("stopped_items"),
-        F.when(F.col("cancelled") | (F.col("finished") >= F.col("total")), F.lit("done")).otherwise(F.lit("running")).alias("status"),
-    )
-
-
-def capture_progress(items: DataFrame) -> DataFrame:
-    """Counts per capture status and job over the newest row of each element.
-
-    items(job_id, candidate_id, capture_status), one row per element."""
-    s = F.col("capture_status")
-    return items.groupBy("job_id").agg(
-        *[F.count_if(s == k).alias(k) for k in ("pending", "capturing", "done", "failed")], F.count(F.lit(1)).alias("total")
-    )
