@@ -573,7 +573,7 @@ def test_signatures_estimate_similarity():
         a = "".join(rng.choice("abcdefgh ") for _ in range(200)).encode()
         at = rng.randrange(20, 180)
         b = a[:at] + b"#" + a[at + 1 :]
-        sa, sb = ({x[i : i + 9] for i in range(len(x) - 8)} for x in (a, b))
+        sa, sb = ({x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} for x in (a, b))
         if len(sa & sb) >= 0.8 * len(sa | sb):
             total += 1
             keys = line_dedup.band_keys([a, b])
@@ -587,7 +587,7 @@ def test_signatures_estimate_similarity():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "benchmark", "embeddings"):
+    for t in ("pages", "documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.ORACLE[name])

@@ -8,11 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import DOCS, ODD, brute_components, brute_contamination, brute_mix, brute_print, check_shards
-from webplan.llm import langid, near_copies
+from tests.llm.test_operators import DOCS, ODD, brute_contamination, brute_mix, check_shards
+from webplan.llm import decontaminate, langid, near_copies
 from webplan.llm.components import Forest
+from webplan.llm.simhash import FOLD
 
 TINY = "/root/testdata/sf0.001"
 
@@ -44,14 +46,16 @@ def plain_mixture(grams, p, langs):
     theta = fit(theta, langid.ROUNDS)
     order = sorted(langs, key=lambda x: -theta[x])
     best = None
-    for size in range(1, min(langid.LARGEST_SET, len(langs)) + 1):
+    for size in range(1, len(langs) + 1):
         part = {x: (theta[x] + 1e-12) * (x in order[:size]) for x in langs}
         part = {x: v / sum(part.values()) for x, v in part.items()}
         part = fit(part, langid.REFITS if size > 1 else 0)
         cost = -sum(n * math.log(sum(part[x] * p(x, g) for x in langs)) for g, n in grams.items()) + 0.5 * size * math.log(max(total, 2))
-        if best is None or cost < best[0] - 1e-9:
-            best = (cost, part)
-    return best[1]
+        if best is not None and cost >= best[0] - 1e-9:
+            break
+        best = (cost, part)
+    likely = sum(n * math.log(sum(best[1][x] * p(x, g) for x in langs)) for g, n in grams.items()) / max(total, 1)
+    return best[1], likely
 
 
 def plain_languages(rows):
@@ -64,20 +68,31 @@ def plain_languages(rows):
     out = {}
     for r in rows:
         text = r["text"] or ""
-        theta = plain_mixture(plain_trigrams(text), p, langs) if any(c.isalpha() for c in text) and langs else {}
-        out[r["doc_id"]] = max(theta.items(), key=lambda kv: kv[1]) if theta else ("und", 0.0)
+        theta, likely = plain_mixture(plain_trigrams(text), p, langs) if any(c.isalpha() for c in text) and langs else ({}, 0.0)
+        out[r["doc_id"]] = (*max(theta.items(), key=lambda kv: kv[1]), likely) if theta else ("und", 0.0, 0.0)
     return out
 
 
+def near_copies_by_pairs(rows):
+    """The smallest doc_id of every group of documents linked by a five-word Jaccard similarity of 0.8 or more."""
+    words = {r["doc_id"]: (r["text"] or "").encode().translate(FOLD).split() for r in rows}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    forest = Forest()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+            forest.unite(a, b)
+    return {forest.root(d) for d in sets}
+
+
 def test_pipeline_equals_plain_stages(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     rows = [r.asDict() for r in docs.collect()]
     told = plain_languages(rows)
     got = {r["doc_id"]: r for r in langid.language_report(docs).collect()}
-    assert all(got[d]["lang_pred"] == lang and abs(got[d]["score"] - score) < 1e-6 for d, (lang, score) in told.items())
+    assert all(got[d]["lang_pred"] == lang and abs(got[d]["score"] - score) < 1e-6 for d, (lang, score, _) in told.items())
 
-    kept = [r for r in rows if told[r["doc_id"]][1] >= 0.5]
-    stay = set(brute_components({r["doc_id"]: brute_print(r["text"]) for r in kept}).values())
+    kept = [r for r in rows if told[r["doc_id"]][0] != "und" and told[r["doc_id"]][2] >= -math.log(langid.BINS)]
+    stay = near_copies_by_pairs(kept)
     kept = [r for r in kept if r["doc_id"] in stay]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
     clean = [r for r in kept if not brute_contamination(r["text"], items)[4]]
@@ -133,3 +148,30 @@ def test_near_dedup_meets_edited_copies_at_a_similarity_of_four_fifths(spark):
         assert pairs > 300 and got == {i: forest.root(i) for i in range(len(texts))}
     kept = corpus_pipeline.near_dedup(spark, docs, TINY)
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if forest.root(i) == i}
+
+
+CLASHES = ("language", "found", "items", "spans", "block", "place", "likely", "first")
+
+
+def test_stages_keep_columns_named_as_what_they_make(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, TINY)
+        assert out.columns == docs.columns and out.count() > 0
+        assert [tuple(r) for r in out.select(*CLASHES).distinct().collect()] == [tuple(f"own {c}" for c in CLASHES)], name
+    few = decontaminate.drop_contaminated(docs, spark.read.parquet(f"{TINY}/benchmark.parquet"), limit=30)
+    assert few.columns == docs.columns and few.count() == decontaminate.drop_contaminated(docs, spark.read.parquet(f"{TINY}/benchmark.parquet")).count()
+
+
+def test_documents_in_many_languages_stay(spark):
+    """Six languages in one text are all found, and the document stays, though none has half of it; letters at random go."""
+    rng = random.Random(4)
+    sounds = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(60)] for k in range(6)}
+    prose = lambda lang, n: " ".join(rng.choice(sounds[lang]) for _ in range(n))
+    rows = [(k, prose(f"l{k % 6}", 200), f"l{k % 6}", "a", 0) for k in range(120)]
+    rows += [(1000, " ".join(prose(x, 120) for x in sounds), None, "a", 0)]
+    rows += [(2000, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(900)), None, "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    told = {r["doc_id"]: r for r in langid.language_report(docs).collect()}
+    assert set(told[1000]["languages"]) == set(sounds) and told[1000]["score"] < 0.3
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, TINY).collect()} == {r[0] for r in rows} - {2000}

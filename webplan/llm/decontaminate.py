@@ -147,18 +147,18 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), none, add)
 
 
-def search_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS) -> DataFrame:
-    """``docs`` with a column ``found``: struct of n_words, spans and items (sorted item ids as strings).
+def search_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS, name: str = "found") -> DataFrame:
+    """``docs`` with a column ``name``: struct of n_words, spans and items (sorted item ids as strings).
 
     A benchmark of more than ``limit`` words is searched in passes over the documents, whose finds are then brought
     together by row.  A null or empty text has no words and no finds; items without words are never found; items with
-    a null id count as one item named ``null``.  Repeated rows and items change nothing.  A column ``found`` is
-    replaced."""
-    docs, text = docs.drop("found"), utf8(F.col("text"))
+    a null id count as one item named ``null``.  Repeated rows and items change nothing.  A column of that
+    name is replaced."""
+    docs, text = docs.drop(name), utf8(F.col("text"))
     spark = docs.sparkSession
     passes = benchmark_passes(benchmark, limit)
     first = _search_column(next(passes, []), spark, window)
-    out = docs.withColumn("found", first(text))
+    out = docs.withColumn(name, first(text))
     more = None
     for items in passes:
         part = docs.select(F.col("doc_id").alias("__id"), row_key(docs).alias("__key"),
@@ -167,17 +167,17 @@ def search_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     if more is None:
         return out
     flat = lambda c: F.flatten(F.collect_set(c))  # noqa: E731  one element per pass
-    more = more.groupBy("__id", "__key").agg(flat("f.spans").alias("spans"), flat("f.items").alias("items"))
+    more = more.groupBy("__id", "__key").agg(flat("f.spans").alias("__spans"), flat("f.items").alias("__items"))
     own = out.withColumn("__row", row_key(docs))
     both = own.join(more, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    extra = lambda c, t: F.concat(F.col(f"found.{c}"), F.coalesce(F.col(c), F.array().cast(t)))
+    extra = lambda c, t: F.concat(F.col(f"{name}.{c}"), F.coalesce(F.col(f"__{c}"), F.array().cast(t)))
     return both.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(
-            F.col("found.n_words").alias("n_words"),
+            F.col(f"{name}.n_words").alias("n_words"),
             _merged(extra("spans", "array<struct<start:bigint,end:bigint>>")).alias("spans"),
             F.array_sort(F.array_distinct(extra("items", "array<string>"))).alias("items"),
-        ).alias("found"),
+        ).alias(name),
     )
 
 
@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; the others keep all their columns."""
-    return search_documents(docs, benchmark, window, limit).filter("size(found.items) = 0").select(
+    return search_documents(docs, benchmark, window, limit, "__found").filter("size(__found.items) = 0").select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
 

@@ -8,6 +8,7 @@ likelihood (half the logarithm of the document's trigrams per language) is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from webplan.llm.common import blocks, utf8
 UNKNOWN = "und"
 #: Hash classes of trigrams: the model holds at most this many numbers per language.
 BINS = 1 << 16
-SMOOTHING, ROUNDS, REFITS, LARGEST_SET = 0.2, 12, 4, 4
+SMOOTHING, ROUNDS, REFITS = 0.2, 12, 4
 #: Letters keep their byte; what is neither a letter nor part of a longer character becomes a space.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint32)
 
@@ -77,8 +78,9 @@ class Languages:
         smooth = counts + SMOOTHING
         self.probability = (smooth / smooth.sum(axis=0)).astype(np.float64) if names else smooth
 
-    def mixtures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions (texts x languages) of the selected sets, zero outside them; number of trigrams."""
+    def mixtures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions (texts x languages) of the selected sets, zero outside them; number of trigrams, and their mean
+        log-probability under the whole mixture.  A text's set grows as long as every step lowers its penalised cost."""
         n_docs, n_langs = len(texts), len(self.names)
         code, doc = trigrams(texts)
         key, times = np.unique(doc * BINS + code, return_counts=True)
@@ -87,7 +89,7 @@ class Languages:
         theta = np.full((n_docs, n_langs), 1.0 / n_langs)
         used, first = np.unique(doc, return_index=True)
         if not len(used):
-            return theta, grams
+            return theta, grams, np.zeros(n_docs)
 
         def fit(theta: np.ndarray, rounds: int) -> np.ndarray:
             for _ in range(rounds):
@@ -99,16 +101,20 @@ class Languages:
 
         theta = fit(theta, ROUNDS)
         rank = np.argsort(np.argsort(-theta, axis=1, kind="stable"), axis=1, kind="stable")
-        best, chosen = np.full(n_docs, np.inf), theta
-        for size in range(1, min(LARGEST_SET, n_langs) + 1):
+        best, chosen, likely, growing = np.full(n_docs, np.inf), theta, np.zeros(n_docs), np.ones(n_docs, bool)
+        for size in range(1, n_langs + 1):
             tried = np.where(rank < size, theta + 1e-12, 0.0)
             tried = fit(tried / tried.sum(axis=1, keepdims=True), REFITS if size > 1 else 0)
             fitted = np.bincount(doc, times * np.log((tried[doc] * p).sum(axis=1)), n_docs)
             cost = -fitted + 0.5 * size * np.log(np.maximum(grams, 2))
-            better = cost < best - 1e-9
+            growing &= cost < best - 1e-9
+            better = growing
             best = np.where(better, cost, best)
             chosen = np.where(better[:, None], tried, chosen)
-        return chosen, grams
+            likely = np.where(better, fitted / np.maximum(grams, 1), likely)
+            if not growing.any():
+                break
+        return chosen, grams, likely
 
 
 def learn(docs: DataFrame) -> Languages:
@@ -127,7 +133,7 @@ def learn(docs: DataFrame) -> Languages:
     return Languages(names, matrix)
 
 
-PREDICTION = "struct<lang:string,score:double,languages:array<string>,shares:array<double>>"
+PREDICTION = "struct<lang:string,score:double,languages:array<string>,shares:array<double>,likely:double>"
 
 
 def predict(model: Languages, spark):
@@ -141,31 +147,32 @@ def predict(model: Languages, spark):
             rows: list = []
             for block in blocks(column, (1 << 20) * 4 // max(4, len(own.names))):
                 if not own.names:
-                    rows += [{"lang": UNKNOWN, "score": 0.0, "languages": [], "shares": []}] * len(block)
+                    rows += [{"lang": UNKNOWN, "score": 0.0, "languages": [], "shares": [], "likely": None}] * len(block)
                     continue
-                theta, grams = own.mixtures(block)
-                for t, g in zip(theta, grams):
+                theta, grams, likely = own.mixtures(block)
+                for t, g, fit in zip(theta, grams, likely):
                     order = [i for i in np.argsort(-t, kind="stable").tolist() if t[i] > 1e-9] if g else []
                     names = [own.names[i] for i in order]
                     rows.append({"lang": names[0] if names else UNKNOWN, "score": min(1.0, float(t[order[0]])) if names else 0.0,
-                                 "languages": names, "shares": [float(t[i]) for i in order]})
+                                 "languages": names, "shares": [float(t[i]) for i in order], "likely": float(fit) if names else None})
             yield pa.array(rows, pa.struct([("lang", pa.string()), ("score", pa.float64()),
-                                            ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]))
+                                            ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64())), ("likely", pa.float64())]))
 
     return infer
 
 
-def identify(docs: DataFrame, model: Languages) -> DataFrame:
-    """``docs`` with a column ``language``: struct of lang, score, languages and shares.
+def identify(docs: DataFrame, model: Languages, name: str = "language") -> DataFrame:
+    """``docs`` with a column ``name``: struct of lang, score, languages, shares and likely (mean log-probability of the
+    text's trigrams under its mixture).
 
     Texts that are null or hold no letter get ``und``, score 0 and no languages, as does every text when nothing was
-    learned.  A column ``language`` is replaced.  No shuffle."""
-    docs, text = docs.drop("language"), F.col("text")
+    learned.  A column of that name is replaced.  No shuffle."""
+    docs, text = docs.drop(name), F.col("text")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     found = predict(model, docs.sparkSession)(utf8(F.lower(text)))
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("languages"),
-                    F.array().cast("array<double>").alias("shares"))
-    return docs.withColumn("language", F.when(lettered, found).otherwise(none))
+                    F.array().cast("array<double>").alias("shares"), F.lit(None).cast("double").alias("likely"))
+    return docs.withColumn(name, F.when(lettered, found).otherwise(none))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -178,10 +185,13 @@ def language_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without the rows in which no language is found, or none that has ``least_score`` of the text."""
+def keep_identified(docs: DataFrame, least_likely: float = -math.log(BINS)) -> DataFrame:
+    """``docs`` without the rows in which no language is found, or whose trigrams are on average less probable under the
+    whole mixture than ``least_likely``: by default, than if every class of trigrams were as probable as any other.
+
+    A document in several languages stays, however small the share of each; columns stay as they are."""
     model = learn(docs.filter(training_rows(docs)))
-    told = identify(docs, model)
-    return told.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= least_score)).select(
+    told = identify(docs, model, "__language")
+    return told.filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.likely") >= least_likely)).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from webplan.llm.common import blocks, settled, utf8
+from webplan.llm.common import blocks, discard, settled, stored, utf8
 from webplan.llm.components import components
 
 #: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.995, one at 0.9 with 1 - 3e-8.
@@ -189,7 +189,7 @@ def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
     """(band_key, line) -> (group, line): lines to compare with each other, so that all pairs that share a band meet."""
     bucket = W.partitionBy("band_key")
     ranked = banded.withColumn("at", F.dense_rank().over(bucket.orderBy("line"))).withColumn("n", F.max("at").over(bucket))
-    shared = settled(ranked.filter("n > 1").select("band_key", "line", "at", "n").distinct())
+    shared = stored(ranked.filter("n > 1").select("band_key", "line", "at", "n").distinct())
     small = shared.filter(F.col("n") <= group).groupBy("band_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     small = small.groupBy(F.md5(F.array_join(F.transform("lines", F.hex), "").cast("binary")).alias("group")).agg(
         F.first("lines").alias("lines")).select("group", F.explode("lines").alias("line"))
@@ -199,7 +199,9 @@ def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select(F.concat_ws(":", "band_key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "line")
     )
-    return settled(small.unionByName(large))
+    groups = stored(small.unionByName(large))
+    discard(shared)
+    return groups
 
 
 def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:

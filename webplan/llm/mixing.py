@@ -129,10 +129,10 @@ def source_plan(
     )
 
 
-def mix_sources(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """Every document once per block that draws it: the columns of ``docs``, with ``block`` (0 and up) and ``place``
-    (its order inside a block: blocks are permutations of their own).  Columns of these names are replaced."""
-    rows = docs.drop("block", "place")
+def mix_sources(docs: DataFrame, plan: DataFrame, seed: int = 0, names: tuple[str, str] = ("block", "place")) -> DataFrame:
+    """Every document once per block that draws it: the columns of ``docs``, with its block (0 and up) and place (its order
+    inside a block: blocks are permutations of their own) under ``names``.  Columns of these names are replaced."""
+    rows = docs.drop(*names)
     per = settled(plan.select(F.col("source").alias("__source"), F.col("blocks").alias("__blocks"), F.col("upto").alias("__upto")))
     small = per.count() <= SMALL_SOURCES
     drawn = rows.withColumn("__place", place(seed, F.col("doc_id"))).join(
@@ -141,7 +141,7 @@ def mix_sources(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     times = F.col("__blocks") + F.when(F.col("__place") <= F.col("__upto"), 1).otherwise(0)
     return (
         drawn.withColumn("__times", times).filter("__times > 0")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
-        .withColumn("place", F.md5(F.concat(F.col("block").cast("string"), F.lit(":"), "__place")))
-        .select(*[F.col(f"`{c}`") for c in rows.columns], "block", "place")
+        .withColumn(names[0], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+        .withColumn(names[1], F.md5(F.concat(F.col(names[0]).cast("string"), F.lit(":"), "__place")))
+        .select(*[F.col(f"`{c}`") for c in rows.columns], *names)
     )
