@@ -4,8 +4,8 @@ Signatures of character shingles are cut into bands; lines that share a band are
 similarity, and those at or above the threshold are united.  One line of each component stays: its first occurrence.
 
 Only 16-byte keys travel while candidates are sought.  Lines that meet in a band form a group; equal groups of
-different bands are compared once, and a bucket of more than ``GROUP`` lines is compared block by block.  Texts are
-read again for the lines of groups alone."""
+different bands are compared once, and a bucket of more than ``GROUP`` lines is compared block by block.  Bitmaps of
+their shingles tell which lines of a group may be similar; texts follow for those alone."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 4, 10, 4, (4, 5)
 GROUP = 256
 #: Groups of more lines than this are sifted on bitmaps of so many bits; shingles held at once while comparing.
 FEW, BITS, HELD = 3, 2048, 2_000_000
+#: Bits of the bitmaps that go to the groups before any text.
+SIFT = 512
 #: Keys of candidate lines up to which they are sent to every task; beyond, texts are joined by shuffle.
 SMALL_KEYS = 500_000
 _RANDOM = np.random.default_rng(20)
@@ -185,6 +187,59 @@ def _verified(batches: Iterator[pa.RecordBatch], same_set) -> Iterator[pa.Record
         yield emit()
 
 
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (line, text) -> line, room (shingles, repeats included), map (SIFT bits of the shingles)."""
+    for batch in batches:
+        keys, at = batch.column(0), 0
+        for block in blocks(batch.column(1)):
+            h, begin = line_shingles(block)
+            room = np.diff(np.append(begin, len(h)))
+            bits = np.zeros((len(block), SIFT), bool)
+            bits[np.repeat(np.arange(len(block)), room), h & np.uint32(SIFT - 1)] = True
+            maps = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [keys.slice(at, len(block)), pa.array(room.astype(np.int64)), pa.array([m.tobytes() for m in maps], pa.binary())], names=["line", "room", "map"])
+            at += len(block)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, line, room, map) in the order of their group -> group, line of those that a bitmap of another line of
+    the group leaves possible; see ``_Lines``.  A row is compared with the next one, the one after, and so on, for all
+    groups of a batch at once; the last group waits for the next batch."""
+    num, den = SIMILARITY
+    held = None
+
+    def sift(rows: pa.RecordBatch) -> pa.RecordBatch:
+        group = np.unique(np.asarray(rows.column(0).to_pylist(), dtype=object), return_inverse=True)[1]
+        maps = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(group), -1)
+        room, keep, at = np.asarray(rows.column(2)).astype(np.int64), np.zeros(len(group), bool), np.arange(len(group))
+        for step in range(1, len(group)):
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            differ = np.bitwise_count(maps[at] ^ maps[at + step]).sum(axis=1, dtype=np.int64)
+            ok = at[differ * (num + den) <= (den - num) * (room[at] + room[at + step])]
+            keep[ok] = keep[ok + step] = True
+        return rows.select(["group", "line"]).filter(pa.array(keep))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        groups = batch.column(0)
+        last = groups[len(groups) - 1].as_py()
+        first = len(groups)
+        while first and groups[first - 1].as_py() == last:
+            first -= 1
+        held = batch.slice(first)
+        if first:
+            yield sift(batch.slice(0, first))
+    if held is not None:
+        yield sift(held)
+
+
 def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
     """(band_key, line) -> (group, line): lines to compare with each other, so that all pairs that share a band meet."""
     bucket = W.partitionBy("band_key")
@@ -213,9 +268,18 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     few = wanted.count() <= SMALL_KEYS
     texts = lines_of(docs).filter("line is not null").select("line", "text")
     texts = texts.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
-    dealt = groups.join(texts, "line").select("group", "line", utf8(F.col("text")).alias("text"))
+    texts = stored(texts.select("line", utf8(F.col("text")).alias("text")))
+    # bitmaps go to the groups first; texts follow for the lines that these leave
+    maps = texts.mapInArrow(_mapped, "line binary, room bigint, map binary")
+    sifted = groups.join(maps, "line").select("group", "line", "room", "map").repartition("group").sortWithinPartitions("group", "line")
+    left = stored(sifted.mapInArrow(_possible, "group string, line binary"))
+    discard(groups)
+    dealt = left.join(texts, "line").select("group", "line", "text")
     dealt = dealt.repartition("group").sortWithinPartitions("group", "line")
-    return dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct()
+    links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct())
+    discard(left)
+    discard(texts)
+    return links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
