@@ -203,8 +203,9 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, room, map) in the order of their group -> group, line of those that a bitmap of another line of
-    the group leaves possible; see ``_Lines``.  A row is compared with the next one, the one after, and so on, for all
+    """Rows (group, line, room, map) in the order of group and line -> group, line of those that a bitmap of another line of
+    the group leaves possible; see ``_Lines``.  Groups with the same first line are told as one, named by it: a line is in
+    ``BANDS`` buckets at most, so that one stays bounded; blocks of large buckets keep their names.  A row is compared with the next one, the one after, and so on, for all
     groups of a batch at once; the last group waits for the next batch."""
     num, den = SIMILARITY
     held = None
@@ -221,7 +222,11 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             differ = np.bitwise_count(maps[at] ^ maps[at + step]).sum(axis=1, dtype=np.int64)
             ok = at[differ * (num + den) <= (den - num) * (room[at] + room[at + step])]
             keep[ok] = keep[ok + step] = True
-        return rows.select(["group", "line"]).filter(pa.array(keep))
+        names, lines = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        told, heads = [], {}
+        for i in np.flatnonzero(keep).tolist():
+            told.append(names[i] if ":" in names[i] else heads.setdefault(group[i], lines[i]).hex())
+        return pa.RecordBatch.from_arrays([pa.array(told, pa.string()), rows.column(1).filter(pa.array(keep))], names=["group", "line"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -272,7 +277,7 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     # bitmaps go to the groups first; texts follow for the lines that these leave
     maps = texts.mapInArrow(_mapped, "line binary, room bigint, map binary")
     sifted = groups.join(maps, "line").select("group", "line", "room", "map").repartition("group").sortWithinPartitions("group", "line")
-    left = stored(sifted.mapInArrow(_possible, "group string, line binary"))
+    left = stored(sifted.mapInArrow(_possible, "group string, line binary").distinct())
     discard(groups)
     dealt = left.join(texts, "line").select("group", "line", "text")
     dealt = dealt.repartition("group").sortWithinPartitions("group", "line")
