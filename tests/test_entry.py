@@ -1,4 +1,5 @@
 import os
+import sys
 
 import duckdb
 import pytest
@@ -36,3 +37,11 @@ def test_query_equals_sql(spark, con, name):
     order = sorted(range(len(names)), key=lambda i: names[i])
     assert sorted(names) == cols
     assert got == sorted(str(tuple(r[i] for i in order)) for r in cur.fetchall())
+
+
+def test_other_queries_work_without_a_module_of_the_training_data_part(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("webplan.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    left = entry.queries()
+    assert len(left) > 200 and not any(n == "pipeline" or n.startswith("op") and "_" in n and n[2:].split("_")[0].isdigit() for n in left)

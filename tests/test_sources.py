@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -55,6 +56,24 @@ def test_gaps_of_jobs(spark):
     assert gaps == {("a", False), ("b", True), ("c", False)}
 
 
+def test_gaps_cross_slices_of_a_long_job(spark):
+    """A job with most rows is ordered slice by slice, and no gap is lost at an edge; a null job is a job."""
+    base, rng = dt.datetime(2024, 1, 1), random.Random(2)
+    rows, want = [], set()
+    for job, n in (("big", 3000), (None, 40), ("one", 1)):
+        times = sorted(rng.sample(range(400_000), n))
+        steps = [rng.choice(["view", "page_capture"]) for _ in times]
+        rows += [(job, s, base + dt.timedelta(seconds=t), k) for k, (t, s) in enumerate(zip(times, steps))]
+        for k in range(1, n):
+            limit = 180 if steps[k - 1] == "page_capture" else 90
+            want.add((job, k, times[k] - times[k - 1], limit, times[k] - times[k - 1] >= limit))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "job_id string, step string, updated_at timestamp, seq int")
+    got = Q.progress_gaps(df)
+    assert {(r["job_id"], r["seq"], r["idle_seconds"], r["limit_seconds"], r["stalled"]) for r in got.collect()} == want
+    assert got.count() == len(want)
+
+
 def test_large_sites_and_projects_stay_whole(spark):
     site = "https://a.com"
     body = lambda locs: "<sitemapindex>" + "".join(f"<loc>{site}/m{i}.xml</loc>" for i in locs) + "</sitemapindex>"

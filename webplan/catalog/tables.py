@@ -104,10 +104,10 @@ def _(spark, d):
     return rows.select("c_custkey", F.row_number().over(place).alias("rank"))
 
 
-@query("recent_projects", "SELECT o_orderkey AS project_id FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+@query("recent_projects", "SELECT o_orderkey AS project_id FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("project_id"), F.col("o_orderdate").alias("updated_at"))
-    return S.recent_projects(o, "7").limit(10).select("project_id")
+    return S.recent_projects(o, "7").select("project_id")
 
 
 @query("top_n", "SELECT l_suppkey, l_orderkey, l_linenumber::INT AS l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 8")

@@ -315,11 +315,24 @@ def stall_limit(step: Column) -> Column:
     return F.when(step.isin(CAPTURE_STEPS), F.lit(CAPTURE_STALL_SECONDS)).otherwise(F.lit(STALL_SECONDS))
 
 
+#: Seconds of a job that are ordered in one task.
+GAP_SLICE = 3600
+
+
 def progress_gaps(progress: DataFrame) -> DataFrame:
-    """Idle seconds before each update of a job against the limit of the step it was waiting in."""
-    w = W.partitionBy("job_id").orderBy("updated_at", "seq")
-    idle = (F.unix_micros("updated_at") - F.unix_micros(F.lag("updated_at").over(w))) / 1000000.0
-    rows = progress.withColumn("idle_seconds", F.floor(idle)).withColumn("waiting_in", F.lag("step").over(w))
+    """Idle seconds before each update of a job against the limit of the step it was waiting in.
+
+    A job is ordered in slices of time, each in a task of its own; the first update of a slice waits since the last one
+    of the slice before, which comes from a table of one row per job and slice.  Rows without updated_at have no gap."""
+    rows = progress.filter("updated_at is not null").withColumn("_part", F.floor(F.unix_seconds("updated_at") / GAP_SLICE))
+    w = W.partitionBy("job_id", "_part").orderBy("updated_at", "seq")
+    before = F.lag(F.struct("updated_at", "step")).over(w)
+    last = rows.groupBy("job_id", "_part").agg(F.max_by(F.struct("updated_at", "step"), F.struct("updated_at", "seq")).alias("_last"))
+    carried = last.select(F.col("job_id").alias("_job"), F.col("_part").alias("_slice"), F.lag("_last").over(W.partitionBy("job_id").orderBy("_part")).alias("_carried"))
+    joined = rows.withColumn("_before", before).join(carried, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_part") == F.col("_slice")))
+    held = F.coalesce("_before", "_carried")
+    idle = (F.unix_micros("updated_at") - F.unix_micros(held["updated_at"])) / 1000000.0
+    rows = joined.select(*[F.col(f"`{c}`") for c in progress.columns], F.floor(idle).alias("idle_seconds"), held["step"].alias("waiting_in"))
     return rows.filter("idle_seconds is not null").withColumn("limit_seconds", stall_limit(F.col("waiting_in"))).withColumn(
         "stalled", F.col("idle_seconds") >= F.col("limit_seconds")
     )
