@@ -151,11 +151,14 @@ def _(spark, d):
     return own_pages(spark, d).groupBy("page_key").agg(F.count(F.lit(1)).alias("total"), F.count_if("selected").alias("selected"), F.count_if(~F.col("selected")).alias("excluded"))
 
 
-@query("value_list", TAX + """ SELECT site, name, value, count(*) AS n FROM (SELECT site, unnest(['platform', 'label', 'action']) AS name, unnest([platform, trim(label), area]) AS value FROM mem) GROUP BY ALL""")
+@query("value_list", TAX + """, rec AS (SELECT mem.site, trim(mem.page_category) AS page, area, trim(mem.label) AS label, mem.platform, CASE WHEN dest LIKE 'local/%' THEN substr(dest, 6) END AS link,
+    """ + LOC + """ AS location, path || query || frag AS path, trim(h.title) AS title FROM mem JOIN hinted h ON h.page_id = mem.page_id),
+  v AS (SELECT site, unnest(['page_category', 'category', 'action', 'label', 'platform', 'link_url', 'page_location', 'page_path', 'page_title']) AS name,
+    unnest([page, page, area, label, platform, link, location, path, title]) AS value FROM rec)
+  SELECT site, name, value, count(*) AS n FROM v WHERE coalesce(value, '') <> '' GROUP BY ALL""")
 def _(spark, d):
     rows = own_pages(spark, d)
-    m = X.taxonomy_members(rows, X.label_rows(rows)).filter("tag_id > 0")
-    return X.value_list(m).filter(F.col("name").isin("platform", "label", "action"))
+    return X.value_list(X.taxonomy_members(rows, X.label_rows(rows)).filter("tag_id > 0"))
 
 
 @query("taxonomy_order", TAX + """ SELECT site, viewport, page_category, event_name, page_key, row_number() OVER (PARTITION BY site, viewport, page_category ORDER BY (event_name <> '페이지뷰')::INT, sort_y, sort_x, event_name, category, action, label, page_key)::INT AS rank FROM lr""")
