@@ -186,30 +186,33 @@ def position_report(issues: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def merge_hints(hints: DataFrame) -> DataFrame:
-    """One hint per element from several sources, folded in arrival order.
-
-    Higher confidence wins, then source rank, and the earlier one on a full tie; the winner keeps
-    its fields, gaps are filled from the loser, notes are joined winner first.
-    hints(page_id, tag_id, source, event_name, confidence, note, seq)."""
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in HINT_RANK.items() for x in kv]), F.col("source"))
-    item = F.struct("seq", "source", "event_name", F.coalesce("confidence", F.lit(0.0)).alias("c"), rank.alias("r"), "note", "confidence")
-    ordered = F.array_sort(F.collect_list(item))
-
-    def step(a, b):
-        keep = (a["c"] > b["c"]) | ((a["c"] == b["c"]) & (a["r"] >= b["r"]))
-        win = lambda k: F.when(keep, a[k]).otherwise(b[k])
-        lose = lambda k: F.when(keep, b[k]).otherwise(a[k])
-        blank = lambda c: F.when(c != "", c)
-        note = F.concat_ws(" | ", blank(win("note")), blank(lose("note")))
-        return F.struct(
-            win("seq").alias("seq"), win("source").alias("source"), F.coalesce(win("event_name"), lose("event_name")).alias("event_name"),
-            win("c").alias("c"), win("r").alias("r"), blank(note).alias("note"), win("confidence").alias("confidence"),
-        )
-
-    # hints per element come from at most a few sources
-    rows = hints.groupBy("page_id", "tag_id").agg(ordered.alias("h")).withColumn(
-        "m", F.aggregate(F.slice("h", F.lit(2), F.size("h")), F.col("h")[0], step))
-    return rows.select("page_id", "tag_id", "m.source", "m.event_name", "m.confidence", "m.note")
+    """One hint per element from several sources, as if folded in arrival order.
+
+    Higher confidence wins, then source rank (unknown sources rank last), and the earlier one on a full tie; the winner
+    keeps its fields, gaps are filled from the loser, notes are joined winner first.
+    hints(page_id, tag_id, source, event_name, confidence, note, seq), and parameters (an array) where these are at hand.
+
+    In closed form: a hint leads when it beats all before it.  The last leader is the winner; a field is that of the last
+    leader that has it, else of the first hint that has it; notes are those of leaders, newest first, then of the others
+    as they came.  Only the notes of an element, which are its result, are ever held together."""
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HINT_RANK.items() for x in kv]), F.col("source")), F.lit(0))
+    worth = F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), rank.alias("r"))
+    before = W.partitionBy("page_id", "tag_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = hints.withColumn("_w", worth).withColumn("_best", F.max("_w").over(before))
+    rows = rows.withColumn("_leads", F.col("_best").isNull() | (F.col("_w") > F.col("_best")))
+
+    def filled(name: str, blank: Column) -> Column:
+        last = F.max_by(name, F.when(F.col("_leads") & ~blank, F.col("seq")))
+        return F.coalesce(last, F.min_by(name, F.when(~blank, F.col("seq")))).alias(name)
+
+    order = F.when(F.col("_leads"), -F.col("seq").cast("long")).otherwise(F.col("seq").cast("long"))
+    note = F.struct((~F.col("_leads")).alias("late"), order.alias("at"), "note")
+    notes = F.array_sort(F.collect_list(F.when(F.coalesce("note", F.lit("")) != "", note)))
+    lead = lambda c: F.max_by(c, F.when(F.col("_leads"), F.col("seq"))).alias(c)
+    more = [filled("parameters", F.coalesce(F.size("parameters"), F.lit(0)) <= 0)] if "parameters" in hints.columns else []
+    out = rows.groupBy("page_id", "tag_id").agg(lead("source"), filled("event_name", F.col("event_name").isNull()), lead("confidence"), notes.alias("_notes"), *more)
+    joined = F.array_join("_notes.note", " | ")
+    return out.select("page_id", "tag_id", "source", "event_name", "confidence", F.when(joined != "", joined).alias("note"), *(["parameters"] if more else []))
 
 
 def merge_snapshots(entries: DataFrame, keys: list[str]) -> DataFrame:
