@@ -164,9 +164,9 @@ def test_training_beats_word_frequencies(docs, odd, none):
     assert lm_scoring.score(none, empty).collect() == [] and lm_scoring.score(odd, empty).count() == len(ODD)
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_rare_words_are_scored_as_themselves(spark, odd, small, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SMALL_WORDS", small)
+@pytest.mark.parametrize("table", [1 << 21, 80, 1])
+def test_rare_words_are_scored_as_themselves(spark, odd, table, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TABLE", table)
     text = " ".join(f"the of w{i % 300 if i % 3 else i % 30}" for i in range(1500))
     corpus = spark.createDataFrame([(1, text), (2, "the of"), (3, None)], "doc_id long, text string")
     counts = lm_scoring.word_counts(corpus)

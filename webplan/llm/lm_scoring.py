@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from webplan.llm.common import blocks, row_key, settled, utf8
+from webplan.llm.common import blocks, row_key, stored, utf8
 
 #: A-Z in lower case; every other ASCII character that is no letter or digit separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 CLASSES, RARE = 32, 64
 #: Words on either side that predict a word.
 SIDE = 2
-#: Rare words up to which their counts are sent to every task; beyond, they are joined by shuffle.
-SMALL_WORDS = 500_000
+#: Counts of rare words with at least one in so many of the corpus's words are sent to every task: at most so many words
+#: whatever the corpus, 16 bytes each.  All others are joined by shuffle.
+TABLE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -44,8 +45,6 @@ class Shape:
     rounds: int = 4
     batch: int = 4096
     rate: float = 1.0
-    #: Of this many successive words one is a training target; which, differs by document.  All of them are context.
-    stride: int = 1
     seed: int = 7
 
 
@@ -161,9 +160,9 @@ class Network:
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         w = self.weights
-        total = w["embed"][near[0]] * w["place"][0]
+        total = np.take(w["embed"], near[0], axis=0) * w["place"][0]
         for k in range(1, len(near)):
-            total += w["embed"][near[k]] * w["place"][k]
+            total += np.take(w["embed"], near[k], axis=0) * w["place"][k]
         return np.tanh(total + w["bias"])
 
     @staticmethod
@@ -172,6 +171,20 @@ class Network:
         x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
         return x
 
+    @staticmethod
+    def _softmax(x: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        return x
+
+    @staticmethod
+    def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the order of their word's class, and where each class begins in it."""
+        group = ids % CLASSES
+        order = np.argsort(group, kind="stable")
+        return order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+
     def log_probability(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         """log P(word | words around it) of every position."""
         out, size = np.empty(len(ids), np.float64), self.shape.batch
@@ -180,41 +193,46 @@ class Network:
         return out
 
     def _batch(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-        w, h = self.weights, self.hidden(near)
+        order, edge = self._by_class(ids)
+        ids = ids[order]
+        w, h, at = self.weights, self.hidden(near[:, order]), np.arange(len(ids))
         group, member = ids % CLASSES, ids // CLASSES
-        found = self._log_softmax(h @ w["class_out"].T + w["class_bias"])[np.arange(len(ids)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        found = self._log_softmax(h @ w["class_out"].T + w["class_bias"])[at, group].astype(np.float64)
         for g in range(CLASSES):
-            rows = order[edge[g] : edge[g + 1]]
-            if len(rows):
+            rows = slice(edge[g], edge[g + 1])
+            if edge[g] < edge[g + 1]:
                 inner = self._log_softmax(h[rows] @ w["word_out"][g].T + w["word_bias"][g])
-                found[rows] += inner[np.arange(len(rows)), member[rows]]
-        return found
+                found[rows] += inner[at[: len(inner)], member[rows]]
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def descend(self, ids: np.ndarray, near: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One step of descent on the mean of a batch, with per-weight rates from past gradients."""
-        w, h, n = self.weights, self.hidden(near), len(ids)
+        order, edge = self._by_class(ids)
+        ids, near = ids[order], near[:, order]
+        w, h, n, at = self.weights, self.hidden(near), len(ids), np.arange(len(ids))
         group, member = ids % CLASSES, ids // CLASSES
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        p = np.exp(self._log_softmax(h @ w["class_out"].T + w["class_bias"]))
-        p[np.arange(n), group] -= 1
+        p = self._softmax(h @ w["class_out"].T + w["class_bias"])
+        p[at, group] -= 1
         grad["class_out"], grad["class_bias"] = p.T @ h, p.sum(axis=0)
         dh = p @ w["class_out"]
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for g in range(CLASSES):
-            rows = order[edge[g] : edge[g + 1]]
-            if len(rows):
-                q = np.exp(self._log_softmax(h[rows] @ w["word_out"][g].T + w["word_bias"][g]))
-                q[np.arange(len(rows)), member[rows]] -= 1
+            rows = slice(edge[g], edge[g + 1])
+            if edge[g] < edge[g + 1]:
+                q = self._softmax(h[rows] @ w["word_out"][g].T + w["word_bias"][g])
+                q[at[: len(q)], member[rows]] -= 1
                 grad["word_out"][g], grad["word_bias"][g] = q.T @ h[rows], q.sum(axis=0)
                 dh[rows] += q @ w["word_out"][g]
         dh *= 1 - h * h
         grad["bias"] = dh.sum(axis=0)
+        dims = np.arange(dh.shape[1])
         for k in range(len(near)):
-            grad["place"][k] = (dh * w["embed"][near[k]]).sum(axis=0)
-            np.add.at(grad["embed"], near[k], dh * w["place"][k])
+            grad["place"][k] = (dh * np.take(w["embed"], near[k], axis=0)).sum(axis=0)
+            # sums by word: one count per (word, dimension) cell
+            cell = (near[k][:, None] * len(dims) + dims).ravel()
+            grad["embed"] += np.bincount(cell, (dh * w["place"][k]).ravel(), grad["embed"].size).reshape(grad["embed"].shape)
         for k, g in grad.items():
             g /= n
             memory[k] += g * g
@@ -243,9 +261,7 @@ def _train(model: Network):
         for batch in batches:
             for block in blocks(batch.column(0)):
                 ids, near, n = model.windows(block)
-                offset = np.repeat(rng.integers(shape.stride, size=len(n)) - np.cumsum(n) + n, n)
-                aim = np.flatnonzero((np.arange(len(ids)) + offset) % shape.stride == 0)
-                aim = rng.permutation(aim)
+                aim = rng.permutation(len(ids))
                 held.append((ids[aim], near[:, aim]))
                 trained += step(shape.batch)
         trained += step(1)
@@ -275,9 +291,9 @@ def train(docs: DataFrame, shape: Shape | None = None, counts: DataFrame | None
     return model
 
 
-def _rare(hashes: np.ndarray, ids: np.ndarray, n: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different rare words of every text: how many, the words, and how often each occurs."""
-    text, at = np.repeat(np.arange(len(n)), n), np.flatnonzero(ids >= first)
+def _told_apart(hashes: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different wanted words of every text: how many, the words, and how often each occurs."""
+    text, at = np.repeat(np.arange(len(n)), n), np.flatnonzero(wanted)
     text, word = text[at], hashes[at].view(np.int64)
     order = np.lexsort((word, text))
     text, word = text[order], word[order]
@@ -288,20 +304,21 @@ def _rare(hashes: np.ndarray, ids: np.ndarray, n: np.ndarray, first: int) -> tup
 def score_words(docs: DataFrame, model: Network, counts: DataFrame) -> DataFrame:
     """As ``score``, with every rare word scored as itself by ``counts`` (word, n) of a corpus.
 
-    Tasks subtract log(N + 1) of its class for every rare word; what is left is log n, joined from the counts, and 0 for
-    words that are unseen or were seen once."""
+    Tasks subtract log(N + 1) of its class for every rare word; what is left is log n: of the commoner ones from a table
+    of bounded size, of the others joined from the counts, and 0 for words that are unseen or were seen once."""
     common = model.vocabulary.view(np.int64).tolist()
-    rare = settled(counts.filter(~F.col("word").isin(common)) if common else counts)
+    rare = stored(counts.filter(~F.col("word").isin(common)) if common else counts)
     room = np.zeros(RARE)
     for r in rare.groupBy(F.col("word").bitwiseAND(F.lit(RARE - 1).cast("long")).alias("c")).agg(F.sum("n").alias("n")).collect():
         room[r["c"]] = r["n"]
-    known = rare.filter("n > 1").select("word", F.log("n").alias("more"))
-    known = F.broadcast(known) if known.count() <= SMALL_WORDS else known
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.log(room + 1)))
+    least = max(2, int(room.sum()) // TABLE + 1)
+    table = rare.filter(F.col("n") >= least).orderBy("word").toArrow()
+    words, logs = np.asarray(table.column(0)).astype(np.int64), np.log(np.asarray(table.column(1)).astype(np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.log(room + 1), words, logs))
 
-    @arrow_udf("struct<n:bigint,total:double,rare:array<struct<word:bigint,times:bigint>>>")
+    @arrow_udf("struct<n:bigint,total:double,rare:array<struct<word:bigint,times:int>>>")
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, shares = shared.value
+        own, shares, listed, more = shared.value
         for column in batches:
             none = np.zeros(0, np.int64)
             counts, sums, sizes, words, times = [none], [np.zeros(0)], [none], [none], [none]
@@ -309,20 +326,31 @@ def score_words(docs: DataFrame, model: Network, counts: DataFrame) -> DataFrame
                 hashes, n = word_hashes(block)
                 ids, near, n = own.around(hashes, n)
                 single = own.log_probability(ids, near)
-                single -= np.where(ids >= own.shape.words, shares[(hashes % np.uint64(RARE)).astype(np.int64)], 0.0)
+                at = np.flatnonzero(ids >= own.shape.words)
+                single[at] -= shares[(hashes[at] % np.uint64(RARE)).astype(np.int64)]
+                left = np.zeros(len(ids), bool)
+                left[at] = True
+                if len(listed):
+                    key = hashes[at].view(np.int64)
+                    spot = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
+                    met = listed[spot] == key
+                    single[at[met]] += more[spot[met]]
+                    left[at[met]] = False
                 total, end = np.concatenate([[0.0], np.cumsum(single)]), np.cumsum(n)
                 counts.append(n)
                 sums.append(total[end] - total[end - n])
-                for held, found in zip((sizes, words, times), _rare(hashes, ids, n, own.shape.words)):
+                for held, found in zip((sizes, words, times), _told_apart(hashes, n, left)):
                     held.append(found)
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(words)), pa.array(np.concatenate(times), pa.int64())], names=["word", "times"])
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(words)), pa.array(np.concatenate(times).astype(np.int32))], names=["word", "times"])
             yield pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums)), pa.ListArray.from_arrays(pa.array(at), pairs)],
                 names=["n", "total", "rare"])
 
     rows = docs.select("doc_id", told(utf8(F.col("text"))).alias("s"))
-    rows = settled(rows.select("doc_id", "s.n", "s.total", "s.rare", F.monotonically_increasing_id().alias("row")))
+    rows = stored(rows.select("doc_id", "s.n", "s.total", "s.rare", F.monotonically_increasing_id().alias("row")))
+    known = rare.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", F.log("n").alias("more"))
     more = rows.select("row", F.inline("rare")).join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("more")).alias("more"))
     whole = rows.select("doc_id", "n", "total", "row").join(more, "row", "left")
     return _report(whole, F.col("n"), F.col("total") + F.coalesce("more", F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webplan.llm import collocations, conversation_trie, decontaminate, jaccard_join, langid, line_dedup, lm_scoring, mixing, sharding, simhash, tokens, topk, url_filter
-from webplan.llm.common import settled
+from webplan.llm.common import stored
 from webplan.session import ship_package
 
 PIECES = "piece_bpe_32k.model"
@@ -25,7 +25,7 @@ def token_counts(spark, sf_dir):
 
 def lm_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    counts = settled(lm_scoring.word_counts(docs))
+    counts = stored(lm_scoring.word_counts(docs))
     return lm_scoring.score_words(docs, lm_scoring.train(docs, counts=counts), counts)
 
 
