@@ -17,6 +17,7 @@ from webplan.operators import candidates as C
 from webplan.operators import dom as D
 from webplan.operators import naming as N
 from webplan.operators import quality as Q
+from webplan.sources import hints as H
 from webplan.sources.pages import with_site
 
 FULL = LM + SECTION.replace(CHAIN, "")
@@ -309,6 +310,36 @@ def _(spark, d):
     return every.groupBy("page_id").agg(F.count(F.lit(1)).alias("hints")).join(merged, "page_id")
 
 
+def gathered(spark, d):
+    """Three sources of hints, of which skyvern fails on an event of type error, one without its table, and one switched off."""
+    h = hints(spark, d)
+    own = lambda k: h.filter(F.col("source") == SOURCES[k])
+    strict = F.when(F.col("event_name").isNull(), F.raise_error(F.lit("hint without a name"))).otherwise(F.col("event_name"))
+    return H.gather_hints(spark, {
+        "stagehand": lambda: own(0), "scrapegraph": lambda: own(2), "skyvern": lambda: own(1).withColumn("event_name", strict),
+        "absent": lambda: table(spark, d, "absent_hints"), "off": None})
+
+
+@query("hint_source_report", """WITH h AS (SELECT CASE event_id % 3 WHEN 0 THEN 'stagehand' WHEN 1 THEN 'skyvern' ELSE 'scrapegraph' END AS source, event_type,
+    json_extract_string(props, '$.k') IS NULL AS lost FROM events),
+  g AS (SELECT source, source = 'skyvern' AND bool_or(event_type = 'error') AS bad, count(*) AS n, count_if(lost) AS lost FROM h GROUP BY 1)
+  SELECT source, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN bad THEN 0 ELSE n END AS hints, CASE WHEN bad THEN 0 ELSE lost END AS unplaced, bad AS has_error FROM g
+  UNION ALL SELECT 'absent', 'failed', 0, 0, true UNION ALL SELECT 'off', 'off', 0, 0, false""")
+def _(spark, d):
+    return gathered(spark, d).report.select("source", "status", "hints", "unplaced", F.col("error").isNotNull().alias("has_error"))
+
+
+@query("surviving_hints", """WITH h AS (SELECT user_id % 50 AS page_id, json_extract_string(props, '$.k')::BIGINT AS tag_id, event_id, (user_id % 4 / 4.0)::DOUBLE AS confidence, event_type,
+    CASE event_id % 3 WHEN 0 THEN 'stagehand' WHEN 1 THEN 'skyvern' ELSE 'scrapegraph' END AS source, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS prio FROM events),
+  left_over AS (SELECT * FROM h WHERE source <> 'skyvern' OR NOT EXISTS (SELECT 1 FROM h x WHERE x.source = 'skyvern' AND x.event_type = 'error')),
+  r AS (SELECT *, count_if(event_id % 2 = 0) OVER (PARTITION BY page_id, tag_id) AS notes,
+    row_number() OVER (PARTITION BY page_id, tag_id ORDER BY confidence DESC, prio DESC, event_id) AS i FROM left_over)
+  SELECT page_id, tag_id, source, confidence, notes FROM r WHERE i = 1""")
+def _(spark, d):
+    notes = F.when(F.col("note").isNull(), F.lit(0)).otherwise(F.size(F.split("note", r" \| "))).cast("long")
+    return Q.merge_hints(gathered(spark, d).hints).select("page_id", "tag_id", "source", "confidence", notes.alias("notes"))
+
+
 @query("merge_snapshots", """WITH e AS (SELECT user_id, json_extract_string(props, '$.k')::INT AS tag_id, event_id, event_type = 'view' AS vis, CASE WHEN event_type <> 'error' THEN (user_id % 7) * (event_id % 5) ELSE 0 END AS area FROM events),
   r AS (SELECT *, row_number() OVER (PARTITION BY user_id, tag_id ORDER BY vis DESC, area DESC, event_id) AS n FROM e) SELECT user_id, tag_id, event_id AS seq, vis AS is_visible FROM r WHERE n = 1""")
 def _(spark, d):
