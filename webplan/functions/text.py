@@ -107,8 +107,12 @@ def _referred(piece: Column) -> Column:
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*([0-9A-Fa-f]{1,8});?$", 1)
     decimal = F.regexp_extract(piece, r"^&#0*([0-9]{1,10});?$", 1)
     number = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(decimal).try_cast("bigint")
-    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
-    named = F.try_element_at(names, F.substring(piece, 2, 64))
+    # a map is searched entry by entry, so the names are kept by their first letter
+    names: dict[str, dict[str, str]] = {}
+    for name, meaning in html.entities.html5.items():
+        names.setdefault(name[0], {})[name] = meaning
+    listed = F.from_json(F.lit(json.dumps(names)), "map<string,map<string,string>>")
+    named = F.try_element_at(F.try_element_at(listed, F.substring(piece, 2, 1)), F.substring(piece, 2, 64))
     return F.when(piece.rlike("^&#"), _character(number)).when(piece.rlike("^&[A-Za-z]"), F.coalesce(named, piece)).otherwise(piece)
 
 

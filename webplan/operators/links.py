@@ -107,7 +107,9 @@ def discover_union(seeds: DataFrame, sitemap: DataFrame, mapped: DataFrame, limi
     enough = F.count(F.lit(1)) >= (F.lit(1) if sitemap_only else F.lit(limit))
     filled = sitemap.groupBy("site").agg(enough.alias("ok")).filter("ok").select("site")
     start = seeds.select("site", F.col("seed_url").alias("url"), F.lit("seed").alias("source"), F.lit(0).alias("seq"))
-    rest = mapped.join(filled, "site", "left_anti")
+    # one row per full site and salt, so that the links of a hot site spread over tasks
+    filled = filled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = mapped.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(filled, ["site", "_salt"], "left_anti")
     cols = ["site", "url", "source", "seq"]
     every = start.select(*cols).unionByName(sitemap.select(*cols)).unionByName(rest.select(*cols))
     return rank_links(dedupe_links(every), seeds, limit)
