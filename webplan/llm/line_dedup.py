@@ -3,9 +3,10 @@
 Signatures of character shingles are cut into bands; lines that share a band are compared by their exact Jaccard
 similarity, and those at or above the threshold are united.  One line of each component stays: its first occurrence.
 
-Only 16-byte keys travel while candidates are sought.  Lines that meet in a band form a group; equal groups of
-different bands are compared once, and a bucket of more than ``GROUP`` lines is compared block by block.  Bitmaps of
-their shingles tell which lines of a group may be similar; texts follow for those alone."""
+Only 8-byte hashes travel while candidates are sought; lines that share a hash are told apart as soon as their texts
+are there.  Lines that meet in a band form a group; equal groups of different bands are compared once, and a bucket of
+more than ``GROUP`` lines is compared block by block.  Sketches of their shingles tell which lines of a group may be
+similar; texts follow for those alone, picked by a bitmap of fixed size, which prunes less as the corpus grows."""
 
 from __future__ import annotations
 
@@ -15,11 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from webplan.llm.common import blocks, discard, settled, stored, utf8
+from webplan.llm.common import blocks, combined, discard, stored, table_rows, utf8
 from webplan.llm.components import components
 
 #: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.995, one at 0.9 with 1 - 3e-8.
@@ -27,9 +29,11 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 4, 10, 4, (4, 5)
 GROUP = 256
 #: Groups of more lines than this are sifted on bitmaps of so many bits; shingles held at once while comparing.
 FEW, BITS, HELD = 3, 2048, 2_000_000
-#: Bits of the bitmaps that go to the groups before any text.
-SIFT = 512
-#: Keys of candidate lines up to which they are sent to every task; beyond, texts are joined by shuffle.
+#: Bits of the sketches that go to the groups before any text, and of the bitmap that picks the texts to follow.
+SIFT, PICK = 256, 1 << 25
+#: Lines whose bitmaps are made at once.
+MAPPED = 2048
+#: Keys of candidate rows up to which ``near_copies`` sends them to every task.
 SMALL_KEYS = 500_000
 _RANDOM = np.random.default_rng(20)
 _MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -78,19 +82,25 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (band_key, line) of every different line of a block that is not blank."""
+def line_hash(line: bytes) -> int:
+    """As ``xxhash64`` of Spark has it."""
+    return xxhash.xxh64_intdigest(line, 42)
+
+
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Texts -> the different lines of a block that are not blank, and their hashes."""
     for batch in batches:
         for block in blocks(batch.column(0)):
             lines = list({x for text in block for x in text.split(b"\n") if x.strip()})
-            if not lines:
-                continue
-            own = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in lines), "S16")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band_keys(lines).T.reshape(-1)),
-                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lines) * BANDS, [None, pa.py_buffer(np.tile(own, BANDS).tobytes())]).cast(pa.binary())],
-                names=["band_key", "line"],
-            )
+            if lines:
+                yield lines, np.fromiter(map(line_hash, lines), np.uint64, len(lines))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (band_key, line) of every different line of a block that is not blank."""
+    for lines, own in _distinct_lines(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(band_keys(lines).T.reshape(-1)), pa.array(np.tile(own.view(np.int64), BANDS))], names=["band_key", "line"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -188,30 +198,33 @@ def _verified(batches: Iterator[pa.RecordBatch], same_set) -> Iterator[pa.Record
 
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (line, text) -> line, room (shingles, repeats included), map (SIFT bits of the shingles)."""
-    for batch in batches:
-        keys, at = batch.column(0), 0
-        for block in blocks(batch.column(1)):
-            h, begin = line_shingles(block)
+    """Texts -> line, room (shingles, repeats included), map (sketch) of every different line of a block that is not blank.
+
+    A sketch is the bitmap of ``_Lines`` folded by exclusive or: every shingle that only one of two lines has changes one
+    of its bits at most, so that sketches rule out what bitmaps do, and long lines do not fill them."""
+    for lines, own in _distinct_lines(batches):
+        for at in range(0, len(lines), MAPPED):
+            some = lines[at : at + MAPPED]
+            h, begin = line_shingles(some)
             room = np.diff(np.append(begin, len(h)))
-            bits = np.zeros((len(block), SIFT), bool)
-            bits[np.repeat(np.arange(len(block)), room), h & np.uint32(SIFT - 1)] = True
-            maps = np.packbits(bits, axis=1)
+            bits = np.zeros((len(some), BITS), bool)
+            bits[np.repeat(np.arange(len(some)), room), h & np.uint32(BITS - 1)] = True
+            maps = np.bitwise_xor.reduce(np.packbits(bits, axis=1).reshape(len(some), -1, SIFT >> 3), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [keys.slice(at, len(block)), pa.array(room.astype(np.int64)), pa.array([m.tobytes() for m in maps], pa.binary())], names=["line", "room", "map"])
-            at += len(block)
+                [pa.array(own[at : at + MAPPED].view(np.int64)), pa.array(room.astype(np.int32)), pa.array([m.tobytes() for m in maps], pa.binary())],
+                names=["line", "room", "map"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, room, map) in the order of group and line -> group, line of those that a bitmap of another line of
-    the group leaves possible; see ``_Lines``.  Groups with the same first line are told as one, named by it: a line is in
-    ``BANDS`` buckets at most, so that one stays bounded; blocks of large buckets keep their names.  A row is compared with the next one, the one after, and so on, for all
-    groups of a batch at once; the last group waits for the next batch."""
+    """Rows (group, line, room, map) in the order of group and line -> group, line of those that a sketch of another line of
+    the group leaves possible.  Groups (odd numbers) with the same first line left are told as one, numbered by it: a line is in
+    ``BANDS`` buckets at most, so that one stays bounded; blocks of large buckets (even numbers) keep theirs.  A row is compared
+    with the next one, the one after, and so on, for all groups of a batch at once; the last group waits for the next batch."""
     num, den = SIMILARITY
     held = None
 
     def sift(rows: pa.RecordBatch) -> pa.RecordBatch:
-        group = np.unique(np.asarray(rows.column(0).to_pylist(), dtype=object), return_inverse=True)[1]
+        group, line = (np.asarray(rows.column(i)) for i in (0, 1))
         maps = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(group), -1)
         room, keep, at = np.asarray(rows.column(2)).astype(np.int64), np.zeros(len(group), bool), np.arange(len(group))
         for step in range(1, len(group)):
@@ -222,22 +235,17 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             differ = np.bitwise_count(maps[at] ^ maps[at + step]).sum(axis=1, dtype=np.int64)
             ok = at[differ * (num + den) <= (den - num) * (room[at] + room[at + step])]
             keep[ok] = keep[ok + step] = True
-        names, lines = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        told, heads = [], {}
-        for i in np.flatnonzero(keep).tolist():
-            told.append(names[i] if ":" in names[i] else heads.setdefault(group[i], lines[i]).hex())
-        return pa.RecordBatch.from_arrays([pa.array(told, pa.string()), rows.column(1).filter(pa.array(keep))], names=["group", "line"])
+        group, line = group[keep], line[keep]
+        head = line[np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[: len(group)], np.arange(len(group)), 0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.where(group & 1, head | 1, group)), pa.array(line)], names=["group", "line"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        groups = batch.column(0)
-        last = groups[len(groups) - 1].as_py()
-        first = len(groups)
-        while first and groups[first - 1].as_py() == last:
-            first -= 1
+        group = np.asarray(batch.column(0))
+        first = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
         held = batch.slice(first)
         if first:
             yield sift(batch.slice(0, first))
@@ -264,26 +272,52 @@ def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
     return groups
 
 
+def _picked(lines: DataFrame) -> np.ndarray:
+    """A bitmap in which the hashes of ``lines`` (line) are marked: of a fixed size, whatever the corpus."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(PICK >> 3, np.uint8)
+        for batch in batches:
+            own = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(PICK)
+            np.bitwise_or.at(marks, own >> np.uint64(3), np.left_shift(1, own & np.uint64(7), dtype=np.uint8, casting="unsafe"))
+        yield from table_rows(marks)
+
+    return combined(lines.mapInArrow(mark, "part int, cells binary"), PICK >> 3, np.uint8, np.bitwise_or)
+
+
+def _texts_of(shared):
+    """Texts -> (line, text) of every different line of a block that is marked in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for lines, own in _distinct_lines(batches):
+            at = own % np.uint64(PICK)
+            keep = np.flatnonzero(marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[keep].view(np.int64)), pa.array([lines[i] for i in keep.tolist()], pa.binary())], names=["line", "text"])
+
+    return run
+
+
 def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
     similarity reaches the threshold."""
-    banded = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(_banded, "band_key bigint, line binary")
-    groups = bucket_groups(banded, group)
-    wanted = groups.select("line").distinct()
-    few = wanted.count() <= SMALL_KEYS
-    texts = lines_of(docs).filter("line is not null").select("line", "text")
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
-    texts = stored(texts.select("line", utf8(F.col("text")).alias("text")))
-    # bitmaps go to the groups first; texts follow for the lines that these leave
-    maps = texts.mapInArrow(_mapped, "line binary, room bigint, map binary")
-    sifted = groups.join(maps, "line").select("group", "line", "room", "map").repartition("group").sortWithinPartitions("group", "line")
-    left = stored(sifted.mapInArrow(_possible, "group string, line binary").distinct())
+    texts = docs.select(utf8(F.col("text")).alias("text"))
+    groups = bucket_groups(texts.mapInArrow(_banded, "band_key bigint, line bigint"), group)
+    number = F.xxhash64("group")
+    named = groups.select(F.when(F.contains("group", F.lit(":")), number.bitwiseAND(F.lit(-2))).otherwise(number.bitwiseOR(F.lit(1))).alias("group"), "line")
+    # sketches go to the groups first; texts follow for the lines that these leave. A set per hash: different lines may share one
+    maps = texts.mapInArrow(_mapped, "line bigint, room int, map binary").groupBy("line").agg(F.collect_set(F.struct("room", "map")).alias("own"))
+    sifted = named.join(maps.select("line", F.inline("own")), "line").select("group", "line", "room", "map")
+    sifted = sifted.repartition("group").sortWithinPartitions("group", "line")
+    left = stored(sifted.mapInArrow(_possible, "group bigint, line bigint").distinct())
     discard(groups)
-    dealt = left.join(texts, "line").select("group", "line", "text")
-    dealt = dealt.repartition("group").sortWithinPartitions("group", "line")
+    shared = docs.sparkSession.sparkContext.broadcast(_picked(left.select("line")))
+    said = texts.mapInArrow(_texts_of(shared), "line bigint, text binary").groupBy("line").agg(F.collect_set("text").alias("own"))
+    dealt = left.join(said.select("line", F.explode("own").alias("text")), "line").select("group", "line", "text")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "line").select("group", F.unhex(F.md5("text")).alias("line"), "text")
     links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct())
     discard(left)
-    discard(texts)
     return links
 
 
@@ -295,7 +329,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     doc_id repeat their lines, which are kept or dropped together.  Other columns are left out."""
     rows = lines_of(docs).select("doc_id", "line_no", "line")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    firsts = settled(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")))
+    firsts = stored(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")))
     found = components(similar_lines(docs)).withColumnRenamed("node", "line")
     linked = found.unionByName(found.select(F.col("root").alias("line"), "root").distinct())
     rooted = firsts.join(linked, "line").select("line", "root", "first")
