@@ -48,11 +48,23 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once as Parquet to the shared folder, and read from there; see ``discard``."""
-    path = f"{shared_folder(df.sparkSession)}/webplan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Setting of Spark by which the shuffle files of a finished execution go at once, not only when their plan is collected.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """The rows of ``df``, written once as Parquet to the shared folder, and read from there; see ``discard``.  With ``tidy``
+    the shuffle files of the write are removed when it is done: nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/webplan-{uuid.uuid4().hex}"
+    before = spark.conf.get(TIDY, "false")
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 

@@ -253,11 +253,11 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sift(held)
 
 
-def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
+def bucket_groups(banded: DataFrame, group: int, tidy: bool = False) -> DataFrame:
     """(band_key, line) -> (group, line): lines to compare with each other, so that all pairs that share a band meet."""
     bucket = W.partitionBy("band_key")
     ranked = banded.withColumn("at", F.dense_rank().over(bucket.orderBy("line"))).withColumn("n", F.max("at").over(bucket))
-    shared = stored(ranked.filter("n > 1").select("band_key", "line", "at", "n").distinct())
+    shared = stored(ranked.filter("n > 1").select("band_key", "line", "at", "n").distinct(), tidy)
     small = shared.filter(F.col("n") <= group).groupBy("band_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     small = small.groupBy(F.md5(F.array_join(F.transform("lines", F.hex), "").cast("binary")).alias("group")).agg(
         F.first("lines").alias("lines")).select("group", F.explode("lines").alias("line"))
@@ -267,7 +267,7 @@ def bucket_groups(banded: DataFrame, group: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select(F.concat_ws(":", "band_key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "line")
     )
-    groups = stored(small.unionByName(large))
+    groups = stored(small.unionByName(large), tidy)
     discard(shared)
     return groups
 
@@ -303,20 +303,20 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
     similarity reaches the threshold."""
     texts = docs.select(utf8(F.col("text")).alias("text"))
-    groups = bucket_groups(texts.mapInArrow(_banded, "band_key bigint, line bigint"), group)
+    groups = bucket_groups(texts.mapInArrow(_banded, "band_key bigint, line bigint"), group, tidy=True)
     number = F.xxhash64("group")
     named = groups.select(F.when(F.contains("group", F.lit(":")), number.bitwiseAND(F.lit(-2))).otherwise(number.bitwiseOR(F.lit(1))).alias("group"), "line")
     # sketches go to the groups first; texts follow for the lines that these leave. A set per hash: different lines may share one
     maps = texts.mapInArrow(_mapped, "line bigint, room int, map binary").groupBy("line").agg(F.collect_set(F.struct("room", "map")).alias("own"))
     sifted = named.join(maps.select("line", F.inline("own")), "line").select("group", "line", "room", "map")
     sifted = sifted.repartition("group").sortWithinPartitions("group", "line")
-    left = stored(sifted.mapInArrow(_possible, "group bigint, line bigint").distinct())
+    left = stored(sifted.mapInArrow(_possible, "group bigint, line bigint").distinct(), tidy=True)
     discard(groups)
     shared = docs.sparkSession.sparkContext.broadcast(_picked(left.select("line")))
     said = texts.mapInArrow(_texts_of(shared), "line bigint, text binary").groupBy("line").agg(F.collect_set("text").alias("own"))
     dealt = left.join(said.select("line", F.explode("own").alias("text")), "line").select("group", "line", "text")
     dealt = dealt.repartition("group").sortWithinPartitions("group", "line").select("group", F.unhex(F.md5("text")).alias("line"), "text")
-    links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct())
+    links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct(), tidy=True)
     discard(left)
     return links
 
@@ -329,7 +329,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     doc_id repeat their lines, which are kept or dropped together.  Other columns are left out."""
     rows = lines_of(docs).select("doc_id", "line_no", "line")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    firsts = stored(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")))
+    firsts = stored(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")), tidy=True)
     found = components(similar_lines(docs)).withColumnRenamed("node", "line")
     linked = found.unionByName(found.select(F.col("root").alias("line"), "root").distinct())
     rooted = firsts.join(linked, "line").select("line", "root", "first")
