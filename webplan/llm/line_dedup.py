@@ -232,8 +232,9 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            differ = np.bitwise_count(maps[at] ^ maps[at + step]).sum(axis=1, dtype=np.int64)
-            ok = at[differ * (num + den) <= (den - num) * (room[at] + room[at + step])]
+            told = at[~(keep[at] & keep[at + step])]  # pairs of lines that stay anyway say nothing new
+            differ = np.bitwise_count(maps[told] ^ maps[told + step]).sum(axis=1, dtype=np.int64)
+            ok = told[differ * (num + den) <= (den - num) * (room[told] + room[told + step])]
             keep[ok] = keep[ok + step] = True
         group, line = group[keep], line[keep]
         head = line[np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[: len(group)], np.arange(len(group)), 0))]
