@@ -262,13 +262,66 @@ def _(spark, d):
 SQ_LINKED = SQ_HINTED + ", " + SQ_ANCHORS.removeprefix("WITH ").rstrip(",")
 
 
-@query("site_taxonomy", SQ_LINKED + """, linked AS (SELECT page_id, count(*) AS c FROM a GROUP BY 1),
+SITE_ROWS = SQ_LINKED + """, linked AS (SELECT page_id, count(*) AS c FROM a GROUP BY 1),
   g AS (SELECT root AS site, viewport, page_key, trim(page_category) AS page_category, sum(c) AS members FROM hinted JOIN linked USING (page_id) GROUP BY ALL),
   -- every page has its links in a nav without a heading, so one unnamed area is on all pages of a site
-  p AS (SELECT site, viewport, count(DISTINCT page_key) AS pages, arg_min(page_key, (page_category, page_key)) AS page_key, min(page_category) AS page_category, sum(members) AS members FROM g GROUP BY ALL)
-  SELECT site, viewport, page_key, page_category, '클릭' AS event_name, '공통' AS category, 'Unknown' AS action, '{{버튼명}}' AS label, 999999 AS sort_y, members::BIGINT AS member_count, true AS is_common FROM p WHERE pages >= 2
+  p AS (SELECT site, viewport, count(DISTINCT page_key) AS pages, arg_min(page_key, (page_category, page_key)) AS page_key, min(page_category) AS page_category, sum(members) AS members FROM g GROUP BY ALL),
+  st AS (SELECT site, viewport, page_key, page_category, '클릭' AS event_name, '공통' AS category, 'Unknown' AS action, '{{버튼명}}' AS label, 999999 AS sort_y, members::BIGINT AS member_count, true AS is_common FROM p WHERE pages >= 2
   UNION ALL SELECT site, viewport, g.page_key, g.page_category, '클릭', g.page_category, 'Unknown', '{{버튼명}}', 999999, g.members::BIGINT, false FROM g JOIN p USING (site, viewport) WHERE pages = 1
-  UNION ALL SELECT root, viewport, page_key, min(trim(page_category)), '페이지뷰', '페이지명 : ' || min(trim(page_category)), '', '', -1, 1, false FROM hinted GROUP BY root, viewport, page_key""")
+  UNION ALL SELECT root, viewport, page_key, min(trim(page_category)), '페이지뷰', '페이지명 : ' || min(trim(page_category)), '', '', -1, 1, false FROM hinted GROUP BY root, viewport, page_key)"""
+
+
+@query("site_taxonomy", SITE_ROWS + " SELECT * FROM st")
 def _(spark, d):
     rows = PG.site_taxonomy(table(spark, d, "pages"))
     return rows.select("site", "viewport", "page_key", "page_category", "event_name", "category", "action", "label", "sort_y", "member_count", "is_common")
+
+
+def site_plan(spark, d):
+    """The plan of all pages: views of every other page are documented by key, common clicks by all but the first part of theirs."""
+    rows = table(spark, d, "pages")
+    page = F.trim("hint")
+    views = PG.page_facts(rows.filter("page_id % 2 = 0")).select(
+        F.concat(page, F.lit("|페이지뷰|페이지명 : "), page, F.lit("|-|-|-")).alias("key"), F.concat(F.lit("t:"), page).alias("trigger")).distinct()
+    first = table(spark, d, "region").filter("r_regionkey = 0")
+    clicks = first.select(F.lit("all|클릭|공통|Unknown|{{버튼명}}|-").alias("key"), F.concat(F.lit("t:"), "r_name").alias("trigger"))
+    known = views.unionByName(clicks).select("*", F.lit("d").alias("description"), F.lit(None).cast("string").alias("note"), F.lit(1).alias("seq"))
+    return PG.SitePlan(rows, known, first.select(F.lit("platform").alias("name"), F.lit("where").alias("description"), F.lit("-").alias("note")))
+
+
+SITE_EVENTS = SITE_ROWS + """, known AS (SELECT DISTINCT trim(page_category) AS page_category, true AS told FROM hinted WHERE page_id % 2 = 0),
+  ev AS (SELECT st.*, CASE WHEN is_common THEN 't:' || (SELECT r_name FROM region WHERE r_regionkey = 0) WHEN event_name <> '페이지뷰' THEN page_category || '에서 ''{{버튼명}}''을(를) 클릭했을 때'
+      WHEN told THEN 't:' || page_category ELSE page_category || ' 페이지가 로드·노출되었을 때' END AS trigger,
+    page_category || '|' || event_name || '|' || category || '|' || CASE WHEN event_name = '페이지뷰' THEN '-|-' ELSE action || '|' || label END || '|-' AS row_key,
+    CASE WHEN is_common THEN '공통' ELSE page_category END || '_' || upper(viewport) AS tab_label FROM st LEFT JOIN known USING (page_category))"""
+
+
+@query("site_events", SITE_EVENTS + """ SELECT site, viewport, page_key, row_key, trigger, tab_label, CASE WHEN is_common THEN 'common:' || viewport ELSE viewport || ':' || page_category END AS tab_id,
+  upper(viewport) AS platform, member_count FROM ev""")
+def _(spark, d):
+    return site_plan(spark, d).events.select("site", "viewport", "page_key", "row_key", "trigger", "tab_label", "tab_id", "platform", "member_count")
+
+
+@query("site_members", SITE_EVENTS + """ SELECT h.root AS site, h.viewport, h.page_key, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS tag_id, ev.row_key
+    FROM hinted h JOIN a USING (page_id) JOIN ev ON ev.site = h.root AND ev.viewport = h.viewport AND ev.event_name = '클릭' AND (ev.is_common OR ev.page_key = h.page_key AND ev.page_category = trim(h.page_category))
+  UNION ALL SELECT root, h.viewport, h.page_key, 0, row_key FROM hinted h JOIN ev ON ev.site = root AND ev.viewport = h.viewport AND ev.page_key = h.page_key AND ev.event_name = '페이지뷰'""")
+def _(spark, d):
+    return site_plan(spark, d).members.select("site", "viewport", "page_key", "tag_id", "row_key")
+
+
+@query("site_variables", SQ_LINKED + """, clicked AS (SELECT DISTINCT page_id, true AS clicks FROM a),
+  cells AS (SELECT root AS site, page_key, clicks, unnest(['platform', 'page_location', 'page_path', 'page_title', 'page_category', 'page_name', 'page_referrer']) AS name,
+    unnest([upper(viewport), """ + LOC + """, path || query || frag, nullif(trim(title), ''), trim(page_category), trim(page_category), NULL]) AS value FROM hinted LEFT JOIN clicked USING (page_id))
+  SELECT site, name, CASE WHEN bool_and(regexp_matches(value, '^-?\\d+(\\.\\d+)?$')) THEN 'Double' ELSE 'String' END AS type, arg_min(value, (page_key, value)) FILTER (value IS NOT NULL) AS sample_value,
+    concat_ws(',', CASE WHEN bool_or(clicks AND value IS NOT NULL AND name <> 'page_name') THEN '클릭' END, CASE WHEN count(value) > 0 THEN '페이지뷰' END) AS used_events,
+    CASE WHEN name = 'platform' THEN 'where' ELSE '' END AS description FROM cells GROUP BY ALL""")
+def _(spark, d):
+    return site_plan(spark, d).variables.select("site", "name", "type", "sample_value", F.array_join("used_events", ",").alias("used_events"), "description")
+
+
+@query("site_sheets", SITE_EVENTS + """, sh AS (SELECT *, left(regexp_replace(tab_label, '[\\\\/?*\\[\\]:]', '_', 'g'), 31) AS sheet FROM ev),
+  k AS (SELECT site, sheet, min((CASE WHEN is_common THEN 0 ELSE 1 END, CASE viewport WHEN 'pc' THEN 0 ELSE 1 END, CASE WHEN sheet LIKE '기타\\_%' ESCAPE '\\' THEN 1 ELSE 0 END)) AS k FROM sh GROUP BY ALL),
+  o AS (SELECT site, sheet, row_number() OVER (PARTITION BY site ORDER BY k, sheet)::INT AS sheet_no FROM k)
+  SELECT site, page_key, sheet, sheet_no, event_name AS "이벤트명", trigger AS "시점", category AS "카테고리", coalesce(nullif(action, ''), '-') AS "액션", coalesce(nullif(label, ''), '-') AS "라벨" FROM sh JOIN o USING (site, sheet)""")
+def _(spark, d):
+    return site_plan(spark, d).sheets.select("site", "page_key", "sheet", "sheet_no", "이벤트명", "시점", "카테고리", "액션", "라벨")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from webplan.operators import candidates as C
 from webplan.operators import dom as D
 from webplan.operators import sites as SR
 from webplan.plans import taxonomy as X
+from webplan.session import settle
 from webplan.sources.pages import with_titles
 
 FIELDS = ["page_id", "site", "page_key", "viewport", "page_name", "tag_id", "text", "page_category", "category", "action", "action_key",
@@ -66,11 +69,68 @@ def page_candidates(pages: DataFrame, suggestions: DataFrame | None = None, meas
     return rows.select(*FIELDS).unionByName(views.select(*FIELDS))
 
 
+def chosen_candidates(pages: DataFrame, selection: DataFrame | None = None, **inputs) -> DataFrame:
+    """Candidates of the pages with ``selected``; see site_taxonomy."""
+    rows = page_candidates(pages, **inputs)
+    return rows.withColumn("selected", F.lit(True)) if selection is None else X.with_selection(rows, selection)
+
+
 def site_taxonomy(pages: DataFrame, selection: DataFrame | None = None, **inputs) -> DataFrame:
     """Pages -> event rows of every site: site, viewport, page_key, page_category, event_name, category, action, label,
     direction, sort_y, sort_x, member_count, is_common, row_key.
 
     selection(page_key, tag_id, selected); without one everything is selected.  ``inputs`` as in page_candidates."""
-    rows = page_candidates(pages, **inputs)
-    chosen = rows.withColumn("selected", F.lit(True)) if selection is None else X.with_selection(rows, selection)
-    return X.common_rows(X.label_rows(chosen)).withColumn("row_key", X.row_key())
+    return X.keyed_rows(X.label_rows(chosen_candidates(pages, selection, **inputs)))
+
+
+class SitePlan:
+    """The plan of every site from its pages; each table is computed when it is first asked for, and only once.
+
+    docs(key, trigger, description, note, seq) and properties(name, description, note) may be empty: events without
+    documentation get generated sentences.  ``selection`` and ``inputs`` as in site_taxonomy."""
+
+    def __init__(self, pages: DataFrame, docs: DataFrame, properties: DataFrame, selection: DataFrame | None = None, **inputs):
+        self._pages, self._docs, self._properties, self._selection, self._inputs = pages, docs, properties, selection, inputs
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Elements and page views with ``selected``."""
+        return settle(chosen_candidates(self._pages, self._selection, **self._inputs))
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return settle(X.label_rows(self.candidates))
+
+    @cached_property
+    def _keyed(self) -> DataFrame:
+        return settle(X.keyed_rows(self._rows))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """The elements behind every event row, with their parameters."""
+        return settle(X.taxonomy_members(self.candidates, self._rows, self._keyed))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Event rows with tab, documentation and examples."""
+        return settle(X.documented_rows(self._keyed, self.members, self._docs))
+
+    @cached_property
+    def variables(self) -> DataFrame:
+        """The variable dictionary per site."""
+        return X.variable_dictionary(self.candidates, self._properties)
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """How often each value of each parameter occurs."""
+        return X.value_list(self.members)
+
+    @cached_property
+    def sheets(self) -> DataFrame:
+        """Display columns of the events with sheet name and order."""
+        return X.export_sheets(self.events)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Counts per site."""
+        return X.taxonomy_summary(self.candidates)

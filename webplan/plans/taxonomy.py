@@ -165,11 +165,13 @@ def attach_docs(rows: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy_members(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """(site, viewport, row_key, page_key, tag_id, params): the elements behind every taxonomy row."""
+def taxonomy_members(candidates: DataFrame, rows: DataFrame, final: DataFrame | None = None) -> DataFrame:
+    """(site, viewport, row_key, page_key, tag_id, link_url, params): the elements behind every taxonomy row.
+
+    rows are the candidates' label rows; ``final`` is their ``keyed_rows`` where the caller has it already."""
     candidates, rows = settle(candidates), settle(rows)
     parts = partition_rows(rows).select(*PAGE, "page_category", "action", "action_key", "is_common", "event_name")
-    final = settle(common_rows(rows).withColumn("row_key", row_key()))
+    final = settle(keyed_rows(rows) if final is None else final)
     common = final.filter("is_common").select("site", "viewport", action_key().alias("action_key"), F.col("row_key").alias("_ck"))
     own = final.filter("not is_common").select(*PAGE, "page_category", "action", "event_name", F.col("row_key").alias("_ok"))
     clicks = action_members(candidates).select(*PAGE, "page_category", F.col("area").alias("action"), "tag_id", *_payload_cols())
@@ -189,12 +191,21 @@ def _payload_cols() -> list[Column]:
     return [record.alias("_params"), T.blank_null(P.param_value(F.col("parameters"), "link_url")).alias("_link")]
 
 
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """Common and other label rows with their row key."""
+    return common_rows(rows).withColumn("row_key", row_key())
+
+
 def taxonomy_rows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """The event table: one row per action (or page view) with tab, documentation and examples."""
     candidates = settle(candidates)
     rows = settle(label_rows(candidates))
-    final = settle(common_rows(rows).withColumn("row_key", row_key()))
-    members = taxonomy_members(candidates, rows)
+    final = settle(keyed_rows(rows))
+    return documented_rows(final, taxonomy_members(candidates, rows, final), docs)
+
+
+def documented_rows(final: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Keyed rows with tab, documentation and the examples that their members give."""
     first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.struct("tag_id", "page_key")))
     examples = members.groupBy("site", "viewport", "row_key").agg(
         first(F.col("params")["platform"]).alias("platform"), first(F.col("link_url")).alias("link_url_example"),
@@ -248,7 +259,7 @@ def variable_dictionary(candidates: DataFrame, properties: DataFrame) -> DataFra
     value = T.blank_null(F.col("value"))
     found = cells.groupBy("site", "name").agg(
         infer_param_type(F.col("value")).alias("type"),
-        F.min_by(value, F.when(value.isNotNull(), F.struct("page_key", "tag_id"))).alias("sample_value"),
+        F.min_by(value, F.when(value.isNotNull(), F.struct("page_key", "tag_id", value))).alias("sample_value"),
     )
     # event names come from a registry, so the distinct set per variable is small
     used = cells.filter(value.isNotNull()).select("site", "name", "event_name").distinct().groupBy("site", "name").agg(

@@ -73,23 +73,23 @@ def expand_sitemaps(locs: DataFrame, robots: DataFrame, seeds: DataFrame, limit:
         F.col("sitemap_url").alias("doc_url"),
     )
     first = _take_new(same_root_docs(listed.unionByName(known), "doc_url", "site"), None, max_docs)
-    queue = first.select("site", "doc_url", F.row_number().over(_by("at")).alias("ord")).checkpoint()
-    frontier = queue
-    index_locs = locs.filter("is_index").select("site", "doc_url", "pos", "loc")
-    while not frontier.isEmpty():
-        found = frontier.join(index_locs, ["site", "doc_url"]).select(
+    # a level is written once; what was visited before is read, not written anew
+    level = first.select("site", "doc_url", F.row_number().over(_by("at")).alias("ord")).checkpoint()
+    queue, index_locs = level, locs.filter("is_index").select("site", "doc_url", "pos", "loc")
+    while not level.isEmpty():
+        size = queue.groupBy("site").agg(F.max("ord").alias("_n"))
+        found = level.join(index_locs, ["site", "doc_url"]).select(
             "site", F.struct(F.col("ord").alias("a"), F.col("pos").cast("long").alias("b")).alias("at"),
             F.col("loc").alias("doc_url"),
         )
         fresh = _take_new(same_root_docs(found, "doc_url", "site"), queue, max_docs)
-        size = queue.groupBy("site").agg(F.max("ord").alias("_n"))
-        frontier = (
+        level = (
             fresh.join(size, "site")
             .select("site", "doc_url", (F.col("_n") + F.row_number().over(_by("at"))).alias("ord"))
             .filter(F.lit(True) if max_docs is None else F.col("ord") <= max_docs)
             .checkpoint()
         )
-        queue = queue.unionByName(frontier).checkpoint()
+        queue = queue.unionByName(level)
     stats = locs.groupBy("site", "doc_url").agg(
         F.max("is_index").alias("is_index"),
         F.sum(F.when(F.col("is_index"), 0).otherwise(1)).alias("pages"),
