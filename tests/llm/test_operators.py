@@ -581,6 +581,34 @@ def test_signatures_estimate_similarity():
     assert total > 200 and met / total > 0.99
 
 
+def test_sketches_never_rule_out_similar_lines():
+    """Of each group, every line with a partner at 0.8 or more stays; lines of groups without any similar pair mostly go."""
+    rng = random.Random(12)
+    k, lines, group = line_dedup.SHINGLE, [], []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    for g in range(400):
+        a = " ".join(word() for _ in range(rng.choice([6, 30, 300]))) + " la la la" * rng.randrange(9)
+        b = list(a)
+        for _ in range(rng.randrange(1, 2 + len(a) // 40)):
+            b[rng.randrange(len(b))] = rng.choice("XYZ")
+        lines += [a, "".join(b), " ".join(word() for _ in range(30))] if g % 2 else [a, a[::-1]]
+        group += [2 * g + 1] * (3 if g % 2 else 2)
+    text = pa.RecordBatch.from_arrays([pa.array([x.encode() for x in lines])], names=["text"])
+    told = {r["line"]: r for batch in line_dedup._mapped([text]) for r in batch.to_pylist()}
+    own = [line_dedup.line_hash(x.encode()) for x in lines]
+    own = [x - (1 << 64) if x >> 63 else x for x in own]
+    rows = sorted((g, h) for g, h in zip(group, own))
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([g for g, _ in part], pa.int64()), pa.array([h for _, h in part], pa.int64()), pa.array([told[h]["room"] for _, h in part], pa.int32()),
+         pa.array([told[h]["map"] for _, h in part], pa.binary())], names=["group", "line", "room", "map"]) for part in (rows[:333], [], rows[333:])]
+    kept = {h for batch in line_dedup._possible(batches) for h in batch.column(1).to_pylist()}
+    sets = [{x[i : i + k] for i in range(len(x) - k + 1)} for x in lines]
+    near = {own[i] for i in range(len(lines)) for j in range(max(0, i - 2), min(len(lines), i + 3))
+            if i != j and group[i] == group[j] and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])}
+    assert len(near) > 200 and near <= kept
+    assert len(kept - near) < 0.5 * (len(own) - len(near))
+
+
 # ---------------------------------------------------------------- queries
 
 
