@@ -85,6 +85,17 @@ def test_sessions_leave_by_themselves_and_are_told_once(spark):
     assert {r["session_id"] for r in ST.living(rows, F.lit(day(25))).collect()} == {"u", "w", "x"}
 
 
+def test_sessions_that_left_come_from_windows(spark):
+    """A row at the very end opens the next session, one a microsecond earlier renews; each end is told once."""
+    day = lambda d, **more: at(days=d, **more)
+    last = day(14) - dt.timedelta(microseconds=1)
+    parts = [[("u", "p", day(0), 1), ("v", "q", day(0), 1), ("w", "r", day(0), 1)], [("v", "q", last, 2), ("w", "s", day(14), 2)], [("z", "z", day(20), 3)], [("z", "z", day(28, hours=1), 4)]]
+    rows = arrive(spark, parts, "session_id string, user_id string, created_at timestamp, seq int", ST.purged_sessions, repeat=True)
+    hours = lambda us: (us - 1704067200 * 10**6) / (3600 * 10**6)
+    told = sorted((r["session_id"], r["user_id"], hours(r["opened_us"]), r["renewals"], round(hours(r["expires_us"]))) for r in rows.collect())
+    assert told == [("u", "p", 0, 0, 336), ("v", "q", 0, 1, 672), ("w", "r", 0, 0, 336), ("w", "s", 336, 0, 672)]
+
+
 ITEMS = "group_id string, item_id string, status string, cancel boolean, ts timestamp, seq int"
 
 

@@ -190,6 +190,21 @@ def session_expiry(sessions: DataFrame, delay: str = "1 minute") -> DataFrame:
         Sessions(), "session_id string, user_id string, event string, at_us bigint, expires_us bigint, renewals bigint", "Append", "EventTime")
 
 
+def purged_sessions(sessions: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """The sessions that have left (append mode), each told once when the watermark passes its end: session_id, user_id (of
+    its newest row), opened_us, expires_us, renewals.
+
+    sessions(session_id, user_id, created_at, seq), and what a session is, as in ``session_expiry``.  The state is a session
+    window per living session, closed by the watermark; no row passes through Python.  A window's end still belongs to it,
+    so the gap is a microsecond short of a session's life, and a watermark at that very microsecond closes it."""
+    at = F.struct("created_at", "seq")
+    gap = F.session_window("created_at", f"{SESSION_DAYS - 1} days 23 hours 59 minutes 59 seconds 999 milliseconds 999 microseconds").alias("session")
+    rows = sessions.withWatermark("created_at", delay).groupBy("session_id", gap).agg(
+        F.max_by("user_id", at).alias("user_id"), F.count(F.lit(1)).alias("rows"))
+    return rows.select("session_id", "user_id", F.unix_micros("session.start").alias("opened_us"), (F.unix_micros("session.end") + 1).alias("expires_us"),
+                       (F.col("rows") - 1).alias("renewals"))
+
+
 def living(events: DataFrame, now: Column) -> DataFrame:
     """The sessions that are valid at ``now``, from the rows of session_expiry up to then."""
     rows = events.filter(F.col("at_us") <= F.unix_micros(now))
