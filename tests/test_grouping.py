@@ -108,3 +108,28 @@ def test_lossless_namer(spark):
     rows = {r["tag_id"]: r["category"] for r in named.collect()}
     assert rows == {1: "global/gnb", 2: "S"}
     assert N.lossless_check(e, named, ["page_id", "tag_id"], ["page_id"]).count() == 0
+
+
+def taxonomy_candidates(spark, rows):
+    """rows: (page, tag_id, event, category, viewport) -> candidates of one site, all selected."""
+    data = [("s", f"p{page}", view, view, t, "x", "x", cat, "배너", "click", event, None, "", cat, None, "All", True, "n") for page, t, event, cat, view in rows]
+    df = spark.createDataFrame(data, "site string, page_key string, viewport string, v string, tag_id int, label string, merge_label string, page_category string, action string, "
+                                     "action_key string, event_name string, link_url string, text string, category string, hidden_reason string, platform string, selected boolean, page_name string")
+    return df.withColumns({"parameters": F.array().cast("array<struct<name:string,value_hint:string>>"), "area": F.col("action"),
+                           "bbox": F.lit(None).cast("struct<x:int,y:int,w:int,h:int>")})
+
+
+def test_members_know_the_event_of_their_own_row(spark):
+    """Two pages share an area, so their rows are merged; each element still tells its page's event, whatever its names hold."""
+    rows = taxonomy_candidates(spark, [(1, 1, "클릭", "a | b", "pc"), (2, 1, "문의", "c", "pc")])
+    got = {(r["page_key"], r["own_event"]) for r in X.taxonomy_members(rows, X.label_rows(rows)).collect()}
+    assert got == {("p1", "클릭"), ("p2", "문의")}
+
+
+def test_tabs_of_one_cut_name_may_be_numbered_apart(spark):
+    long = "x" * 40
+    rows = spark.createDataFrame([("s", v, False, f"{long}_{v.upper()}", 0, 0, v, "p", "클릭", "t", "c", "a", "l", "d") for v in ("mo", "pc")],
+                                 "site string, viewport string, is_common boolean, tab_label string, sort_y int, sort_x int, row_key string, page_key string, event_name string, "
+                                 "trigger string, category string, action string, label string, description string")
+    assert {r["sheet_no"] for r in X.export_sheets(rows).collect()} == {1}
+    assert {(r["viewport"], r["sheet_no"]) for r in X.export_sheets(rows, apart=True).collect()} == {("pc", 1), ("mo", 2)}

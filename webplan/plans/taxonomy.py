@@ -382,9 +382,12 @@ def regroup_tabs(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ exports
 
 
-def export_sheets(rows: DataFrame) -> DataFrame:
+def export_sheets(rows: DataFrame, apart: bool = False) -> DataFrame:
     """Six display columns per row with sheet name and sheet order (common first, PC before MO, then
-    by name).  Write with ``partitionBy("sheet")``."""
+    by name).  Write with ``partitionBy("sheet")``.
+
+    Names are cut, so tabs of PC and MO may share one: they are one sheet, or two of that name if ``apart``
+    (then write with ``partitionBy("sheet_no")``)."""
     view = F.col("event_name") == T.PAGE_VIEW_EVENT
     dash = F.lit("-")
     keys = settle(rows).select(
@@ -394,11 +397,12 @@ def export_sheets(rows: DataFrame) -> DataFrame:
         F.when(view, dash).otherwise(T.cell(F.col("label"))).alias("라벨"), T.cell(F.col("description")).alias("설명"),
     )
     # sheets are few, so they are ranked on their own small table and joined back
-    sheets = keys.groupBy("site", "sheet").agg(
+    one = ["site", "viewport", "sheet"] if apart else ["site", "sheet"]
+    sheets = keys.groupBy(*one).agg(
         F.min(F.struct(F.when(F.col("is_common"), 0).otherwise(1).alias("c"), F.when(F.col("viewport") == "pc", 0).otherwise(1).alias("v"),
                        F.when(F.col("sheet").startswith(T.OTHER_AREA + "_"), 1).otherwise(0).alias("o"), F.col("sheet"))).alias("k"))
     order = F.row_number().over(W.partitionBy("site").orderBy("k"))
-    return keys.join(sheets.select("site", "sheet", order.alias("sheet_no")), ["site", "sheet"])
+    return keys.join(sheets.select(*one, order.alias("sheet_no")), one)
 
 
 def descriptions_from_taxonomy(rows: DataFrame, variables: DataFrame) -> DataFrame:
