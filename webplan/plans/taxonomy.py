@@ -166,7 +166,8 @@ def attach_docs(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def taxonomy_members(candidates: DataFrame, rows: DataFrame, final: DataFrame | None = None) -> DataFrame:
-    """(site, viewport, row_key, page_key, tag_id, link_url, params): the elements behind every taxonomy row.
+    """(site, viewport, row_key, page_key, tag_id, link_url, params, own_event): the elements behind every taxonomy row;
+    own_event is the event of their page's row, which may differ from that of the common row it was merged into.
 
     rows are the candidates' label rows; ``final`` is their ``keyed_rows`` where the caller has it already."""
     candidates, rows = settle(candidates), settle(rows)
@@ -182,7 +183,7 @@ def taxonomy_members(candidates: DataFrame, rows: DataFrame, final: DataFrame |
         rows_.join(common, ["site", "viewport", "action_key"], "left")
         .join(own, [*PAGE, "page_category", "action", "event_name"], "left")
         .select("site", "viewport", F.when(F.col("is_common"), F.col("_ck")).otherwise(F.col("_ok")).alias("row_key"),
-                "page_key", "tag_id", F.col("_link").alias("link_url"), F.col("_params").alias("params"))
+                "page_key", "tag_id", F.col("_link").alias("link_url"), F.col("_params").alias("params"), F.col("event_name").alias("own_event"))
     )
 
 
