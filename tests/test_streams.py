@@ -114,6 +114,16 @@ def test_totals_follow_every_change(spark):
     assert p == {"big": (200, 0, 99, 1, 300), "j": (0, 0, 1, 0, 1), None: (0, 0, 0, 0, 1)}
 
 
+@pytest.mark.parametrize("few", [2, 4096])
+def test_many_groups_share_few_keys(spark, few):
+    """A bucket holds many groups, and counts the same where its one value is full."""
+    first = [(f"g{g}", f"i{i}", "pending", False, at(0), 1) for g in range(6) for i in range(4)]
+    parts = [first, [(f"g{g}", "i1", "done", g == 3, at(9), 2) for g in range(6)] + [("g0", "i9", "failed", False, at(1), 1)]]
+    rows = arrive(spark, parts, ITEMS, lambda r: ST.status_totals(r, salts=1, parts=1, few=few), repeat=True).collect()
+    want = {(f"g{g}", 1): ({"pending": 4}, False) for g in range(6)} | {(f"g{g}", 2): ({"pending": 3, "done": 1} | ({"failed": 1} if g == 0 else {}), g == 3) for g in range(6)}
+    assert {(r["group_id"], r["version"]): (dict(r["counts"]), r["cancel"]) for r in rows} == want
+
+
 def test_a_cancelled_batch_is_done(spark):
     parts = [[("b", "1", "done", False, at(0), 1), ("b", "2", "naming", False, at(0), 2), ("b", "3", "queued", False, at(0), 3), ("c", "1", "running", False, at(0), 1)],
              [("b", "2", "naming", True, at(5), 4), ("c", "1", "error", False, at(5), 2)]]

@@ -29,6 +29,10 @@ TERMINAL = ["done", "stopped", "error"]
 SESSION_DAYS = 14
 #: Parts into which the rows of one key are split before totals are added up.
 SALTS = 16
+#: Parts into which groups are dealt; each is split over the salts.
+PARTS = 512
+#: Items of a bucket that its state holds in one value.
+FEW = 4096
 _MICROS = 1_000_000
 
 
@@ -217,70 +221,112 @@ def living(events: DataFrame, now: Column) -> DataFrame:
 
 
 class Changes(StatefulProcessor):
-    """Newest state per item of a salted key, and how a batch changes the counts: one row per key and batch."""
+    """Newest state per item of a bucket, and how a batch changes the counts: one row per group, bucket and batch.
+
+    Each key and each access to the state is a call out of Python, so groups share buckets, and the first ``limit`` items of a
+    bucket are held in one value that a batch reads and writes once; those that come after them have an entry each."""
+
+    def __init__(self, limit: int = FEW):
+        self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item_id string", "us bigint, seq bigint, status string")
+        self.few = handle.getValueState("few", "items array<struct<group_id:string,item_id:string,us:bigint,seq:bigint,status:string>>")
+        self.items = handle.getMapState("items", "group_id string, item_id string", "us bigint, seq bigint, status string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest, cancel, ts = {}, False, None
+        newest, cancel = {}, set()
         for r in rows:
-            at = (r["us"], r["seq"])
-            if r["item_id"] not in newest or at > newest[r["item_id"]][0]:
-                newest[r["item_id"]] = (at, r["status"])
-            cancel = cancel or bool(r["cancel"])
-        delta: dict[str, int] = {}
+            item, at = (r["group_id"], r["item_id"]), (r["us"], r["seq"])
+            if item not in newest or at > newest[item][0]:
+                newest[item] = (at, r["status"])
+            if r["cancel"]:
+                cancel.add(item[0])
+        held = self.few.get()
+        few = {(group, item): tuple(rest) for group, item, *rest in (held[0] if held is not None else [])}
+        full = len(few) >= self.limit  # only then items may have entries of their own
+        changed = False
+        deltas: dict[str | None, dict[str, int]] = {group: {} for group in cancel}
         for item, (at, status) in newest.items():
-            known = self.items.getValue((item,)) if self.items.containsKey((item,)) else None
+            known = few.get(item)
+            if known is None and full:
+                known = self.items.getValue(item)
+            delta = deltas.setdefault(item[0], {})
             if known is not None:
                 if tuple(known[:2]) >= at:
                     continue
                 delta[known[2]] = delta.get(known[2], 0) - 1
-            self.items.updateValue((item,), (*at, status))
+            if item in few or len(few) < self.limit:
+                few[item], changed = (*at, status), True
+            else:
+                self.items.updateValue(item, (*at, status))
             delta[status] = delta.get(status, 0) + 1
-        delta = {k: v for k, v in delta.items() if v}
-        if delta or cancel:
-            yield Row(group_id=key[0], status=list(delta), change=list(delta.values()), cancel=cancel)
+        if changed:
+            self.few.update(([(*item, *rest) for item, rest in few.items()],))
+        for group, delta in deltas.items():
+            delta = {k: v for k, v in delta.items() if v}
+            if delta or group in cancel:
+                yield Row(group_id=group, status=list(delta), change=list(delta.values()), cancel=group in cancel)
 
     def close(self) -> None:
         pass
 
 
 class Totals(StatefulProcessor):
-    """Counts per status of a group: what the salts report is added, and the totals told after every batch."""
+    """Counts per status of a part's groups: what the salts report is added, and the totals told after every batch.  The first
+    ``limit`` groups of a part are held in one value, as in ``Changes``."""
+
+    def __init__(self, limit: int = FEW):
+        self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "counts map<string,bigint>, cancel boolean, version bigint")
+        self.few = handle.getValueState("few", "groups array<struct<group_id:string,counts:map<string,bigint>,cancel:boolean,version:bigint>>")
+        self.others = handle.getMapState("others", "group_id string", "counts map<string,bigint>, cancel boolean, version bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        counts, cancel, version = ({}, False, 0) if not self.counts.exists() else tuple(self.counts.get())
-        counts = dict(counts)
+        told: dict[str | None, tuple[dict[str, int], bool]] = {}
         for r in rows:
+            delta, cancel = told.get(r["group_id"], ({}, False))
             for status, change in zip(r["status"], r["change"]):
-                counts[status] = counts.get(status, 0) + change
-            cancel = cancel or r["cancel"]
-        counts = {k: v for k, v in counts.items() if v}
-        self.counts.update((counts, cancel, version + 1))
-        yield Row(group_id=key[0], counts=counts, cancel=cancel, version=version + 1)
+                delta[status] = delta.get(status, 0) + change
+            told[r["group_id"]] = (delta, cancel or r["cancel"])
+        held = self.few.get()
+        few = {group: tuple(rest) for group, *rest in (held[0] if held is not None else [])}
+        full, changed = len(few) >= self.limit, False
+        for group, (delta, cancel) in told.items():
+            known = few.get(group)
+            if known is None and full:
+                known = self.others.getValue((group,))
+            counts, cancelled, version = ({}, False, 0) if known is None else known
+            counts = {k: counts.get(k, 0) + delta.get(k, 0) for k in {**counts, **delta}}
+            now = ({k: v for k, v in counts.items() if v}, cancelled or cancel, version + 1)
+            if group in few or len(few) < self.limit:
+                few[group], changed = now, True
+            else:
+                self.others.updateValue((group,), now)
+            yield Row(group_id=group, counts=now[0], cancel=now[1], version=now[2])
+        if changed:
+            self.few.update(([(group, *rest) for group, rest in few.items()],))
 
     def close(self) -> None:
         pass
 
 
-def status_totals(items: DataFrame, salts: int = SALTS) -> DataFrame:
+def status_totals(items: DataFrame, salts: int = SALTS, parts: int = PARTS, few: int = FEW) -> DataFrame:
     """Running counts of items per status (append mode, one row per group and batch that changed it): group_id, counts
     (status -> items), cancel, version (rising).
 
     items(group_id, item_id, status, cancel, ts, seq).  Every item is counted in its newest status by (ts, seq); a newer one
-    takes it out of the old count and into the new, an older one changes nothing.  A null status counts as ''.  A group
-    with a great part of all items is split over salted keys; its totals see one row per salt and batch."""
+    takes it out of the old count and into the new, an older one changes nothing.  A null status counts as ''.  Groups are
+    dealt over buckets, and one with a great part of all items is split over salts; totals see one row per salt and batch."""
+    part = lambda group: F.pmod(F.xxhash64(group), F.lit(parts))
     rows = items.select(
-        F.col("group_id").cast("string").alias("group_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("salt"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
+        F.col("group_id").cast("string").alias("group_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("salt"),
+        part(F.col("group_id").cast("string")).alias("part"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.coalesce("status", F.lit("")).alias("status"), F.coalesce("cancel", F.lit(False)).alias("cancel"), F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"))
-    changes = rows.groupBy("group_id", "salt").transformWithState(
-        Changes(), "group_id string, status array<string>, change array<bigint>, cancel boolean", "Append", "None")
-    return changes.groupBy("group_id").transformWithState(
-        Totals(), "group_id string, counts map<string,bigint>, cancel boolean, version bigint", "Append", "None")
+    changes = rows.groupBy("part", "salt").transformWithState(
+        Changes(few), "group_id string, status array<string>, change array<bigint>, cancel boolean", "Append", "None")
+    return changes.withColumn("part", part(F.col("group_id"))).groupBy("part").transformWithState(
+        Totals(few), "group_id string, counts map<string,bigint>, cancel boolean, version bigint", "Append", "None")
 
 
 def newest_totals(rows: DataFrame) -> DataFrame:
