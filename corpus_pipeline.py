@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id.  Near copies share their five-word shingles with
-    a Jaccard similarity of 0.8 or more, or are linked by such pairs."""
+    a Jaccard similarity of 0.8 or more, or are linked by such pairs; SimHash tables and MinHash bands name the pairs to compare."""
     return near_copies.drop_near_copies(docs)
 
 

@@ -14,7 +14,7 @@ import corpus_pipeline
 from tests.llm.test_operators import DOCS, ODD, brute_contamination, brute_mix, check_shards
 from webplan.llm import decontaminate, langid, near_copies
 from webplan.llm.components import Forest
-from webplan.llm.simhash import FOLD
+from webplan.llm.simhash import FOLD, fingerprint
 
 TINY = "/root/testdata/sf0.001"
 
@@ -150,6 +150,17 @@ def test_near_dedup_meets_edited_copies_at_a_similarity_of_four_fifths(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if forest.root(i) == i}
 
 
+def test_near_dedup_compares_what_simhash_tables_name(spark):
+    """Two texts within SimHash's four bits and at 0.8 that share no MinHash band are one component."""
+    text = "w98541 w39543 w19387 w66846 w14214 w38196 w13936 w32604"
+    both = [text, f"{text} w18861"]
+    plain = [t.encode() for t in both]
+    assert not (near_copies.band_keys(plain[:1]) == near_copies.band_keys(plain[1:])).any()
+    assert (fingerprint(plain[0]) ^ fingerprint(plain[1])).bit_count() == 2
+    docs = spark.createDataFrame([(1, both[0], "en", "a", 0), (2, both[1], "en", "a", 0), (3, "another text", "en", "a", 0)], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, TINY).collect()} == {1, 3}
+
+
 CLASHES = ("language", "found", "items", "spans", "block", "place", "likely", "first")
 
 

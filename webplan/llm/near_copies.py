@@ -1,8 +1,10 @@
 """Near copies of documents: five-word shingles with a Jaccard similarity of 0.8 or more.
 
-MinHash signatures of the shingles are cut into bands; documents that share a band are compared by the exact Jaccard
-similarity of their shingle sets (64-bit hashes of the shingles), and those at or above the threshold are united.  A
-pair at 0.8 shares a band with probability 0.9998; only pairs that share none are missed."""
+Candidates come from the SimHash fingerprints of ``simhash``: texts within its radius share a bucket of a covering table.
+Most pairs at 0.8 lie further apart, so MinHash signatures of the shingles, cut into bands, give buckets too.  Documents that
+share a bucket of either kind are compared by the exact Jaccard similarity of their shingle sets (64-bit hashes of the
+shingles), and those at or above the threshold are united.  A pair at 0.8 shares a band with probability 0.9998; only
+pairs that share none and lie outside the radius are missed."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from webplan.llm.common import blocks, row_key, settled, utf8
 from webplan.llm.components import components
 from webplan.llm.line_dedup import SMALL_KEYS, bucket_groups, verified
 from webplan.llm.lm_scoring import span_hashes
-from webplan.llm.simhash import FOLD, classed, keepers_of
+from webplan.llm.simhash import FOLD, classed, covering_masks, fingerprint, keepers_of
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 4, (4, 5)
 #: Documents of a bucket that are compared in one task; larger buckets are compared block by block.
@@ -27,6 +29,8 @@ GROUP = 512
 _RANDOM = np.random.default_rng(21)
 _MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _OFFSET = _RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_MASKS = np.array(covering_masks(), np.int64).view(np.uint64)
+_TABLE = _RANDOM.integers(1 << 63, size=len(_MASKS), dtype=np.uint64)
 
 
 def plain(text: bytes) -> bytes:
@@ -65,8 +69,15 @@ def band_keys(texts: list[bytes]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def table_keys(texts: list[bytes]) -> np.ndarray:
+    """(texts x covering tables) keys of the fingerprints of plain texts."""
+    prints = np.array([fingerprint(t) for t in texts], np.uint64)
+    keys = ((prints[:, None] & _MASKS) ^ _TABLE) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+
+
 def signatures():
-    """Column function: key (of the plain text) and band keys of a column of bytes."""
+    """Column function: key (of the plain text) and keys of the buckets (tables and bands) of a column of bytes."""
 
     @arrow_udf("struct<line:binary,bands:array<bigint>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -75,8 +86,8 @@ def signatures():
             for block in blocks(column):
                 texts = [plain(t) for t in block]
                 own += [hashlib.md5(t).digest() for t in texts]
-                bands.append(band_keys(texts).reshape(-1))
-            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS)
+                bands.append(np.hstack([table_keys(texts), band_keys(texts)]).reshape(-1))
+            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * (len(_MASKS) + BANDS))
             yield pa.StructArray.from_arrays(
                 [pa.array(own, pa.binary()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(bands)))], names=["line", "bands"])
 
