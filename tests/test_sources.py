@@ -1,9 +1,11 @@
 import datetime as dt
+import json
 import random
 import tempfile
 
 from pyspark.sql import functions as F
 
+from webplan.catalog import load, tables
 from webplan.operators import quality as Q
 from webplan.operators.links import dedupe_links, discovery_steps, rank_links, seeds_of
 from webplan.sources import sitemaps as S
@@ -47,6 +49,21 @@ def test_unreadable_geometry_is_absent(spark):
     assert sorted(r["tag_id"] for r in TB.read_positions(spark, path).collect()) == [1, 2]
 
 
+def test_geometry_files_do_not_grow_with_the_jobs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "scratch", lambda _: str(tmp_path / "t"))
+    rows = load()[0]["positions_files"](spark, "/root/testdata/sf0.001")
+    jobs = {r["job_id"] for r in rows.collect()}
+    files = sorted((tmp_path / "t").rglob("*.json"))
+    assert len(jobs) > 40 and len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a broken line costs its own document only
+    lines = files[0].read_text().splitlines()
+    lost = json.loads(lines[0])["job_id"]
+    files[0].with_name(f".{files[0].name}.crc").unlink()
+    files[0].write_text("\n".join([lines[0][:-9], *lines[1:]]) + "\n")
+    left = TB.read_positions(spark, str(tmp_path / "t")).collect()
+    assert {r["job_id"] for r in left} == jobs - {lost} and all(r["page_url"] is not None for r in left)
+
+
 def test_gaps_of_jobs(spark):
     base = dt.datetime(2024, 1, 1)
     at = lambda s: base + dt.timedelta(seconds=s)

@@ -127,7 +127,7 @@ def scratch(spark):
 def _(spark, d):
     r = raw_candidates(spark, d).filter("bbox is not null").select(F.col("page_id").cast("string").alias("job_id"), "viewport", F.col("url").alias("page_url"), "tag_id", F.lit("a").alias("selector_hint"), "bbox", "platform", "hidden_reason", "text")
     path = scratch(spark)
-    S.write_positions(r, path)
+    S.write_positions(r, path, job_folders=False)  # every page is a job here
     return S.read_positions(spark, path).select("job_id", "viewport", "tag_id", "bbox.x")
 
 

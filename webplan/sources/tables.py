@@ -120,17 +120,22 @@ def recent_projects(projects: DataFrame, user: str) -> DataFrame:
 # ------------------------------------------------------------------ files
 
 
-def write_positions(positions: DataFrame, path: str) -> None:
-    """One geometry document per (job, viewport), positions sorted by tag."""
+def write_positions(positions: DataFrame, path: str, job_folders: bool = True) -> None:
+    """One geometry document per (job, viewport), positions sorted by tag.
+
+    With ``job_folders`` every job has a folder of its own, for few jobs that are read singly.  Without, documents share
+    the files of their task, one a line, so that the number of files does not grow with the jobs."""
     item = F.struct("tag_id", "selector_hint", "bbox", "platform", "hidden_reason", "text")
     docs = positions.filter("tag_id > 0").groupBy("job_id", "viewport", "page_url").agg(
         F.array_sort(F.collect_list(item)).alias("positions"))
+    if not job_folders:
+        return docs.write.mode("overwrite").json(path)
     # the key stays inside the document too, so a single file can be read on its own
     docs.withColumn("job", F.col("job_id")).write.mode("overwrite").partitionBy("job").json(path)
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Positions as rows; documents that cannot be read count as absent."""
+    """Positions as rows, with or without folders per job; documents that cannot be read count as absent."""
     docs = spark.read.schema(GEOMETRY_SCHEMA + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
     return docs.filter("_corrupt_record is null and job_id is not null").select(
         "job_id", "viewport", "page_url", F.explode("positions").alias("p")).select("job_id", "viewport", "page_url", "p.*")
