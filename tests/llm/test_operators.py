@@ -609,6 +609,53 @@ def test_sketches_never_rule_out_similar_lines():
     assert len(kept - near) < 0.5 * (len(own) - len(near))
 
 
+def test_unrelated_lines_seldom_share_a_band(rows):
+    """Few (line, band) rows of the corpus meet other lines, so that what travels to their groups stays small."""
+    lines = sorted({x.encode() for r in rows.values() for x in r["text"].split("\n") if x.strip()})
+    keys = np.concatenate([line_dedup.band_keys(lines[i : i + 1000]) for i in range(0, len(lines), 1000)])
+    shared = 0
+    for band in keys.T:
+        _, count = np.unique(band, return_counts=True)
+        shared += count[count > 1].sum()
+    assert len(lines) > 3000 and shared < 0.06 * keys.size
+    missed = lambda s: (1 - s**line_dedup.ROWS) ** line_dedup.BANDS
+    assert all(missed(s) <= (1 - s**4) ** 10 for s in (0.8, 0.82, 0.85, 0.9, 0.95))  # than 10 bands of 4 rows
+
+
+def test_sketches_rule_out_long_unrelated_lines():
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.choice([120, 200, 300]))) for _ in range(60)]
+    lines.append(lines[7][:900] + "#" + lines[7][901:])
+    batch = next(line_dedup._mapped([pa.RecordBatch.from_arrays([pa.array(["\n".join(lines).encode()])], names=["text"])]))
+    told = sorted(batch.to_pylist(), key=lambda r: r["line"])
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([5] * len(told), pa.int64()), *(pa.array([r[k] for r in told], t) for k, t in (("line", pa.int64()), ("room", pa.int32()), ("map", pa.binary())))],
+        names=["group", "line", "room", "map"])
+    kept = {h for b in line_dedup._possible([rows]) for h in b.column(1).to_pylist()}
+    own = np.array([line_dedup.line_hash(lines[i].encode()) for i in (7, 60)], np.uint64).view(np.int64).tolist()
+    assert kept == set(own)
+
+
+def test_lines_are_compared_exactly():
+    """Numbers of shingles tell the same as sets of strings, for any characters."""
+    rng = random.Random(14)
+    for alphabet in ("ab ", "aé漢\uffff", "a\U0001f600\U0001f601b", "\0a\ufffe"):
+        lines = ["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 4, 5, 9, 40]))) for _ in range(24)]
+        lines += [x + "\0" for x in lines[:4]]
+        group = line_dedup._Lines([x.encode() for x in lines])
+        sets = [{x[i : i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in lines]
+        for i, j in itertools.combinations(range(len(lines)), 2):
+            assert group.similar(i, j) == (len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])), (lines[i], lines[j])
+
+
+def test_tasks_pass_on_one_first_occurrence_of_a_line(docs, spark):
+    """A common line reaches the shuffle once a task, and the rest are told at once."""
+    many = spark.createDataFrame([(i if i % 7 else None, "same\n\nsame") for i in range(400, 0, -1)], "doc_id long, text string").repartition(3)
+    got = Counter(r["state"] for r in line_dedup.lines_of(many).collect())
+    assert got[line_dedup.FIRST] <= 3 and got[line_dedup.BLANK] == 400 and got.total() == 1200
+
+
 # ---------------------------------------------------------------- queries
 
 

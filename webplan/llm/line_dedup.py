@@ -3,10 +3,13 @@
 Signatures of character shingles are cut into bands; lines that share a band are compared by their exact Jaccard
 similarity, and those at or above the threshold are united.  One line of each component stays: its first occurrence.
 
-Only 8-byte hashes travel while candidates are sought; lines that share a hash are told apart as soon as their texts
-are there.  Lines that meet in a band form a group; equal groups of different bands are compared once, and a bucket of
-more than ``GROUP`` lines is compared block by block.  Sketches of their shingles tell which lines of a group may be
-similar; texts follow for those alone, picked by a bitmap of fixed size, which prunes less as the corpus grows."""
+Only band keys and 8-byte hashes of lines travel while candidates are sought, packed by slots of keys; lines that share a
+hash are told apart as soon as their texts are there.  Lines that meet in a band form a group; equal groups of different
+bands are compared once, and a bucket of more than ``GROUP`` lines is compared block by block.  Sketches of their shingles
+tell which lines of a group may be similar.  The lines that these link, directly or by others, get their texts once, in
+one place, and are compared there; a set of more than ``GROUP`` lines in blocks, each with the first line of the set, and
+only those still apart from that line meet the other blocks.  The bitmaps that pick sketches and texts are of a fixed
+size and prune less as the corpus grows."""
 
 from __future__ import annotations
 
@@ -19,25 +22,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, ByteType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from webplan.llm.common import blocks, combined, discard, stored, table_rows, utf8
-from webplan.llm.components import components
+from webplan.llm.common import CELLS, blocks, combined, discard, stored, table_rows, utf8
+from webplan.llm.components import Forest, components
 
-#: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.995, one at 0.9 with 1 - 3e-8.
-SHINGLE, BANDS, ROWS, SIMILARITY = 4, 10, 4, (4, 5)
-GROUP = 256
+#: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.997, one at 0.9 with 1 - 2e-8.
+SHINGLE, BANDS, ROWS, SIMILARITY = 4, 32, 8, (4, 5)
+GROUP = 1024
 #: Groups of more lines than this are sifted on bitmaps of so many bits; shingles held at once while comparing.
 FEW, BITS, HELD = 3, 2048, 2_000_000
-#: Bits of the sketches that go to the groups before any text, and of the bitmap that picks the texts to follow.
-SIFT, PICK = 256, 1 << 25
-#: Lines whose bitmaps are made at once.
-MAPPED = 2048
+#: Least bits of the sketches that go to the groups before any text; bits of the bitmaps that pick sketches and texts to follow.
+SIFT, PICK = 64, 1 << 25
+#: Lines whose signatures, and whose bitmaps, are made at once.
+SIGNED, MAPPED = 512, 512
+#: Slots of band keys; entries (band key, line) that a task packs at once, and lines it knows before it starts anew.
+SLOTS, PACKED, KNOWN = 1 << 12, 1 << 20, 1 << 18
+_ENTRY = np.dtype([("key", "<u4"), ("line", "<u8")])
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of candidate rows up to which ``near_copies`` sends them to every task.
 SMALL_KEYS = 500_000
 _RANDOM = np.random.default_rng(20)
-_MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_OFFSET = _RANDOM.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+#: Each gives four rows: the least and the greatest product, unsigned and signed, that is the shingles next to two opposite points of a circle.
+_MULTIPLIER = (_RANDOM.integers(1 << 32, size=BANDS * ROWS // 4, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
 def characters(line: bytes) -> str:
@@ -68,17 +76,22 @@ def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """(lines x bands) keys of the signatures."""
-    h, begin = line_shingles(lines)
     keys = np.empty((len(lines), BANDS), np.uint64)
-    work = np.empty_like(h)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for row in range(band * ROWS, (band + 1) * ROWS):
-            np.bitwise_xor(h, _OFFSET[row], out=work)
-            np.multiply(work, _MULTIPLIER[row], out=work)
-            key = (key ^ np.minimum.reduceat(work, begin)) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(lines), SIGNED):
+        h, begin = line_shingles(lines[at : at + SIGNED])
+        rows = np.empty((BANDS * ROWS, len(begin)), np.uint32)
+        work = np.empty_like(h)
+        for i, multiplier in enumerate(_MULTIPLIER):
+            np.multiply(h, multiplier, out=work)
+            for k, (view, own) in enumerate(((work, rows), (work.view(np.int32), rows.view(np.int32)))):
+                np.minimum.reduceat(view, begin, out=own[4 * i + 2 * k])
+                np.maximum.reduceat(view, begin, out=own[4 * i + 2 * k + 1])
+        rows = rows.reshape(BANDS, ROWS, -1)
+        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(begin), axis=1)
+        for row in range(ROWS):
+            key = (key ^ rows[:, row]) * _MIX
             key ^= key >> np.uint64(29)
-        keys[:, band] = key
+        keys[at : at + SIGNED] = key.T
     return keys.view(np.int64)
 
 
@@ -97,18 +110,159 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[by
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (band_key, line) of every different line of a block that is not blank."""
+    """Texts -> slot, entries: the band keys of that slot of every different line that is not blank, with the lines, packed."""
+    known, keys, owners, n = set(), [], [], 0
+
+    def packed() -> pa.RecordBatch:
+        key, own = np.concatenate(keys).view(np.uint64).reshape(-1), np.repeat(np.concatenate(owners), BANDS)
+        slot = (key >> np.uint64(52)).astype(np.uint16)
+        order = np.argsort(slot, kind="stable")
+        entries = np.empty(len(key), _ENTRY)
+        entries["key"], entries["line"] = (key >> np.uint64(20)).astype(np.uint32)[order], own[order]
+        count = np.bincount(slot, minlength=SLOTS)
+        full = np.flatnonzero(count)
+        at = np.append(0, np.cumsum(count[full])) * _ENTRY.itemsize
+        rows = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(entries.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), rows], names=["slot", "entries"])
+
     for lines, own in _distinct_lines(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(band_keys(lines).T.reshape(-1)), pa.array(np.tile(own.view(np.int64), BANDS))], names=["band_key", "line"])
+        new = [i for i, x in enumerate(own.tolist()) if x not in known]
+        known = set() if len(known) > KNOWN else known
+        known.update(own[new].tolist())
+        for at in range(0, len(new), PACKED // BANDS):
+            some = new[at : at + PACKED // BANDS]
+            keys.append(band_keys([lines[i] for i in some]))
+            owners.append(own[some])
+            n += keys[-1].size
+            if n >= PACKED:
+                yield packed()
+                keys, owners, n = [], [], 0
+    if n:
+        yield packed()
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _met(slot: int, entries: np.ndarray, group: int) -> pa.RecordBatch:
+    """The entries of a slot -> (group, line): different lines that share a band key.  Buckets with the same lines are told
+    once, under an odd number made of these; the pairs of blocks of a large bucket have even numbers."""
+    key, line = np.ascontiguousarray(entries["key"]), np.ascontiguousarray(entries["line"])
+    order = np.argsort(key)
+    size = np.diff(np.append(_runs(key[order]), len(order)))
+    order = order[np.repeat(size > 1, size)]
+    key, line = key[order], line[order]
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    one = _runs(key, line)
+    key, line = key[one], line[one]
+    begin = _runs(key)
+    size = np.diff(np.append(begin, len(key)))
+    mixed = line * _MIX
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
+    number = (np.add.reduceat(mixed, begin) if len(begin) else mixed) * _MIX | np.uint64(1)
+    first = np.zeros(len(begin), bool)
+    small = np.flatnonzero((size > 1) & (size <= group))
+    first[small[np.unique(number[small], return_index=True)[1]]] = True
+    told = np.repeat(first, size)
+    groups, lines = [np.repeat(number[first], size[first])], [line[told]]
+    for at in np.flatnonzero(size > group).tolist():
+        own = line[begin[at] : begin[at] + size[at]]
+        blocks_of = -(-len(own) // group)
+        mine, other = np.repeat(np.arange(len(own)) // group, blocks_of), np.tile(np.arange(blocks_of), len(own))
+        name = (np.minimum(mine, other) * blocks_of + np.maximum(mine, other)).astype(np.uint64)
+        name = (name ^ number[at] ^ (np.uint64(slot) << np.uint64(32) | np.uint64(key[begin[at]])) * _MIX) * _MIX
+        groups.append((name ^ (name >> np.uint64(29))) * _MIX & ~np.uint64(1))
+        lines.append(np.repeat(own, blocks_of))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(lines).view(np.int64))], names=["group", "line"])
+
+
+def _grouped(group: int):
+    """Rows (slot, entries) in the order of their slot -> (group, line), slot by slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for batch in batches:
+            for slot, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if slot != held:
+                    if parts:
+                        yield _met(held, np.concatenate(parts), group)
+                    held, parts = slot, []
+                parts.append(np.frombuffer(entries.as_buffer(), _ENTRY).copy())
+        if parts:
+            yield _met(held, np.concatenate(parts), group)
+
+    return run
+
+
+#: What a task tells of a line's occurrence: blank; the first it has met, or at the same spot; or later than another.
+BLANK, FIRST, LATER = 0, 1, 2
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Documents -> doc_id, line_no, text, line (16-byte key; null for a blank line)."""
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
-    blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return rows.withColumn("line", F.when(~blank, F.unhex(F.md5(F.col("text").cast("binary")))))
+    """Documents -> doc_id, line_no, line (16-byte key; null for a blank line), state: one row per line.  A line has no more
+    rows with the state FIRST than tasks have met it, so that a common one does not pile up."""
+    kind = docs.schema["doc_id"].dataType
+    out = StructType([StructField("doc_id", kind), StructField("line_no", IntegerType()), StructField("line", BinaryType()), StructField("state", ByteType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, rows, own = {}, [], pa.null()
+
+        def emit() -> pa.RecordBatch:
+            ids, numbers, keys, states = zip(*rows)
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, own), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(states, pa.int8())],
+                names=["doc_id", "line_no", "line", "state"])
+
+        def tell(state: int, key: bytes, spot: tuple, times: int) -> None:
+            rows.extend([(spot[1], spot[2], key, state)] * times)
+
+        for batch in batches:
+            own = batch.column(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                none = doc_id is None
+                for number, line in enumerate(text.split(b"\n")) if text is not None else ():
+                    if not line.strip():
+                        rows.append((doc_id, number, None, BLANK))
+                        continue
+                    key, spot = hashlib.md5(line).digest(), (none, doc_id, number)
+                    met = firsts.get(key)
+                    if met is None:
+                        firsts[key] = spot, 1
+                    elif met[0] == spot:
+                        firsts[key] = spot, met[1] + 1
+                    elif met[0][0] < none or met[0][0] == none and (met[0][2] < number if none or met[0][1] == doc_id else met[0][1] < doc_id):
+                        rows.append((doc_id, number, key, LATER))
+                    else:
+                        tell(LATER, key, *met)
+                        firsts[key] = spot, 1
+                if len(firsts) > KNOWN:
+                    for key, met in firsts.items():
+                        tell(FIRST, key, *met)
+                    firsts = {}
+                if len(rows) >= 1 << 14:
+                    yield emit()
+        for key, met in firsts.items():
+            tell(FIRST, key, *met)
+            if len(rows) >= 1 << 14:
+                yield emit()
+        if rows:
+            yield emit()
+
+    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, out)
+
+
+def _plain(line: str) -> bool:
+    """Whether every character has a 16-bit code, with one left for none."""
+    return line.isascii() or len(line.encode("utf-16-le", "surrogatepass")) == 2 * len(line) and "\uffff" not in line
 
 
 class _Lines:
@@ -121,7 +275,10 @@ class _Lines:
     def __init__(self, lines: list[bytes]):
         self.lines, self.sets, self.held = [characters(x) for x in lines], {}, 0
         self.room = np.array([max(1, len(x) - SHINGLE + 1) for x in self.lines])
-        self.maps = None
+        self.maps, self.rank = None, None
+        if not all(map(_plain, self.lines)):
+            # ranks of the characters that occur, from 1 on; more than 16 bits of them are compared as strings
+            self.rank = {ord(x): i for i, x in enumerate(sorted(set().union(*self.lines)), 1)}
         if len(lines) > FEW:
             h, begin = line_shingles(lines)
             owner = np.repeat(np.arange(len(lines)), np.diff(np.append(begin, len(h))))
@@ -129,13 +286,31 @@ class _Lines:
             bits[owner, h & np.uint32(BITS - 1)] = True
             self.maps = np.packbits(bits, axis=1).view(np.uint64)
 
-    def shingles(self, i: int) -> set:
+    def shingles(self, i: int) -> np.ndarray:
+        """The different shingles of a line, sorted: the 16-bit numbers of their characters, 0 behind the end of a short line."""
         if i not in self.sets:
-            x = self.lines[i]
             if self.held > HELD:
                 self.sets, self.held = {}, 0
-            self.sets[i] = {x[k : k + SHINGLE] for k in range(int(self.room[i]))}
-            self.held += len(self.sets[i])
+            x, n = self.lines[i], int(self.room[i])
+            if self.rank is None:
+                at = np.frombuffer(x.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64) + np.uint64(1)
+            elif len(self.rank) < 1 << 16:
+                at = np.array([self.rank[ord(c)] for c in x], np.uint64)
+            else:
+                at = None
+            if at is None:
+                own = np.unique(np.array([x[k : k + SHINGLE].encode("utf-32-le", "surrogatepass") for k in range(n)], object))
+            else:
+                if len(at) < SHINGLE:
+                    at = np.append(at, np.zeros(SHINGLE - len(at), np.uint64))
+                own = at[:n].copy()
+                for k in range(1, SHINGLE):
+                    own <<= np.uint64(16)
+                    own |= at[k : k + n]
+                own.sort()
+                own = own[_runs(own)]
+            self.sets[i] = own
+            self.held += len(own)
         return self.sets[i]
 
     def possible(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -147,13 +322,20 @@ class _Lines:
 
     def similar(self, i: int, j: int) -> bool:
         a, b = self.shingles(i), self.shingles(j)
-        both, (num, den) = len(a & b), SIMILARITY
+        num, den = SIMILARITY
+        if min(len(a), len(b)) * den < num * max(len(a), len(b)):
+            return False
+        met = np.concatenate([a, b])
+        met.sort(kind="stable")  # merges the two
+        both = np.count_nonzero(met[1:] == met[:-1])
         return both * den >= num * (len(a) + len(b) - both)
 
 
 def _same_set(lines: list[bytes]) -> Iterator[tuple[int, int]]:
     """Pairs that unite all lines of a list whose exact Jaccard similarity reaches the threshold: from a line to those
     similar to it, from these on to the ones not met yet."""
+    if len(lines) < 2:
+        return
     group, left = _Lines(lines), np.arange(len(lines))
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
@@ -163,7 +345,7 @@ def _same_set(lines: list[bytes]) -> Iterator[tuple[int, int]]:
             if found:
                 yield from ((i, j) for j in found)
                 queue += found
-                left = left[~np.isin(left, found)]
+                left = np.setdiff1d(left, found, assume_unique=True) if len(left) > len(found) else left[:0]
 
 
 def verified(same_set):
@@ -197,48 +379,94 @@ def _verified(batches: Iterator[pa.RecordBatch], same_set) -> Iterator[pa.Record
         yield emit()
 
 
-def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> line, room (shingles, repeats included), map (sketch) of every different line of a block that is not blank.
+def _marked(own: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = own % np.uint64(PICK)
+    return np.flatnonzero(marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    """Texts -> line, room (shingles, repeats included), map (sketch) of every different line of a block that is not blank,
+    and marked in the bitmap if there is one.
 
-    A sketch is the bitmap of ``_Lines`` folded by exclusive or: every shingle that only one of two lines has changes one
-    of its bits at most, so that sketches rule out what bitmaps do, and long lines do not fill them."""
+    A sketch is the bitmap of ``_Lines`` folded by exclusive or to about as many bits as the line has shingles: every shingle
+    that only one of two lines has changes one of its bits at most, so that sketches rule out what bitmaps do."""
     for lines, own in _distinct_lines(batches):
+        if shared is not None:
+            keep = _marked(own, shared.value)
+            lines, own = [lines[i] for i in keep.tolist()], own[keep]
         for at in range(0, len(lines), MAPPED):
             some = lines[at : at + MAPPED]
             h, begin = line_shingles(some)
             room = np.diff(np.append(begin, len(h)))
             bits = np.zeros((len(some), BITS), bool)
             bits[np.repeat(np.arange(len(some)), room), h & np.uint32(BITS - 1)] = True
-            maps = np.bitwise_xor.reduce(np.packbits(bits, axis=1).reshape(len(some), -1, SIFT >> 3), axis=1)
+            bits = np.packbits(bits, axis=1)
+            width, maps = _width(room), np.empty(len(some), object)
+            for w in np.unique(width).tolist():
+                of = np.flatnonzero(width == w)
+                for i, m in zip(of.tolist(), np.bitwise_xor.reduce(bits[of].reshape(len(of), -1, w >> 3), axis=1)):
+                    maps[i] = m.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at : at + MAPPED].view(np.int64)), pa.array(room.astype(np.int32)), pa.array([m.tobytes() for m in maps], pa.binary())],
+                [pa.array(own[at : at + MAPPED].view(np.int64)), pa.array(room.astype(np.int32)), pa.array(list(maps), pa.binary())],
                 names=["line", "room", "map"])
 
 
+def _width(room: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a line with so many shingles: the next power of two."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(room, 1))).astype(np.int64), SIFT, BITS)
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of every row, the first row united with it) after the rows ``a`` and ``b`` are united."""
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, room, map) in the order of group and line -> group, line of those that a sketch of another line of
-    the group leaves possible.  Groups (odd numbers) with the same first line left are told as one, numbered by it: a line is in
-    ``BANDS`` buckets at most, so that one stays bounded; blocks of large buckets (even numbers) keep theirs.  A row is compared
-    with the next one, the one after, and so on, for all groups of a batch at once; the last group waits for the next batch."""
+    """Rows (group, line, room, map) in the order of group and line -> (a, b): for the lines that a sketch of another line of
+    the group leaves possible, the first line that they are linked with by such sketches, and the line itself.  A row is compared
+    with the next one, the one after, and so on, for all groups of a batch at once, unless they are linked; the last group waits
+    for the next batch.  Of two sketches, the longer is folded to the length of the shorter."""
     num, den = SIMILARITY
     held = None
 
     def sift(rows: pa.RecordBatch) -> pa.RecordBatch:
         group, line = (np.asarray(rows.column(i)) for i in (0, 1))
-        maps = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(group), -1)
-        room, keep, at = np.asarray(rows.column(2)).astype(np.int64), np.zeros(len(group), bool), np.arange(len(group))
+        room, at, label = np.asarray(rows.column(2)).astype(np.int64), np.arange(len(group)), np.arange(len(group))
+        width, raw, folds, above = _width(room), rows.column(3).to_pylist(), {}, None
+        for w in range(BITS.bit_length() - 1, SIFT.bit_length() - 2, -1):  # sketches of 1 << w bits, own ones and folded ones
+            own = np.flatnonzero(width == 1 << w)
+            maps = np.frombuffer(bytearray().join(raw[i] for i in own.tolist()), np.uint64).reshape(len(own), (1 << w) >> 6)
+            if above is not None:
+                of, longer = above
+                folded = np.bitwise_xor.reduce(longer.reshape(len(of), 2, maps.shape[1]), axis=1)
+                own, maps = np.concatenate([of, own]), np.concatenate([folded, maps])
+            place = np.zeros(len(group), np.int64)
+            place[own] = np.arange(len(own))
+            folds[1 << w] = place, maps
+            above = own, maps
         for step in range(1, len(group)):
             at = at[at + step < len(group)]
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            told = at[~(keep[at] & keep[at + step])]  # pairs of lines that stay anyway say nothing new
-            differ = np.bitwise_count(maps[told] ^ maps[told + step]).sum(axis=1, dtype=np.int64)
-            ok = told[differ * (num + den) <= (den - num) * (room[told] + room[told + step])]
-            keep[ok] = keep[ok + step] = True
-        group, line = group[keep], line[keep]
-        head = line[np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[: len(group)], np.arange(len(group)), 0))]
-        return pa.RecordBatch.from_arrays([pa.array(np.where(group & 1, head | 1, group)), pa.array(line)], names=["group", "line"])
+            told = at[label[at] != label[at + step]]
+            if not len(told):
+                continue
+            both, ok = np.minimum(width[told], width[told + step]), []
+            for w in np.unique(both).tolist():
+                some, (place, maps) = told[both == w], folds[w]
+                differ = np.bitwise_count(maps[place[some]] ^ maps[place[some + step]]).sum(axis=1, dtype=np.int64)
+                ok.append(some[differ * (num + den) <= (den - num) * (room[some] + room[some + step])])
+            found = np.concatenate(ok)
+            label = _united(label, found, found + step)
+        linked = np.bincount(label, minlength=len(label))[label] > 1
+        return pa.RecordBatch.from_arrays([pa.array(line[label[linked]]), pa.array(line[linked])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -279,11 +507,14 @@ def _picked(lines: DataFrame) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(PICK >> 3, np.uint8)
         for batch in batches:
-            own = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(PICK)
-            np.bitwise_or.at(marks, own >> np.uint64(3), np.left_shift(1, own & np.uint64(7), dtype=np.uint8, casting="unsafe"))
+            at = np.asarray(batch.column(0)).astype(np.uint64)
+            np.bitwise_or.at(marks, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7), dtype=np.uint8, casting="unsafe"))
         yield from table_rows(marks)
 
-    return combined(lines.mapInArrow(mark, "part int, cells binary"), PICK >> 3, np.uint8, np.bitwise_or)
+    # every task gets the marks of whole cells, so that there is one row a cell
+    spots = lines.select(F.col("line").bitwiseAND(F.lit(PICK - 1)).alias("spot"))
+    spots = spots.repartition(F.shiftright("spot", (CELLS << 3).bit_length() - 1))
+    return combined(spots.mapInArrow(mark, "part int, cells binary"), PICK >> 3, np.uint8, np.bitwise_or)
 
 
 def _texts_of(shared):
@@ -292,34 +523,119 @@ def _texts_of(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for lines, own in _distinct_lines(batches):
-            at = own % np.uint64(PICK)
-            keep = np.flatnonzero(marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            keep = _marked(own, marks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own[keep].view(np.int64)), pa.array([lines[i] for i in keep.tolist()], pa.binary())], names=["line", "text"])
 
     return run
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, line, text, root) in the order of group and line -> links (a, b) of the keys of similar lines; of the blocks of a
+    large set, which ``root`` numbers, also the lines (root, line) that are not united with its first line."""
+    held, root, own, texts, out = None, None, [], [], []
+
+    def close():
+        forest = Forest()
+        keys = [hashlib.md5(x).digest() for x in texts]
+        for i, j in _same_set(texts):
+            out.append((keys[i], keys[j], None, None))
+            forest.unite(i, j)
+        if root is not None:
+            first = forest.root(min((texts[i], i) for i, x in enumerate(own) if x == root)[1])
+            out.extend((None, None, root, x) for x in {x for i, x in enumerate(own) if forest.root(i) != first})
+
+    def emit():
+        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["a", "b", "root", "line"])
+        out.clear()
+        return batch
+
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    for batch in batches:
+        for group, line, text, of in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if group != held:
+                close()
+                held, root, own, texts = group, of, [], []
+            own.append(line)
+            texts.append(text)
+        if out:
+            yield emit()
+    close()
+    if out:
+        yield emit()
+
+
+def _blocks_of(n: str, group: int):
+    return F.ceil(F.col(n) / F.lit(group)).cast("int")
+
+
+def _block(blocks_of):
+    return F.pmod(F.xxhash64("line"), blocks_of).cast("int")
+
+
 def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
     similarity reaches the threshold."""
-    texts = docs.select(utf8(F.col("text")).alias("text"))
-    groups = bucket_groups(texts.mapInArrow(_banded, "band_key bigint, line bigint"), group)
-    number = F.xxhash64("group")
-    named = groups.select(F.when(F.contains("group", F.lit(":")), number.bitwiseAND(F.lit(-2))).otherwise(number.bitwiseOR(F.lit(1))).alias("group"), "line")
-    # sketches go to the groups first; texts follow for the lines that these leave. A set per hash: different lines may share one
-    maps = texts.mapInArrow(_mapped, "line bigint, room int, map binary").groupBy("line").agg(F.collect_set(F.struct("room", "map")).alias("own"))
-    sifted = named.join(maps.select("line", F.inline("own")), "line").select("group", "line", "room", "map")
+    sc, texts = docs.sparkSession.sparkContext, docs.select(utf8(F.col("text")).alias("text"))
+    slots = texts.mapInArrow(_banded, "slot int, entries binary").repartition("slot").sortWithinPartitions("slot")
+    groups = stored(slots.mapInArrow(_grouped(group), "group bigint, line bigint"))
+    # sketches go to the groups first. Different lines may share a hash: each has its own
+    met = sc.broadcast(_picked(groups.select("line")))
+    maps = texts.mapInArrow(lambda x: _mapped(x, met), "line bigint, room int, map binary").repartition("line").distinct()
+    sifted = groups.repartition("line").distinct().join(maps, "line").select("group", "line", "room", "map")
     sifted = sifted.repartition("group").sortWithinPartitions("group", "line")
-    left = stored(sifted.mapInArrow(_possible, "group bigint, line bigint").distinct())
+    found = components(sifted.mapInArrow(_possible, "a bigint, b bigint"))
     discard(groups)
-    shared = docs.sparkSession.sparkContext.broadcast(_picked(left.select("line")))
-    said = texts.mapInArrow(_texts_of(shared), "line bigint, text binary").groupBy("line").agg(F.collect_set("text").alias("own"))
-    dealt = left.join(said.select("line", F.explode("own").alias("text")), "line").select("group", "line", "text")
-    dealt = dealt.repartition("group").sortWithinPartitions("group", "line").select("group", F.unhex(F.md5("text")).alias("line"), "text")
-    links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct())
-    discard(left)
-    return links
+    # texts follow, once, to where all lines of a set are; sets of more than a group's lines are dealt in blocks, each with the first line
+    linked = found.select(F.col("node").alias("line"), "root")
+    linked = stored(linked.unionByName(linked.select(F.col("root").alias("line"), "root").distinct()))
+    large = linked.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).withColumn("of", _blocks_of("n", group))
+    large = stored(large.select(F.col("root").alias("large"), "of"))
+    members = linked.join(large, F.col("root") == F.col("large"), "left")
+    mine = F.when(F.col("line") == F.col("root"), F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array(_block(F.col("of"))))
+    first = members.withColumn("at", F.explode(F.when(F.col("of").isNull(), F.array(F.lit(0))).otherwise(mine))).select(
+        F.xxhash64("root", "at").alias("group"), "line", F.col("large").alias("root"))
+    wanted = sc.broadcast(_picked(linked.select("line")))
+    said = stored(texts.mapInArrow(_texts_of(wanted), "line bigint, text binary").repartition("line").distinct())
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.join(said, "line").select("group", "line", "text", "root").repartition("group").sortWithinPartitions("group", "line")
+        return stored(dealt.mapInArrow(_compared, "a binary, b binary, root bigint, line bigint"))
+
+    told = compared(first)
+    links = told.filter("a is not null").select("a", "b")
+    apart = told.filter("root is not null").select("root", "line").distinct()
+    if not apart.isEmpty():
+        # the lines of large sets that are apart from the first line meet all blocks of their set
+        counts = apart.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select(F.col("root").alias("large"), _blocks_of("n", group).alias("lots"))
+        sizes = large.join(counts, "large")
+        alone = apart.join(sizes, F.col("root") == F.col("large")).withColumn("lot", _block(F.col("lots"))).withColumn(
+            "at", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+        block = linked.join(sizes, F.col("root") == F.col("large")).withColumn("at", _block(F.col("of"))).withColumn(
+            "lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        named = [x.select(F.xxhash64("root", "at", "lot").alias("group"), "line", F.lit(None).cast("long").alias("root")) for x in (alone, block)]
+        links = links.unionByName(compared(named[0].unionByName(named[1]).distinct()).select("a", "b"))
+    for table in (linked, large, said):
+        discard(table)
+    return links.distinct()
+
+
+def _told(docs: DataFrame, least: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``lines_of``, and of their lines that are not blank those which meet the condition ``least``, with ``at`` (1 for the
+    first occurrence of a line) and ``keep``."""
+    found = components(similar_lines(docs))
+    linked = found.select(F.col("node").alias("linked"), "root").unionByName(found.select(F.col("root").alias("linked"), "root").distinct())
+    rows = stored(lines_of(docs))
+    ranked = rows.filter(F.col("state") == FIRST).join(linked, F.col("line") == F.col("linked"), "left").withColumn(
+        "at", F.rank().over(W.partitionBy("line").orderBy(F.col("doc_id").isNull(), "doc_id", "line_no")))
+    # occurrences that a task has met late are late; their lines' roots do not matter
+    firsts = stored(ranked.filter(least).select("doc_id", "line_no", "line", "root", "at"))
+    later = rows.filter(F.col("state") == LATER).select("doc_id", "line_no", "line", F.lit(2).alias("at"), F.lit(False).alias("keep"))
+    alone = firsts.filter("root is null or at > 1").select("doc_id", "line_no", "line", "at", (F.col("at") == 1).alias("keep"))
+    several = firsts.filter("root is not null and at = 1").withColumn("spot", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no"))
+    heads = stored(several.groupBy("root").agg(F.min("spot").alias("head")).withColumnRenamed("root", "of"))  # a large class can be split when joined
+    classed = several.join(heads, F.col("root") == F.col("of")).select("doc_id", "line_no", "line", "at", F.col("spot").eqNullSafe(F.col("head")).alias("keep"))
+    return rows, later.unionByName(alone).unionByName(classed)
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -328,31 +644,21 @@ def line_classes(docs: DataFrame) -> DataFrame:
     Of every class of equal or similar lines the occurrence with the smallest (doc_id, line_no), nulls last, is kept.
     Blank lines are kept.  A null text has no lines; an empty text has one, blank.  Rows repeated with the same
     doc_id repeat their lines, which are kept or dropped together.  Other columns are left out."""
-    rows = lines_of(docs).select("doc_id", "line_no", "line")
-    spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    firsts = stored(rows.filter("line is not null").groupBy("line").agg(F.min(spot).alias("first")))
-    found = components(similar_lines(docs)).withColumnRenamed("node", "line")
-    linked = found.unionByName(found.select(F.col("root").alias("line"), "root").distinct())
-    rooted = firsts.join(linked, "line").select("line", "root", "first")
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    moved = rooted.join(heads, "root").select(F.col("line").alias("moved"), "head")
-    classes = firsts.join(moved, firsts["line"] == moved["moved"], "left").select(
-        F.col("line").alias("own"), F.coalesce("head", "first").alias("head"))
-    told = rows.join(classes, F.col("line") == F.col("own"), "left")
-    keep = F.col("line").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")))
-    return told.select("doc_id", "line_no", "line", keep.alias("keep"))
+    rows, told = _told(docs, "true")
+    blank = rows.filter(F.col("state") == BLANK).select("doc_id", "line_no", "line", F.lit(True).alias("keep"))
+    return told.select("doc_id", "line_no", "line", "keep").unionByName(blank)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, n_kept, dropped (numbers of the dropped lines, ascending).  Repeated
     doc_ids are told together."""
-    none = docs.select("doc_id").distinct().select(F.col("doc_id").alias("id"))
-    told = line_classes(docs).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("keep").cast("long")).alias("n_kept"),
-        F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("line_no")))).alias("dropped"))
-    return none.join(told, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    rows, told = _told(docs, "root is not null or at > 1")  # others are kept
+    none = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("n"))
+    counts = none.unionByName(rows.select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("n_lines"))
+    gone = told.filter(~F.col("keep")).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return counts.join(gone, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
+        F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
