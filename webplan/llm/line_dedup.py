@@ -38,7 +38,7 @@ SIFT, PICK = 64, 1 << 25
 #: Lines whose signatures, and whose bitmaps, are made at once.
 SIGNED, MAPPED = 512, 512
 #: Slots of band keys; entries (band key, line) that a task packs at once, and lines it knows before it starts anew.
-SLOTS, PACKED, KNOWN = 1 << 12, 1 << 20, 1 << 18
+SLOTS, PACKED, KNOWN = 1 << 12, 1 << 19, 1 << 17
 _ENTRY = np.dtype([("key", "<u4"), ("line", "<u8")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of candidate rows up to which ``near_copies`` sends them to every task.
@@ -227,7 +227,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             own = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = (x.as_py() for x in batch.column(1))
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 none = doc_id is None
                 for number, line in enumerate(text.split(b"\n")) if text is not None else ():
                     if not line.strip():
@@ -584,8 +585,10 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     maps = texts.mapInArrow(lambda x: _mapped(x, met), "line bigint, room int, map binary").repartition("line").distinct()
     sifted = groups.repartition("line").distinct().join(maps, "line").select("group", "line", "room", "map")
     sifted = sifted.repartition("group").sortWithinPartitions("group", "line")
-    found = components(sifted.mapInArrow(_possible, "a bigint, b bigint"))
+    near = stored(sifted.mapInArrow(_possible, "a bigint, b bigint").distinct())  # else a task would run two Python workers
     discard(groups)
+    found = components(near)
+    discard(near)
     # texts follow, once, to where all lines of a set are; sets of more than a group's lines are dealt in blocks, each with the first line
     linked = found.select(F.col("node").alias("line"), "root")
     linked = stored(linked.unionByName(linked.select(F.col("root").alias("line"), "root").distinct()))
