@@ -7,9 +7,8 @@ Only band keys and 8-byte hashes of lines travel while candidates are sought, pa
 hash are told apart as soon as their texts are there.  Lines that meet in a band form a group; equal groups of different
 bands are compared once, and a bucket of more than ``GROUP`` lines is compared block by block.  Sketches of their shingles
 tell which lines of a group may be similar.  The lines that these link, directly or by others, get their texts once, in
-one place, and are compared there; a set of more than ``GROUP`` lines in blocks, each with the first line of the set, and
-only those still apart from that line meet the other blocks.  The bitmaps that pick sketches and texts are of a fixed
-size and prune less as the corpus grows."""
+one place, and are compared there; in a set of more than ``GROUP`` lines, those that a group links are.  The bitmaps that
+pick sketches and texts are of a fixed size and prune less as the corpus grows."""
 
 from __future__ import annotations
 
@@ -26,7 +25,7 @@ from pyspark.sql.types import BinaryType, ByteType, IntegerType, StructField, St
 from pyspark.sql.window import Window as W
 
 from webplan.llm.common import CELLS, blocks, combined, discard, stored, table_rows, utf8
-from webplan.llm.components import Forest, components
+from webplan.llm.components import components
 
 #: Characters of a shingle; bands and rows: a pair at 0.8 meets with probability 0.997, one at 0.9 with 1 - 2e-8.
 SHINGLE, BANDS, ROWS, SIMILARITY = 4, 32, 8, (4, 5)
@@ -429,8 +428,10 @@ def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, room, map) in the order of group and line -> (a, b): for the lines that a sketch of another line of
-    the group leaves possible, the first line that they are linked with by such sketches, and the line itself.  A row is compared
+    """Rows (group, line, room, map) in the order of group and line -> (a, b, name): for the lines that a sketch of another line of
+    the group leaves possible, the first line that they are linked with by such sketches, and the line itself.  Groups (odd
+    numbers) are named by that first line: it is in ``BANDS`` buckets at most, so that one name stays bounded; blocks of large
+    buckets (even numbers) keep theirs.  A row is compared
     with the next one, the one after, and so on, for all groups of a batch at once, unless they are linked; the last group waits
     for the next batch.  Of two sketches, the longer is folded to the length of the shorter."""
     num, den = SIMILARITY
@@ -467,7 +468,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.concatenate(ok)
             label = _united(label, found, found + step)
         linked = np.bincount(label, minlength=len(label))[label] > 1
-        return pa.RecordBatch.from_arrays([pa.array(line[label[linked]]), pa.array(line[linked])], names=["a", "b"])
+        head, group = line[label[linked]], group[linked]
+        return pa.RecordBatch.from_arrays([pa.array(head), pa.array(line[linked]), pa.array(np.where(group & 1, head | 1, group))], names=["a", "b", "name"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -531,49 +533,6 @@ def _texts_of(shared):
     return run
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, line, text, root) in the order of group and line -> links (a, b) of the keys of similar lines; of the blocks of a
-    large set, which ``root`` numbers, also the lines (root, line) that are not united with its first line."""
-    held, root, own, texts, out = None, None, [], [], []
-
-    def close():
-        forest = Forest()
-        keys = [hashlib.md5(x).digest() for x in texts]
-        for i, j in _same_set(texts):
-            out.append((keys[i], keys[j], None, None))
-            forest.unite(i, j)
-        if root is not None:
-            first = forest.root(min((texts[i], i) for i, x in enumerate(own) if x == root)[1])
-            out.extend((None, None, root, x) for x in {x for i, x in enumerate(own) if forest.root(i) != first})
-
-    def emit():
-        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["a", "b", "root", "line"])
-        out.clear()
-        return batch
-
-    types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    for batch in batches:
-        for group, line, text, of in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if group != held:
-                close()
-                held, root, own, texts = group, of, [], []
-            own.append(line)
-            texts.append(text)
-        if out:
-            yield emit()
-    close()
-    if out:
-        yield emit()
-
-
-def _blocks_of(n: str, group: int):
-    return F.ceil(F.col(n) / F.lit(group)).cast("int")
-
-
-def _block(blocks_of):
-    return F.pmod(F.xxhash64("line"), blocks_of).cast("int")
-
-
 def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Documents -> links (a, b) of line keys that unite all pairs of different lines which share a band and whose
     similarity reaches the threshold."""
@@ -585,42 +544,25 @@ def similar_lines(docs: DataFrame, group: int = GROUP) -> DataFrame:
     maps = texts.mapInArrow(lambda x: _mapped(x, met), "line bigint, room int, map binary").repartition("line").distinct()
     sifted = groups.repartition("line").distinct().join(maps, "line").select("group", "line", "room", "map")
     sifted = sifted.repartition("group").sortWithinPartitions("group", "line")
-    near = stored(sifted.mapInArrow(_possible, "a bigint, b bigint").distinct())  # else a task would run two Python workers
+    near = stored(sifted.mapInArrow(_possible, "a bigint, b bigint, name bigint").distinct())  # else a task would run two Python workers
     discard(groups)
-    found = components(near)
-    discard(near)
-    # texts follow, once, to where all lines of a set are; sets of more than a group's lines are dealt in blocks, each with the first line
+    found = components(near.select("a", "b"))
+    # texts follow to where all lines of a set are, once, or for a large set to where those of a group are
     linked = found.select(F.col("node").alias("line"), "root")
     linked = stored(linked.unionByName(linked.select(F.col("root").alias("line"), "root").distinct()))
-    large = linked.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).withColumn("of", _blocks_of("n", group))
-    large = stored(large.select(F.col("root").alias("large"), "of"))
-    members = linked.join(large, F.col("root") == F.col("large"), "left")
-    mine = F.when(F.col("line") == F.col("root"), F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array(_block(F.col("of"))))
-    first = members.withColumn("at", F.explode(F.when(F.col("of").isNull(), F.array(F.lit(0))).otherwise(mine))).select(
-        F.xxhash64("root", "at").alias("group"), "line", F.col("large").alias("root"))
+    large = linked.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select(F.col("root").alias("large"))
+    members = stored(linked.join(large, F.col("root") == F.col("large"), "left"))
+    small = members.filter("large is null").select("line", F.col("root").alias("group"), F.lit(0).alias("kind"))
+    rest = members.filter("large is not null").select("line")
+    rest = near.join(rest, F.col("b") == F.col("line")).select("line", F.col("name").alias("group"), F.lit(1).alias("kind")).distinct()
     wanted = sc.broadcast(_picked(linked.select("line")))
-    said = stored(texts.mapInArrow(_texts_of(wanted), "line bigint, text binary").repartition("line").distinct())
-
-    def compared(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.join(said, "line").select("group", "line", "text", "root").repartition("group").sortWithinPartitions("group", "line")
-        return stored(dealt.mapInArrow(_compared, "a binary, b binary, root bigint, line bigint"))
-
-    told = compared(first)
-    links = told.filter("a is not null").select("a", "b")
-    apart = told.filter("root is not null").select("root", "line").distinct()
-    if not apart.isEmpty():
-        # the lines of large sets that are apart from the first line meet all blocks of their set
-        counts = apart.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select(F.col("root").alias("large"), _blocks_of("n", group).alias("lots"))
-        sizes = large.join(counts, "large")
-        alone = apart.join(sizes, F.col("root") == F.col("large")).withColumn("lot", _block(F.col("lots"))).withColumn(
-            "at", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        block = linked.join(sizes, F.col("root") == F.col("large")).withColumn("at", _block(F.col("of"))).withColumn(
-            "lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-        named = [x.select(F.xxhash64("root", "at", "lot").alias("group"), "line", F.lit(None).cast("long").alias("root")) for x in (alone, block)]
-        links = links.unionByName(compared(named[0].unionByName(named[1]).distinct()).select("a", "b"))
-    for table in (linked, large, said):
+    said = texts.mapInArrow(_texts_of(wanted), "line bigint, text binary").repartition("line").distinct()
+    dealt = small.unionByName(rest).join(said, "line").select(F.xxhash64("group", "kind").alias("group"), "line", "text")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "line").select("group", F.unhex(F.md5("text")).alias("line"), "text")
+    links = stored(dealt.mapInArrow(verified(_same_set), "a binary, b binary").distinct())
+    for table in (near, linked, members):
         discard(table)
-    return links.distinct()
+    return links
 
 
 def _told(docs: DataFrame, least: str) -> tuple[DataFrame, DataFrame]:
